@@ -36,7 +36,7 @@ def _parse(c: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.StringType):
         return c
     if isinstance(dtype, T.DateType):
-        return F.coalesce(*[F.try_to_date(text, F.lit(f)) for f in DATE_FORMATS])
+        return F.coalesce(*[F.try_to_date(text, f) for f in DATE_FORMATS])
     if isinstance(dtype, (T.TimestampNTZType, T.TimestampType)):
         ts = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS])
         return ts.cast(dtype)
