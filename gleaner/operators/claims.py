@@ -146,7 +146,10 @@ def unclaimed_listings(t: Tables) -> DataFrame:
     back so the result is exact even when claim ids are missing.
     """
     cols = ["Food_ID", "Food_Name", "Quantity", "Expiry_Date"]
-    no_claim = t.listings.select(*cols).join(t.claims.select("Food_ID"), "Food_ID", "left_anti")
+    # Distinct keys first: map-side partial aggregation collapses a hot Food_ID
+    # before the shuffle (AQE cannot split a skewed right side of an anti join).
+    claimed = t.claims.select("Food_ID").distinct()
+    no_claim = t.listings.select(*cols).join(claimed, "Food_ID", "left_anti")
     null_ids = t.claims.where(F.col("Claim_ID").isNull()).select("Food_ID")
     return no_claim.unionByName(t.listings.select(*cols).join(null_ids, "Food_ID"))
 

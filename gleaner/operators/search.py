@@ -87,7 +87,8 @@ def contact_link(column: str = "Contact"):
 
 def providers_in_view(t: Tables, listings_view: DataFrame) -> DataFrame:
     """Providers that appear in a (filtered) listing view, with a contact link."""
-    return (t.providers.join(listings_view.select("Provider_ID"), "Provider_ID", "left_semi")
+    in_view = listings_view.select("Provider_ID").distinct()  # one row per provider, skew-safe
+    return (t.providers.join(in_view, "Provider_ID", "left_semi")
             .select("Provider_ID", "Name", "Address", "Contact",
                     contact_link().alias("Contact_Link")))
 

@@ -57,8 +57,23 @@ CITY = "NATION_1"
 FOOD_TYPE = "F"
 
 
+_CACHE: dict[tuple[str, str], Tables] = {}
+
+
 def role_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """Lazy role views over ``{sf_dir}/<table>.parquet``; nothing is read yet."""
+    """Lazy role views over ``{sf_dir}/<table>.parquet``; no row is read yet.
+
+    Building them lists the files and reads the parquet footers of six tables
+    and analyses four SQL texts, so the views are made once per session and
+    folder and shared by every query (a DataFrame is immutable).
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _CACHE:
+        _CACHE[key] = _build(spark, sf_dir)
+    return _CACHE[key]
+
+
+def _build(spark: SparkSession, sf_dir: str) -> Tables:
     base = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in BASE_TABLES}
 
     def view(name: str):

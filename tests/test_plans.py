@@ -40,8 +40,17 @@ def test_claims_are_aggregated_before_the_receiver_join(t):
 
 
 def test_share_total_reuses_the_grouped_rows(t):
-    p = plan(claims.claim_status_percentages(t))
-    assert "Subquery" in p and p.count("Scan parquet") == 2
+    df = claims.claim_status_percentages(t)
+    df.collect()
+    # After execution the scalar total reads the grouped shuffle instead of rescanning claims.
+    assert "ReusedExchange" in plan(df)
+
+
+def test_anti_and_semi_joins_see_distinct_keys(t):
+    from gleaner.operators import search
+    for df in (claims.unclaimed_listings(t), search.contacts_in_view(t, location="NATION_1")):
+        p = plan(df)
+        assert "HashAggregate(keys=[Food_ID" in p or "HashAggregate(keys=[Provider_ID" in p
 
 
 def test_date_filters_reach_the_parquet_scan(spark, t, tmp_path):
