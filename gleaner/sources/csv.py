@@ -20,8 +20,8 @@ from gleaner.tables import Tables
 
 # Text layouts accepted for dates and timestamps, tried in this order
 # (month before day, as pandas assumes by default).
-DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd",
-                "M/d/yyyy", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss")
+DATE_FORMATS = ("yyyy-MM-dd[ HH:mm[:ss][.SSSSSS]]", "yyyy-MM-dd'T'HH:mm[:ss][.SSSSSS]",
+                "yyyy/MM/dd[ HH:mm[:ss]]", "M/d/yyyy[ H:mm[:ss]]")
 
 FILE_NAMES = {
     "providers": "providers_data.csv",

@@ -35,11 +35,14 @@ def test_timestamps_parse_to_ntz(spark, tmp_path):
     write(tmp_path / "claims_data.csv",
           "Claim_ID,Food_ID,Receiver_ID,Status,Timestamp\n"
           "1,1,1,Pending,2025-03-17 10:30:00\n"
-          "2,1,2,Completed,not a time\n")
+          "2,1,2,Completed,not a time\n"
+          "3,1,2,Completed,2025-03-18T07:15:00.250\n"
+          "4,1,2,Completed,3/19/2025 8:05\n")
     df = ingest.read_csv_table(spark, str(tmp_path / "claims_data.csv"), "claims")
     got = {r["Claim_ID"]: r["Timestamp"] for r in df.collect()}
     assert df.schema["Timestamp"].dataType.typeName() == "timestamp_ntz"
-    assert got == {1: D.datetime(2025, 3, 17, 10, 30), 2: None}
+    assert got == {1: D.datetime(2025, 3, 17, 10, 30), 2: None,
+                   3: D.datetime(2025, 3, 18, 7, 15, 0, 250000), 4: D.datetime(2025, 3, 19, 8, 5)}
 
 
 def test_missing_files_give_empty_tables(spark, tmp_path):
