@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import count_by, order_desc, share_of_total, topk
-from gleaner.operators.listings import as_of_date
+from gleaner.functions.dates import as_of_date
 from gleaner.schema import COMPLETED
 from gleaner.tables import Tables
 

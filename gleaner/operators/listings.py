@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import count_by, count_rows, order_desc, share_of_total, topk
+from gleaner.functions.dates import as_of_date
 from gleaner.tables import Tables
 
 
-def as_of_date(as_of: str | dt.date | None) -> Column:
-    """The reference date of date-relative metrics; ``None`` means today (session zone)."""
-    return F.current_date() if as_of is None else F.to_date(F.lit(str(as_of)))
-
-
 def total_quantity(t: Tables) -> DataFrame:
     return t.listings.agg(F.sum("Quantity").alias("total_quantity"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.functions import count_by, order_desc, topk
+from gleaner.functions import count_by, topk
 from gleaner.tables import Tables
 
 

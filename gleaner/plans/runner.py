@@ -4,6 +4,10 @@ A failing query is recorded and the run goes on; an empty result is logged as
 ``empty`` (the reference prints "No data found."). Queries are independent
 Spark jobs, so several can be submitted at once from driver threads to keep
 a large cluster busy while small queries finish.
+
+Each query's log row is written as soon as the query ends
+(``_run_log/query=<key>``), so a run cut short by a lost driver can be resumed:
+``resume=True`` skips queries already logged ``ok`` or ``empty``.
 """
 
 from __future__ import annotations
@@ -11,6 +15,7 @@ from __future__ import annotations
 import time
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -18,13 +23,25 @@ from gleaner.plans.catalog import CATALOGUE
 from gleaner.sinks.writer import write_result
 from gleaner.tables import Tables
 
-RUN_LOG_SCHEMA = T.StructType([
-    T.StructField("query", T.StringType()),
+ROW_SCHEMA = T.StructType([
     T.StructField("status", T.StringType()),
     T.StructField("row_count", T.LongType()),
     T.StructField("seconds", T.DoubleType()),
     T.StructField("error", T.StringType()),
 ])
+COLUMNS = ["query", "status", "row_count", "seconds", "error"]
+
+
+def _log_root(root: str) -> str:
+    return f"{root}/_run_log"
+
+
+def read_run_log(spark: SparkSession, root: str) -> DataFrame | None:
+    """The run log so far (one row per query run), or None before the first query."""
+    try:
+        return spark.read.parquet(_log_root(root)).select(*COLUMNS)
+    except AnalysisException:
+        return None
 
 
 def _run_one(spark: SparkSession, key: str, tables: Tables, root: str, fmt: str, params: dict):
@@ -37,21 +54,29 @@ def _run_one(spark: SparkSession, key: str, tables: Tables, root: str, fmt: str,
         if fmt == "csv":
             reader = reader.option("header", True)
         n = reader.load(path).count()
-        return (key, "ok" if n else "empty", n, time.time() - t0, None)
+        row = ("ok" if n else "empty", n, time.time() - t0, None)
     except Exception as e:  # noqa: BLE001 - recorded in the run log
-        return (key, "error", None, time.time() - t0, f"{type(e).__name__}: {e}"[:2000])
+        row = ("error", None, time.time() - t0, f"{type(e).__name__}: {e}"[:2000])
+    spark.createDataFrame([row], ROW_SCHEMA).coalesce(1).write.mode("overwrite").parquet(
+        f"{_log_root(root)}/query={key}")
+    return key
 
 
 def run_catalogue(spark: SparkSession, tables: Tables, root: str, params: dict,
                   keys: list[str] | None = None, fmt: str = "parquet",
-                  parallel: int = 1) -> DataFrame:
-    """Write each query to ``root/<key>`` and the run log to ``root/_run_log``."""
+                  parallel: int = 1, resume: bool = False) -> DataFrame:
+    """Write each query to ``root/<key>``; return the run log (``root/_run_log``)."""
     keys = list(keys or CATALOGUE)
+    if resume:
+        done = read_run_log(spark, root)
+        if done is not None:
+            finished = {r["query"] for r in done.where("status IN ('ok', 'empty')")
+                        .select("query").collect()}
+            keys = [k for k in keys if k not in finished]
     if parallel > 1:
         with ThreadPoolExecutor(parallel) as pool:
-            rows = list(pool.map(lambda k: _run_one(spark, k, tables, root, fmt, params), keys))
+            list(pool.map(lambda k: _run_one(spark, k, tables, root, fmt, params), keys))
     else:
-        rows = [_run_one(spark, k, tables, root, fmt, params) for k in keys]
-    log = spark.createDataFrame(rows, RUN_LOG_SCHEMA)
-    log.coalesce(1).write.mode("overwrite").parquet(f"{root}/_run_log")
-    return spark.read.parquet(f"{root}/_run_log")
+        for k in keys:
+            _run_one(spark, k, tables, root, fmt, params)
+    return read_run_log(spark, root)

@@ -25,3 +25,21 @@ def test_csv_sink_has_header(spark, edge, tmp_path):
     runner.run_catalogue(spark, t, str(tmp_path), PARAMS, ["total_quantity"], fmt="csv")
     back = spark.read.option("header", True).csv(str(tmp_path / "total_quantity"))
     assert back.columns == ["total_quantity"] and back.collect()[0][0] == "29"
+
+
+def test_resume_skips_finished_queries(spark, edge, tmp_path, monkeypatch):
+    t, _ = edge
+    runner.run_catalogue(spark, t, str(tmp_path), PARAMS, ["claims_by_status", "total_quantity"])
+    calls = []
+    original = runner._run_one
+
+    def spy(spark_, key, *args):
+        calls.append(key)
+        return original(spark_, key, *args)
+
+    monkeypatch.setattr(runner, "_run_one", spy)
+    log = runner.run_catalogue(spark, t, str(tmp_path), PARAMS,
+                               ["claims_by_status", "total_quantity", "top_meal_type"], resume=True)
+    assert calls == ["top_meal_type"]
+    assert sorted(r["query"] for r in log.collect()) == ["claims_by_status", "top_meal_type",
+                                                         "total_quantity"]
