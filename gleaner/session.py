@@ -53,3 +53,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="gleaner-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
     return path
+
+
+def sized_settings(input_bytes: int, cores: int) -> dict[str, str]:
+    """Partition sizing for an input of ``input_bytes`` on ``cores`` task slots.
+
+    * Scan splits: two tasks per core for small inputs, at most 256 MB each
+      (100 TB -> ~400k scan tasks).
+    * Shuffle: one partition per GB of input, since exchanges carry a few
+      projected columns (about a quarter of the input), which lands the largest
+      exchange near 256 MB per partition; AQE coalesces smaller exchanges
+      towards the advisory size (16-256 MB).
+    * A partition is skewed (and split by AQE) above 4x the median and
+      64 MB-1 GB.
+    """
+    mb = 1 << 20
+    split = min(256 * mb, max(1 * mb, input_bytes // (2 * cores)))
+    shuffle = max(cores, min(200_000, input_bytes // (1024 * mb)))
+    advisory = min(256 * mb, max(16 * mb, split))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(split),
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(shuffle),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(advisory),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes":
+            str(min(1024 * mb, max(64 * mb, 4 * advisory))),
+    }
