@@ -91,6 +91,17 @@ def _duplicates_sql() -> str:
         f"GROUP BY {k} HAVING COUNT(*) > 1" for t, k in schema.KEYS.items())
 
 
+def _settled_sql(listings: str) -> str:
+    """Listings with Quantity := MIN(Quantity) of the key - completed claims, where claimed."""
+    return ("SELECT l.Food_ID, l.Food_Name, CASE WHEN d.done IS NULL THEN l.Quantity "
+            "ELSE q.min_q - d.done END AS Quantity, l.Expiry_Date, l.Provider_ID, l.Provider_Type, "
+            f"l.Location, l.Food_Type, l.Meal_Type FROM {listings} l "
+            "LEFT JOIN (SELECT Food_ID, MIN(Quantity) AS min_q FROM food_listings GROUP BY Food_ID) q "
+            "ON l.Food_ID = q.Food_ID "
+            "LEFT JOIN (SELECT Food_ID, COUNT(Claim_ID) AS done FROM claims WHERE Status = 'Completed' "
+            "GROUP BY Food_ID) d ON l.Food_ID = d.Food_ID")
+
+
 def _matches(columns, pattern: str) -> str:
     return " OR ".join(f"COALESCE(regexp_matches({c}, {_q(pattern)}, 'i'), false)" for c in columns)
 
@@ -282,6 +293,17 @@ def oracle_bodies(params: dict | None = None) -> dict[str, str]:
         "domain_violations": _domain_sql(),
         "orphan_references": _orphans_sql(),
         "duplicate_keys": _duplicates_sql(),
+        "claims_renumbered":
+            'SELECT ROW_NUMBER() OVER (ORDER BY "Timestamp" NULLS FIRST, Food_ID NULLS FIRST, '
+            "Receiver_ID NULLS FIRST, Status NULLS FIRST, Claim_ID NULLS FIRST) AS Claim_ID, "
+            'Food_ID, Receiver_ID, Status, "Timestamp" FROM claims',
+        "listings_without_expired":
+            "SELECT * FROM food_listings f WHERE f.Food_ID IS NULL OR f.Food_ID NOT IN "
+            f"(SELECT Food_ID FROM food_listings WHERE Expiry_Date < {as_of} AND Food_ID IS NOT NULL)",
+        "listings_quantity_settled": _settled_sql("food_listings"),
+        "listings_after_changes": _settled_sql(
+            "(SELECT * FROM food_listings f WHERE f.Food_ID IS NULL OR f.Food_ID NOT IN "
+            f"(SELECT Food_ID FROM food_listings WHERE Expiry_Date < {as_of} AND Food_ID IS NOT NULL))"),
     }
 
 

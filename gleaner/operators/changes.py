@@ -84,18 +84,21 @@ def apply_updates(df: DataFrame, updates: DataFrame, key: str) -> DataFrame:
         updates = updates.withColumn("op", F.lit(UPDATE))
     if "seq" not in updates.columns:
         updates = updates.withColumn("seq", F.lit(0).cast("long"))
-    return apply_changes(df, updates.where(F.col("op") == UPDATE), key)
+    return apply_changes(df, updates.where(F.lower(F.trim("op")) == UPDATE), key, new_ids=False)
 
 
-def apply_changes(df: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+def apply_changes(df: DataFrame, changes: DataFrame, key: str, new_ids: bool = True) -> DataFrame:
     """The table after all changes, statement by statement in ``seq`` order.
 
     A row (existing, or inserted at seq ``s``) survives unless a delete of its
     key comes later; each column takes the value of the last update that set
     it after the row existed. Keyless inserts get new ids after the keyed
-    changes, in ``seq`` order.
+    changes, in ``seq`` order. ``seq`` values are expected to be unique.
+    ``new_ids=False`` declares that the batch has no keyless inserts, which
+    skips the id assignment (and its checkpoint).
     """
     columns = [c for c in df.columns if c != key]
+    changes = changes.withColumn("op", F.lower(F.trim("op")))
     fold = _fold(changes, key, columns)
     inserts = changes.where((F.col("op") == INSERT))
     rows = (df.withColumn("_seq", F.lit(None).cast("long"))
@@ -109,7 +112,13 @@ def apply_changes(df: DataFrame, changes: DataFrame, key: str) -> DataFrame:
         at = F.col(f"_at_{c}")
         later = at.isNotNull() & (born.isNull() | (at > born))
         out.append(F.when(later, F.col(f"_val_{c}")).otherwise(F.col(f"`{c}`")).alias(c))
-    result = j.where(alive).select(F.col(key), *out).select(*df.columns)
+    survivors = j.where(alive)
+    result = survivors.select(F.col(key), *out).select(*df.columns)
+    if not new_ids:
+        return result
+    # The id base reads only the surviving keys: Catalyst prunes every other
+    # column out of this second pass over the table.
     keyless = inserts.where(F.col(key).isNull()).select(*df.columns, "seq")
-    new_ids = assign_ids(keyless, key, next_id_base(result, key), ["seq"]).select(*df.columns)
+    base = next_id_base(survivors.select(key), key)
+    new_ids = assign_ids(keyless, key, base, ["seq"]).select(*df.columns)
     return result.unionByName(new_ids)

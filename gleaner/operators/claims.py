@@ -43,14 +43,13 @@ def claim_status_percentages(t: Tables) -> DataFrame:
     return share_of_total(g, "_n", "Percentage").select("Status", "Percentage")
 
 
-def _per_food_joined(t: Tables, columns: list[str], claims: DataFrame | None = None) -> DataFrame:
+def _per_food_joined(t: Tables, columns: list[str]) -> DataFrame:
     """Claims counted per Food_ID, joined to the listing columns wanted.
 
     The inner join keeps listing multiplicity: a Food_ID listed twice counts
     its claims twice, as the row-level join would.
     """
-    per_food = claims_per_key(t.claims if claims is None else claims, "Food_ID")
-    return per_food.join(t.listings.select("Food_ID", *columns), "Food_ID")
+    return claims_per_key(t.claims, "Food_ID").join(t.listings.select("Food_ID", *columns), "Food_ID")
 
 
 def claims_per_food_name(t: Tables) -> DataFrame:

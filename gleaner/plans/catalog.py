@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from gleaner.operators import cities, claims, listings, parties, search, supply, quality
+from gleaner.plans import upkeep
 from gleaner.tables import Tables
 
 
@@ -110,6 +111,11 @@ CATALOGUE: dict[str, Metric] = {
     "domain_violations": Metric(quality.domain_violations),
     "orphan_references": Metric(quality.orphan_references),
     "duplicate_keys": Metric(quality.duplicate_keys_all),
+    # Change operators applied to changes derived from the tables.
+    "claims_renumbered": Metric(upkeep.claims_renumbered),
+    "listings_without_expired": Metric(upkeep.listings_without_expired, ("as_of",)),
+    "listings_quantity_settled": Metric(upkeep.listings_quantity_settled),
+    "listings_after_changes": Metric(upkeep.listings_after_changes, ("as_of",)),
 }
 
 
