@@ -62,8 +62,8 @@ def append_rows(df: DataFrame, new: DataFrame, key: str, order_by: list[str] | N
 
 
 def apply_deletes(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Remove every row whose key is listed (anti join)."""
-    return df.join(keys.select(key).where(F.col(key).isNotNull()), key, "left_anti")
+    """Remove every row whose key is listed (anti join against the distinct keys)."""
+    return df.join(keys.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
 
 
 def _fold(changes: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -44,7 +44,9 @@ def domain_violations(t: Tables, rules=None) -> DataFrame:
 def orphans(child: DataFrame, parent: DataFrame, fk: str, parent_key: str | None = None) -> DataFrame:
     """Child rows whose non-NULL ``fk`` has no parent row (anti join)."""
     parent_key = parent_key or fk
-    keys = parent.select(F.col(parent_key).alias(fk))
+    # Distinct parent keys: a key repeated on the right side of an anti join
+    # cannot be split by AQE, so it is collapsed before the shuffle.
+    keys = parent.select(F.col(parent_key).alias(fk)).distinct()
     return child.where(F.col(fk).isNotNull()).join(keys, fk, "left_anti")
 
 
