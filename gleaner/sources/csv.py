@@ -75,7 +75,11 @@ def parse_report(raw: DataFrame, schema: T.StructType, table: str) -> DataFrame:
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text, header row used for names, malformed lines kept."""
+    """All columns as text, header row used for names.
+
+    PERMISSIVE mode: a line with too few fields gets NULLs for the missing
+    ones, extra fields are dropped (Spark's CSV behaviour for a text schema).
+    """
     return (spark.read.option("header", True).option("mode", "PERMISSIVE")
             .option("multiLine", False).csv(path))
 

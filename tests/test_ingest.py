@@ -64,3 +64,15 @@ def test_store_round_trip_keeps_types_and_rows(spark, edge, tmp_path):
         other = back.by_name()[name]
         assert other.schema == df.schema
         assert sorted(map(tuple, other.collect()), key=repr) == sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_short_and_long_lines_are_kept(spark, tmp_path):
+    write(tmp_path / "receivers_data.csv",
+          "Receiver_ID,Name,Type,City,Contact\n"
+          "1,Ravi,NGO,Delhi,r@x.org\n"
+          "2,Sita,Individual,Pune,123,EXTRA\n"
+          "3,Tara\n")
+    df = ingest.read_csv_table(spark, str(tmp_path / "receivers_data.csv"), "receivers")
+    got = {r["Receiver_ID"]: r for r in df.collect()}
+    assert sorted(got) == [1, 2, 3]
+    assert got[2]["Contact"] == "123" and got[3]["Name"] == "Tara" and got[3]["City"] is None
