@@ -8,14 +8,21 @@ bare columns replaced by ``MIN`` and sums cast to BIGINT.
 
 from __future__ import annotations
 
+import os
+import sys
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner import schema
-from gleaner.operators.quality import DOMAIN_RULES
-from gleaner.plans.catalog import CATALOGUE
-from gleaner.sources import roles
+# The package lives next to this file; make it importable however this module is loaded.
+_HERE = os.path.dirname(os.path.abspath(__file__))
+if _HERE not in sys.path:
+    sys.path.insert(0, _HERE)
+
+from gleaner import schema  # noqa: E402
+from gleaner.operators.quality import DOMAIN_RULES  # noqa: E402
+from gleaner.plans.catalog import CATALOGUE  # noqa: E402
+from gleaner.sources import roles  # noqa: E402
 
 FLAGSHIP = "wasted_quantity_by_location"
 SMOKE_DIR = "/root/testdata/sf0.001"
