@@ -11,17 +11,21 @@ Under ``spark-submit`` the submitted session is used; ``--local`` starts
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
-from pyspark.sql import SparkSession
+if not __package__:  # run as a file path: make the package importable
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from gleaner.operators import quality
-from gleaner.plans.catalog import CATALOGUE
-from gleaner.plans.runner import run_catalogue
-from gleaner.session import DEFAULTS, ensure_checkpoint_dir, local_session
-from gleaner.sinks.writer import write_result
-from gleaner.sources.csv import ingest_report, read_csv_tables
-from gleaner.sources.store import load_tables, save_tables
+from pyspark.sql import SparkSession  # noqa: E402
+
+from gleaner.operators import quality  # noqa: E402
+from gleaner.plans.catalog import CATALOGUE  # noqa: E402
+from gleaner.plans.runner import run_catalogue  # noqa: E402
+from gleaner.session import DEFAULTS, ensure_checkpoint_dir, local_session  # noqa: E402
+from gleaner.sinks.writer import write_result  # noqa: E402
+from gleaner.sources.csv import ingest_report, read_csv_tables  # noqa: E402
+from gleaner.sources.store import load_tables, save_tables  # noqa: E402
 
 
 def session(local: bool) -> SparkSession:
