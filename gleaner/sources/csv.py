@@ -116,4 +116,6 @@ def ingest_report(spark: SparkSession, folder: str, file_names: dict | None = No
         except AnalysisException:
             continue
         parts.append(parse_report(raw, schema, name))
+    if not parts:
+        return spark.createDataFrame([], "table_name string, column string, unparsed long")
     return reduce(DataFrame.unionByName, parts)

@@ -76,3 +76,7 @@ def test_short_and_long_lines_are_kept(spark, tmp_path):
     got = {r["Receiver_ID"]: r for r in df.collect()}
     assert sorted(got) == [1, 2, 3]
     assert got[2]["Contact"] == "123" and got[3]["Name"] == "Tara" and got[3]["City"] is None
+
+
+def test_report_on_a_folder_without_files(spark, tmp_path):
+    assert ingest.ingest_report(spark, str(tmp_path)).count() == 0
