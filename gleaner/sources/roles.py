@@ -67,7 +67,11 @@ def role_tables(spark: SparkSession, sf_dir: str) -> Tables:
     and analyses four SQL texts, so the views are made once per session and
     folder and shared by every query (a DataFrame is immutable).
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
+    try:
+        session = spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session has no SparkContext
+        session = str(id(spark))
+    key = (session, sf_dir)
     if key not in _CACHE:
         _CACHE[key] = _build(spark, sf_dir)
     return _CACHE[key]
