@@ -74,14 +74,36 @@ def parse_report(raw: DataFrame, schema: T.StructType, table: str) -> DataFrame:
                            f"stack({len(names)}, {stack}) AS (column, unparsed)")
 
 
+# A quoted CSV field (RFC 4180: "" is an escaped quote inside quotes).
+QUOTED_FIELD = '"(?:[^"]|"")*"'
+
+
+def malformed_lines(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """Lines whose number of fields differs from the header's: (table_name, column, unparsed).
+
+    Spark's CSV reader keeps such lines silently (missing fields become NULL,
+    extra fields are dropped), so they are counted on the text: quoted fields
+    are blanked out, then the commas are counted. Blank lines are ignored.
+    """
+    expected = len(spark.read.option("header", True).csv(path).columns)
+    lines = spark.read.text(path).where(F.trim("value") != F.lit(""))
+    fields = F.size(F.split(F.regexp_replace("value", QUOTED_FIELD, "q"), ",", -1))
+    return lines.agg(F.sum(F.when(fields != F.lit(expected), 1).otherwise(0)).cast("long")
+                     .alias("unparsed")).select(F.lit(table).alias("table_name"),
+                                                F.lit("_malformed_lines").alias("column"),
+                                                F.coalesce("unparsed", F.lit(0).cast("long")).alias("unparsed"))
+
+
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text, header row used for names.
+    """All columns as text, header row used for names, RFC 4180 quoting
+    (a doubled quote inside quotes is one quote, as pandas reads it).
 
     PERMISSIVE mode: a line with too few fields gets NULLs for the missing
-    ones, extra fields are dropped (Spark's CSV behaviour for a text schema).
+    ones, extra fields are dropped (Spark's CSV behaviour for a text schema);
+    :func:`malformed_lines` counts such lines.
     """
     return (spark.read.option("header", True).option("mode", "PERMISSIVE")
-            .option("multiLine", False).csv(path))
+            .option("multiLine", False).option("escape", '"').csv(path))
 
 
 def read_csv_table(spark: SparkSession, path: str, table: str) -> DataFrame:
@@ -107,15 +129,18 @@ def read_csv_tables(spark: SparkSession, folder: str, file_names: dict | None =
 
 
 def ingest_report(spark: SparkSession, folder: str, file_names: dict | None = None) -> DataFrame:
-    """Unparsable cells per table and column over a folder of CSV files."""
+    """Unparsable cells per table and column over a folder of CSV files,
+    plus one ``_malformed_lines`` row per table (wrong number of fields)."""
     names = file_names or FILE_NAMES
     parts = []
     for name, schema in SCHEMAS.items():
+        path = f"{folder}/{names[name]}"
         try:
-            raw = read_raw(spark, f"{folder}/{names[name]}")
+            raw = read_raw(spark, path)
         except AnalysisException:
             continue
         parts.append(parse_report(raw, schema, name))
+        parts.append(malformed_lines(spark, path, name))
     if not parts:
         return spark.createDataFrame([], "table_name string, column string, unparsed long")
     return reduce(DataFrame.unionByName, parts)

@@ -76,6 +76,21 @@ def test_short_and_long_lines_are_kept(spark, tmp_path):
     got = {r["Receiver_ID"]: r for r in df.collect()}
     assert sorted(got) == [1, 2, 3]
     assert got[2]["Contact"] == "123" and got[3]["Name"] == "Tara" and got[3]["City"] is None
+    report = {(r["table_name"], r["column"]): r["unparsed"]
+              for r in ingest.ingest_report(spark, str(tmp_path)).collect()}
+    assert report[("receivers", "_malformed_lines")] == 2
+
+
+def test_quoted_commas_and_empty_fields_are_not_malformed(spark, tmp_path):
+    write(tmp_path / "receivers_data.csv",
+          'Receiver_ID,Name,Type,City,Contact\n'
+          '1,"Ravi, ""the"" NGO",NGO,Delhi,\n'
+          '2,,,,\n'
+          '\n')
+    got = ingest.malformed_lines(spark, str(tmp_path / "receivers_data.csv"), "receivers").first()
+    assert got["unparsed"] == 0
+    df = ingest.read_csv_table(spark, str(tmp_path / "receivers_data.csv"), "receivers")
+    assert [r["Name"] for r in df.orderBy("Receiver_ID").collect()] == ['Ravi, "the" NGO', None]
 
 
 def test_report_on_a_folder_without_files(spark, tmp_path):
