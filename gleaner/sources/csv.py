@@ -40,6 +40,11 @@ def _parse(c: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, (T.TimestampNTZType, T.TimestampType)):
         ts = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS])
         return ts.cast(dtype)
+    if isinstance(dtype, (T.LongType, T.IntegerType, T.ShortType)):
+        # "12.0" (an integer column exported with NaNs) is accepted; "12.5" is not.
+        d = text.try_cast("double")
+        integral = F.when(d == F.floor(d), F.floor(d)).try_cast(dtype)
+        return F.coalesce(text.try_cast(dtype), integral)
     return text.try_cast(dtype)
 
 

@@ -95,3 +95,13 @@ def test_quoted_commas_and_empty_fields_are_not_malformed(spark, tmp_path):
 
 def test_report_on_a_folder_without_files(spark, tmp_path):
     assert ingest.ingest_report(spark, str(tmp_path)).count() == 0
+
+
+def test_integral_decimals_are_ids(spark, tmp_path):
+    write(tmp_path / "claims_data.csv",
+          "Claim_ID,Food_ID,Receiver_ID,Status,Timestamp\n"
+          "1.0,7,3.0,Pending,2025-03-17 10:30:00\n"
+          "2,7.5,x,Pending,2025-03-17 10:30:00\n")
+    got = {r["Claim_ID"]: r for r in
+           ingest.read_csv_table(spark, str(tmp_path / "claims_data.csv"), "claims").collect()}
+    assert got[1]["Receiver_ID"] == 3 and got[2]["Food_ID"] is None and got[2]["Receiver_ID"] is None
