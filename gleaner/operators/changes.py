@@ -24,6 +24,12 @@ from gleaner.session import ensure_checkpoint_dir
 INSERT, UPDATE, DELETE = "insert", "update", "delete"
 
 
+def stamp_inserts(changes: DataFrame, column: str = "Timestamp") -> DataFrame:
+    """Inserts without a time get the current local time (a claim is stamped when submitted)."""
+    missing = (F.lower(F.trim("op")) == INSERT) & F.col(column).isNull()
+    return changes.withColumn(column, F.when(missing, F.localtimestamp()).otherwise(F.col(column)))
+
+
 def next_id_base(df: DataFrame, key: str) -> Column:
     """Highest key in the table, 0 when it is empty (the next id is this + 1)."""
     return df.agg(F.coalesce(F.max(key), F.lit(0)).cast("long")).scalar()

@@ -23,6 +23,7 @@ from gleaner.tables import Tables
 DATE_FORMATS = ("yyyy-MM-dd[ HH:mm[:ss][.SSSSSS]]", "yyyy-MM-dd'T'HH:mm[:ss][.SSSSSS]",
                 "yyyy/MM/dd[ HH:mm[:ss]]", "M/d/yyyy[ H:mm[:ss]]")
 
+# The file each table is read from.
 FILE_NAMES = {
     "providers": "providers_data.csv",
     "receivers": "receivers_data.csv",

@@ -132,3 +132,17 @@ def test_dates_survive_the_fold(spark):
         change_schema("food_listings"))
     out = {r["Food_ID"]: r for r in changes.apply_changes(base, ch, "Food_ID").collect()}
     assert out[10]["Expiry_Date"] == D.date(2030, 1, 1) and out[11]["Expiry_Date"] == LISTING_ROWS[1][3]
+
+
+def test_claim_inserts_are_stamped_with_local_time(spark):
+    from gleaner.schema import CLAIMS
+    base = spark.createDataFrame([], CLAIMS)
+    ch = spark.createDataFrame([
+        ("insert", 1, 1, 5, 2, "Pending", None, None),
+        ("insert", 2, 2, 5, 2, "Pending", D.datetime(2025, 3, 1, 9, 0), None),
+    ], change_schema("claims"))
+    out = {r["Claim_ID"]: r["Timestamp"] for r in
+           changes.apply_changes(base, changes.stamp_inserts(ch), "Claim_ID").collect()}
+    assert out[2] == D.datetime(2025, 3, 1, 9, 0)
+    assert out[1] is not None and abs((out[1] - D.datetime.now()).total_seconds()) < 24 * 3600
+    assert out[1].tzinfo is None
