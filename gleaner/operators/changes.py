@@ -43,7 +43,12 @@ def assign_ids(new: DataFrame, key: str, base: Column, order_by: list[str] | Non
     is the number of rows before it, counted from one row per partition.
     """
     ensure_checkpoint_dir(new.sparkSession)
-    staged = new.orderBy(*order_by) if order_by else new
+    staged = new
+    if order_by:
+        # The last sort key tells identical rows apart, so the range partitioner
+        # can split a large group of copies instead of sending it to one task.
+        staged = (new.withColumn("_tie", F.monotonically_increasing_id())
+                  .orderBy(*order_by, "_tie").drop("_tie"))
     staged = staged.checkpoint(eager=True)
     pos = (staged.withColumn("_pid", F.spark_partition_id())
            .withColumn("_pos", F.monotonically_increasing_id()

@@ -146,3 +146,22 @@ def test_claim_inserts_are_stamped_with_local_time(spark):
     assert out[2] == D.datetime(2025, 3, 1, 9, 0)
     assert out[1] is not None and abs((out[1] - D.datetime.now()).total_seconds()) < 24 * 3600
     assert out[1].tzinfo is None
+
+
+def test_a_third_of_identical_copies_is_split_across_sort_partitions(spark):
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        rows = [(None, "Same", "NGO", None, "Goa", None)] * 3000 + \
+               [(None, f"N{i}", "NGO", None, "Goa", None) for i in range(6000)]
+        df = spark.createDataFrame(rows, PROVIDERS).repartition(8)
+        out = changes.assign_ids(df, "Provider_ID", F.lit(0).cast("long"), ["Name", "City"])
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        ids = sorted(r["Provider_ID"] for r in out.select("Provider_ID").collect())
+        assert ids == list(range(1, 9001))
+        assert max(sizes) < 3000  # the 3,000 copies did not land in one partition
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
