@@ -9,7 +9,10 @@ Two layouts:
   ``n`` buckets. Claims aggregated per Food_ID and joined to listings then need
   no exchange at all (both sides are already hash-distributed the same way),
   which removes the claims-sized shuffle from every Food_ID metric. Pick ``n``
-  so one claims bucket is about 256 MB-1 GB.
+  so one claims bucket is about 256 MB-1 GB. Bucketing co-locates equal keys:
+  a Food_ID holding a large share of the claims makes one bucket (and the one
+  task that reads it) as large. Use it where no key dominates; the default
+  layout leaves hot keys to partial aggregation and AQE's skew handling.
 
 The layout is recorded next to the tables (``_layout``) so ``load_tables``
 re-registers the bucket spec in the session catalog over the same files.
@@ -39,8 +42,12 @@ def save_table(df: DataFrame, path: str, table: str, files: int | None = None) -
     col = CLUSTER_BY.get(table)
     out = df
     if col is not None:
-        out = (df.repartitionByRange(files, col) if files else df.repartitionByRange(col))
-        out = out.sortWithinPartitions(col)
+        # A tie-breaker after the date lets the range partitioner split a date
+        # that holds a large share of the rows over several files.
+        tied = df.withColumn("_tie", F.monotonically_increasing_id())
+        out = (tied.repartitionByRange(files, col, "_tie") if files
+               else tied.repartitionByRange(col, "_tie"))
+        out = out.sortWithinPartitions(col).drop("_tie")
     elif files:
         out = df.repartition(files)
     out.write.mode("overwrite").parquet(path)

@@ -105,3 +105,17 @@ def test_integral_decimals_are_ids(spark, tmp_path):
     got = {r["Claim_ID"]: r for r in
            ingest.read_csv_table(spark, str(tmp_path / "claims_data.csv"), "claims").collect()}
     assert got[1]["Receiver_ID"] == 3 and got[2]["Food_ID"] is None and got[2]["Receiver_ID"] is None
+
+
+def test_a_hot_expiry_date_is_spread_over_files(spark, tmp_path):
+    import datetime as dt
+    from gleaner.schema import FOOD_LISTINGS
+    from gleaner.sources.store import save_table
+    hot = [(i, "Rice", 1, dt.date(2025, 3, 17), 1, "R", "Goa", "Veg", "Lunch") for i in range(3000)]
+    rest = [(3000 + i, "Dal", 1, dt.date(2025, 1, 1) + dt.timedelta(days=i % 300), 1, "R", "Goa", "Veg",
+             "Lunch") for i in range(6000)]
+    df = spark.createDataFrame(hot + rest, FOOD_LISTINGS).repartition(4)
+    save_table(df, str(tmp_path / "l"), "food_listings", files=8)
+    import pyarrow.parquet as pq
+    counts = [pq.ParquetFile(p).metadata.num_rows for p in (tmp_path / "l").glob("*.parquet")]
+    assert sum(counts) == 9000 and max(counts) < 3000
