@@ -307,6 +307,8 @@ def oracle_bodies(params: dict | None = None) -> dict[str, str]:
             "SELECT * FROM food_listings f WHERE f.Food_ID IS NULL OR f.Food_ID NOT IN "
             f"(SELECT Food_ID FROM food_listings WHERE Expiry_Date < {as_of} AND Food_ID IS NOT NULL)",
         "listings_quantity_settled": _settled_sql("food_listings"),
+        "listings_via_csv": "SELECT * FROM food_listings",
+        "claims_via_csv": "SELECT * FROM claims",
         "listings_after_changes": _settled_sql(
             "(SELECT * FROM food_listings f WHERE f.Food_ID IS NULL OR f.Food_ID NOT IN "
             f"(SELECT Food_ID FROM food_listings WHERE Expiry_Date < {as_of} AND Food_ID IS NOT NULL))"),

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from gleaner.operators import cities, claims, listings, parties, search, supply, quality
-from gleaner.plans import upkeep
+from gleaner.plans import roundtrip, upkeep
 from gleaner.tables import Tables
 
 
@@ -116,6 +116,9 @@ CATALOGUE: dict[str, Metric] = {
     "listings_without_expired": Metric(upkeep.listings_without_expired, ("as_of",)),
     "listings_quantity_settled": Metric(upkeep.listings_quantity_settled),
     "listings_after_changes": Metric(upkeep.listings_after_changes, ("as_of",)),
+    # CSV ingest on whole tables (written by Spark, read back typed).
+    "listings_via_csv": Metric(roundtrip.listings_via_csv),
+    "claims_via_csv": Metric(roundtrip.claims_via_csv),
 }
 
 

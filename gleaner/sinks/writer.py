@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 
 
 def write_result(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Replace the result at ``path``. CSV gets a header row like a spreadsheet."""
+    """Replace the result at ``path``. CSV gets a header row and RFC 4180 quoting
+    (a quote inside a quoted value is doubled), the form the CSV reader expects."""
     w = df.write.mode("overwrite").format(fmt)
     if fmt == "csv":
-        w = w.option("header", True)
+        w = w.option("header", True).option("escape", '"')
     w.save(path)
 
 
