@@ -36,8 +36,13 @@ def read_snapshot(spark: SparkSession, root: str, table: str, version: int) -> D
 
 
 def start(spark: SparkSession, table: str, changes_dir: str, root: str,
-          checkpoint_location: str | None = None, trigger: dict | None = None) -> StreamingQuery:
-    """Start the change stream for ``table``; returns the running query."""
+          checkpoint_location: str | None = None, trigger: dict | None = None,
+          max_files_per_trigger: int | None = None) -> StreamingQuery:
+    """Start the change stream for ``table``; returns the running query.
+
+    ``max_files_per_trigger`` bounds a micro-batch, so a backlog of change
+    files is folded in several snapshots instead of one oversized batch.
+    """
     key = KEYS[table]
     location = checkpoint_location or f"{ensure_checkpoint_dir(spark)}/changes-{table}"
 
@@ -46,7 +51,10 @@ def start(spark: SparkSession, table: str, changes_dir: str, root: str,
         nxt = apply_changes(current, batch, key)
         nxt.write.mode("overwrite").parquet(snapshot_path(root, batch_id + 1))
 
-    stream = spark.readStream.schema(change_schema(table)).parquet(changes_dir)
+    reader = spark.readStream.schema(change_schema(table))
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    stream = reader.parquet(changes_dir)
     writer = stream.writeStream.foreachBatch(apply_batch).option("checkpointLocation", location)
     if trigger:
         writer = writer.trigger(**trigger)

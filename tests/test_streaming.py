@@ -63,3 +63,18 @@ def test_failed_batch_is_replayed_once(spark, tmp_path, monkeypatch):
     v1 = {r["Provider_ID"]: r for r in stream.read_snapshot(spark, root, "providers", 1).collect()}
     assert sorted(v1) == [1, 2, 3, 4, 5, 6]
     assert v1[6]["Name"] == "Keyless" and v1[3]["City"] == "Pune"
+
+
+def test_backlog_is_folded_in_bounded_batches(spark, tmp_path):
+    root, inbox = str(tmp_path / "p"), str(tmp_path / "inbox")
+    stream.write_initial(spark.createDataFrame(PROVIDER_ROWS, PROVIDERS), root)
+    for i in range(3):
+        spark.createDataFrame([("insert", i, 10 + i, f"N{i}", "NGO", None, "Goa", None, None)],
+                              change_schema("providers")).coalesce(1).write.mode("append").parquet(inbox)
+    q = stream.start(spark, "providers", inbox, root, str(tmp_path / "ckpt"), max_files_per_trigger=1)
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    sizes = [stream.read_snapshot(spark, root, "providers", v).count() for v in range(4)]
+    assert sizes == [5, 6, 7, 8]
