@@ -89,16 +89,19 @@ def _fold(changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
             .groupBy(key).agg(*aggs))
 
 
-def apply_updates(df: DataFrame, updates: DataFrame, key: str) -> DataFrame:
+def apply_updates(df: DataFrame, updates: DataFrame, key: str,
+                  updatable: list[str] | None = None) -> DataFrame:
     """Set the listed columns of every row with the key; later ``seq`` wins per column."""
     if "op" not in updates.columns:
         updates = updates.withColumn("op", F.lit(UPDATE))
     if "seq" not in updates.columns:
         updates = updates.withColumn("seq", F.lit(0).cast("long"))
-    return apply_changes(df, updates.where(F.lower(F.trim("op")) == UPDATE), key, new_ids=False)
+    return apply_changes(df, updates.where(F.lower(F.trim("op")) == UPDATE), key, new_ids=False,
+                         updatable=updatable)
 
 
-def apply_changes(df: DataFrame, changes: DataFrame, key: str, new_ids: bool = True) -> DataFrame:
+def apply_changes(df: DataFrame, changes: DataFrame, key: str, new_ids: bool = True,
+                  updatable: list[str] | None = None) -> DataFrame:
     """The table after all changes, statement by statement in ``seq`` order.
 
     A row (existing, or inserted at seq ``s``) survives unless a delete of its
@@ -106,11 +109,14 @@ def apply_changes(df: DataFrame, changes: DataFrame, key: str, new_ids: bool = T
     it after the row existed. Keyless inserts get new ids after the keyed
     changes, in ``seq`` order. ``seq`` values are expected to be unique.
     ``new_ids=False`` declares that the batch has no keyless inserts, which
-    skips the id assignment (and its checkpoint).
+    skips the id assignment (and its checkpoint). ``updatable`` names the only
+    columns updates may set (others in ``set_columns`` are ignored); the fold
+    then aggregates just those, e.g. as a hash aggregate for numeric columns.
     """
     columns = [c for c in df.columns if c != key]
+    settable = [c for c in columns if updatable is None or c in updatable]
     changes = changes.withColumn("op", F.lower(F.trim("op")))
-    fold = _fold(changes, key, columns)
+    fold = _fold(changes, key, settable)
     inserts = changes.where((F.col("op") == INSERT))
     rows = (df.withColumn("_seq", F.lit(None).cast("long"))
             .unionByName(inserts.where(F.col(key).isNotNull())
@@ -120,6 +126,9 @@ def apply_changes(df: DataFrame, changes: DataFrame, key: str, new_ids: bool = T
     alive = F.col("_del").isNull() | (born.isNotNull() & (born > F.col("_del")))
     out = []
     for c in columns:
+        if c not in settable:
+            out.append(F.col(f"`{c}`"))
+            continue
         at = F.col(f"_at_{c}")
         later = at.isNotNull() & (born.isNull() | (at > born))
         out.append(F.when(later, F.col(f"_val_{c}")).otherwise(F.col(f"`{c}`")).alias(c))

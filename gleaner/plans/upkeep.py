@@ -53,7 +53,7 @@ def _settle_updates(t: Tables, seq: int) -> DataFrame:
 
 
 def listings_quantity_settled(t: Tables) -> DataFrame:
-    return apply_updates(t.listings, _settle_updates(t, 1), "Food_ID")
+    return apply_updates(t.listings, _settle_updates(t, 1), "Food_ID", updatable=["Quantity"])
 
 
 def listings_after_changes(t: Tables, as_of=None) -> DataFrame:
@@ -61,4 +61,5 @@ def listings_after_changes(t: Tables, as_of=None) -> DataFrame:
             for f in t.listings.schema.fields]
     deletes = _expired_keys(t, as_of).select(F.lit(DELETE).alias("op"), F.lit(1).cast("long").alias("seq"),
                                             *cols, F.lit(None).cast("array<string>").alias("set_columns"))
-    return apply_changes(t.listings, deletes.unionByName(_settle_updates(t, 2)), "Food_ID", new_ids=False)
+    return apply_changes(t.listings, deletes.unionByName(_settle_updates(t, 2)), "Food_ID",
+                         new_ids=False, updatable=["Quantity"])

@@ -165,3 +165,17 @@ def test_a_third_of_identical_copies_is_split_across_sort_partitions(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_updatable_limits_the_columns_an_update_may_set(spark):
+    upd = change_rows(spark, [("update", 1, 1, "X", "Y", None, "Z", None, ["Name", "City"])])
+    out = as_dict(changes.apply_updates(providers(spark), upd, "Provider_ID", updatable=["City"]))
+    assert out[1]["City"] == "Z" and out[1]["Name"] == "Asha"
+
+
+def test_fold_of_a_numeric_column_is_a_hash_aggregate(spark):
+    ch = spark.createDataFrame(
+        [("update", 1, 10, None, 3, None, None, None, None, None, None, ["Quantity"])],
+        change_schema("food_listings"))
+    plan = changes._fold(ch, "Food_ID", ["Quantity"])._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
