@@ -65,15 +65,8 @@ def _in_list(values) -> str:
 
 def _domain_sql() -> str:
     parts = []
-    for table, rule, column, _ in DOMAIN_RULES:
-        if column == "Quantity":
-            bad = f"Quantity < {schema.MIN_QUANTITY}"
-        else:
-            domain = {"providers": schema.PROVIDER_TYPES, "receivers": schema.RECEIVER_TYPES,
-                      "Food_Type": schema.FOOD_TYPES, "Meal_Type": schema.MEAL_TYPES,
-                      "Status": schema.CLAIM_STATUSES}
-            values = domain[table] if column == "Type" else domain[column]
-            bad = f"{column} NOT IN {_in_list(values)}"
+    for table, rule, column, kind, arg in DOMAIN_RULES:
+        bad = f"{column} NOT IN {_in_list(arg)}" if kind == "in" else f"{column} < {arg}"
         parts.append(f"SELECT {_q(table)} AS table_name, {_q(rule)} AS rule, "
                      f"{schema.KEYS[table]} AS row_key, CAST({column} AS VARCHAR) AS bad_value "
                      f"FROM {table} WHERE {column} IS NOT NULL AND {bad}")

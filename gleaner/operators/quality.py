@@ -14,17 +14,22 @@ from pyspark.sql import functions as F
 from gleaner import schema
 from gleaner.tables import Tables
 
-# (table, rule name, column, predicate that a valid non-NULL value satisfies)
+# (table, rule name, column, kind, argument): a non-NULL value is valid when it
+# is "in" the listed values, or is at least the "min" value.
 DOMAIN_RULES = [
-    ("providers", "Type in provider types", "Type", lambda c: c.isin(*schema.PROVIDER_TYPES)),
-    ("receivers", "Type in receiver types", "Type", lambda c: c.isin(*schema.RECEIVER_TYPES)),
-    ("food_listings", "Food_Type in food types", "Food_Type", lambda c: c.isin(*schema.FOOD_TYPES)),
-    ("food_listings", "Meal_Type in meal types", "Meal_Type", lambda c: c.isin(*schema.MEAL_TYPES)),
-    ("food_listings", "Quantity >= minimum", "Quantity", lambda c: c >= F.lit(schema.MIN_QUANTITY)),
-    ("claims", "Status in claim statuses", "Status", lambda c: c.isin(*schema.CLAIM_STATUSES)),
+    ("providers", "Type in provider types", "Type", "in", schema.PROVIDER_TYPES),
+    ("receivers", "Type in receiver types", "Type", "in", schema.RECEIVER_TYPES),
+    ("food_listings", "Food_Type in food types", "Food_Type", "in", schema.FOOD_TYPES),
+    ("food_listings", "Meal_Type in meal types", "Meal_Type", "in", schema.MEAL_TYPES),
+    ("food_listings", "Quantity >= minimum", "Quantity", "min", schema.MIN_QUANTITY),
+    ("claims", "Status in claim statuses", "Status", "in", schema.CLAIM_STATUSES),
 ]
 
 
+def _valid(c: Column, kind: str, arg) -> Column:
+    return c.isin(*arg) if kind == "in" else c >= F.lit(arg)
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
@@ -33,9 +38,9 @@ def domain_violations(t: Tables, rules=None) -> DataFrame:
     """One row per (table, rule, row_key) whose non-NULL value is outside the rule."""
     tables = t.by_name()
     out = []
-    for table, rule, column, valid in rules or DOMAIN_RULES:
+    for table, rule, column, kind, arg in rules or DOMAIN_RULES:
         c: Column = F.col(column)
-        out.append(tables[table].where(c.isNotNull() & ~valid(c)).select(
+        out.append(tables[table].where(c.isNotNull() & ~_valid(c, kind, arg)).select(
             F.lit(table).alias("table_name"), F.lit(rule).alias("rule"),
             F.col(schema.KEYS[table]).alias("row_key"), c.cast("string").alias("bad_value")))
     return _union(out)
