@@ -63,7 +63,7 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("--contact-pattern", default="")
     run.add_argument("--provider-name", default=None)
     run.add_argument("--queries", default="", help="comma-separated keys (default: all)")
-    run.add_argument("--format", default="parquet", choices=["parquet", "csv"])
+    run.add_argument("--format", default="parquet", choices=["parquet", "csv", "json"])
     run.add_argument("--parallel", type=int, default=4)
     return p
 
