@@ -11,6 +11,8 @@ def write_result(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     w = df.write.mode("overwrite").format(fmt)
     if fmt == "csv":
         w = w.option("header", True).option("escape", '"')
+    elif fmt == "json":
+        w = w.option("ignoreNullFields", False)  # keep NULL values as explicit nulls
     w.save(path)
 
 
