@@ -3,6 +3,7 @@
     python -m gleaner load  --csv DIR --store DIR
     python -m gleaner run   (--csv DIR | --store DIR) --out DIR [--as-of D] [--city C] ...
     python -m gleaner check (--csv DIR | --store DIR) --out DIR
+    python -m gleaner explain (--csv DIR | --store DIR) --query KEY
 
 Under ``spark-submit`` the submitted session is used; ``--local`` starts
 ``local[*]`` instead.
@@ -48,20 +49,25 @@ def parser() -> argparse.ArgumentParser:
     load.add_argument("--csv", required=True)
     load.add_argument("--store", required=True)
 
-    for name in ("run", "check"):
+    for name in ("run", "check", "explain"):
         s = sub.add_parser(name)
         src = s.add_mutually_exclusive_group(required=True)
         src.add_argument("--csv")
         src.add_argument("--store")
-        s.add_argument("--out", required=True)
+        if name != "explain":
+            s.add_argument("--out", required=True)
+
+    explain = sub.choices["explain"]
+    explain.add_argument("--query", required=True, help="catalogue key")
 
     run = sub.choices["run"]
-    run.add_argument("--as-of", default=None, help="reference date (default: today)")
-    run.add_argument("--city", default="Mumbai")
-    run.add_argument("--food-type", default="Non-Veg")
-    run.add_argument("--listing-pattern", default="")
-    run.add_argument("--contact-pattern", default="")
-    run.add_argument("--provider-name", default=None)
+    for s in (run, explain):
+        s.add_argument("--as-of", default=None, help="reference date (default: today)")
+        s.add_argument("--city", default="Mumbai")
+        s.add_argument("--food-type", default="Non-Veg")
+        s.add_argument("--listing-pattern", default="")
+        s.add_argument("--contact-pattern", default="")
+        s.add_argument("--provider-name", default=None)
     run.add_argument("--queries", default="", help="comma-separated keys (default: all)")
     run.add_argument("--format", default="parquet", choices=["parquet", "csv", "json"])
     run.add_argument("--parallel", type=int, default=4)
@@ -87,6 +93,9 @@ def main(argv=None) -> int:
     params = {"as_of": args.as_of, "city": args.city, "food_type": args.food_type,
               "listing_pattern": args.listing_pattern, "contact_pattern": args.contact_pattern,
               "provider_name": args.provider_name}
+    if args.cmd == "explain":
+        CATALOGUE[args.query](tables, **params).explain("formatted")
+        return 0
     keys = [k for k in args.queries.split(",") if k] or list(CATALOGUE)
     log = run_catalogue(spark, tables, args.out, params, keys, fmt=args.format,
                         parallel=args.parallel)

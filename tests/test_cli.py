@@ -29,3 +29,11 @@ def test_load_run_check(spark, tmp_path):
     assert log == {"wasted_quantity_by_location": 3, "provider_contacts_in_city": 2}
     assert main(["check", "--store", store, "--out", str(tmp_path / "check")]) == 0
     assert spark.read.parquet(str(tmp_path / "check" / "orphan_references")).count() == 1
+
+
+def test_explain_prints_the_plan(spark, tmp_path, capsys):
+    from gleaner.sources.store import save_tables
+    save_tables(edge_tables(spark), str(tmp_path / "store"))
+    assert main(["explain", "--store", str(tmp_path / "store"), "--query", "city_flow"]) == 0
+    out = capsys.readouterr().out
+    assert "Physical Plan" in out and "Join" in out
