@@ -12,6 +12,7 @@ Each query's log row is written as soon as the query ends
 
 from __future__ import annotations
 
+import json
 import time
 from concurrent.futures import ThreadPoolExecutor
 
@@ -28,8 +29,9 @@ ROW_SCHEMA = T.StructType([
     T.StructField("row_count", T.LongType()),
     T.StructField("seconds", T.DoubleType()),
     T.StructField("error", T.StringType()),
+    T.StructField("params", T.StringType()),
 ])
-COLUMNS = ["query", "status", "row_count", "seconds", "error"]
+COLUMNS = ["query", "status", "row_count", "seconds", "error", "params"]
 
 
 def _log_root(root: str) -> str:
@@ -47,6 +49,8 @@ def read_run_log(spark: SparkSession, root: str) -> DataFrame | None:
 def _run_one(spark: SparkSession, key: str, tables: Tables, root: str, fmt: str, params: dict):
     t0 = time.time()
     path = f"{root}/{key}"
+    used = {arg: params.get(p) for arg, p in CATALOGUE[key].bindings().items()}
+    used = json.dumps(used, default=str, sort_keys=True)
     try:
         df = CATALOGUE[key](tables, **params)
         write_result(df, path, fmt)
@@ -54,9 +58,9 @@ def _run_one(spark: SparkSession, key: str, tables: Tables, root: str, fmt: str,
         if fmt == "csv":
             reader = reader.option("header", True)
         n = reader.load(path).count()
-        row = ("ok" if n else "empty", n, time.time() - t0, None)
+        row = ("ok" if n else "empty", n, time.time() - t0, None, used)
     except Exception as e:  # noqa: BLE001 - recorded in the run log
-        row = ("error", None, time.time() - t0, f"{type(e).__name__}: {e}"[:2000])
+        row = ("error", None, time.time() - t0, f"{type(e).__name__}: {e}"[:2000], used)
     spark.createDataFrame([row], ROW_SCHEMA).coalesce(1).write.mode("overwrite").parquet(
         f"{_log_root(root)}/query={key}")
     return key

@@ -14,6 +14,7 @@ def test_run_writes_results_and_log(spark, edge, tmp_path, monkeypatch):
         spark, t, str(tmp_path), params, keys, parallel=2).collect()}
     assert log["claims_by_status"]["status"] == "ok" and log["claims_by_status"]["row_count"] == 4
     assert log["providers_in_city"]["status"] == "empty"
+    assert log["providers_in_city"]["params"] == '{"city": "Atlantis"}' and log["claims_by_status"]["params"] == "{}"
     assert log["broken"]["status"] == "error" and "nope" in log["broken"]["error"]
     assert log["orphan_references"]["row_count"] == 1
     back = spark.read.parquet(str(tmp_path / "claims_by_status"))
