@@ -9,11 +9,13 @@ whatever the texts' lengths (one text is never cut).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 SLICE_BYTES = 2 << 20
 
@@ -79,3 +81,25 @@ def count_per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def words_per_text(buf: np.ndarray, offsets: np.ndarray, table: np.ndarray = IN_WORD) -> np.ndarray:
     """Number of maximal runs of word bytes in each text."""
     return count_per_text(starts_of(table[buf], offsets), offsets)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores behind it, so that ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def add_columns(df: DataFrame, text_col: str, ddl: str,
+                compute: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
+    """``df`` and the columns of ``ddl``, which ``compute`` makes of a slice of texts."""
+    added = StructType.fromDDL(ddl)
+    names = df.columns + added.names
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_col):
+            yield pa.RecordBatch.from_arrays([*batch.columns, *compute(batch.column(at))], names=names)
+
+    return df.mapInArrow(run, StructType(df.schema.fields + added.fields))

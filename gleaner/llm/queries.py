@@ -11,7 +11,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import sentence_pieces
+from gleaner.llm import (
+    isolation_rules,
+    licenses,
+    order_minhash,
+    sentence_pieces,
+    sign_hash,
+    site_lines,
+    site_quality,
+    source_mix,
+    token_orc,
+    toxic_terms,
+)
+from gleaner.llm.lineage import scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +36,17 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its source's boilerplate lines."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return site_lines.clean(docs, n_lines="n_lines", n_dropped="n_dropped").drop("source")
+
+
+def op2_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence, site rates, score and decision of every document."""
+    return site_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     docs = table(spark, sf_dir, "documents")
@@ -31,8 +54,47 @@ def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         sentence_pieces.encode_decode(docs, tokenizer("piece_bpe_32k.model")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_sentence_pieces": op3_sentence_pieces,
-}
+def op4_isolation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule statistics and verdict of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return isolation_rules.apply(docs, isolation_rules.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_sign_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    return sign_hash.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
+    return source_mix.mix(table(spark, sf_dir, "documents"))
+
+
+def op7_toxic_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return toxic_terms.score(docs, toxic_terms.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return order_minhash.classes(table(spark, sf_dir, "documents"))
+
+
+def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document's ids, as read back from the ORC files."""
+    path = scratch(spark, "tokens")
+    token_orc.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer("word_bpe_49k.json"), end_id=2)
+    return token_orc.with_crc(token_orc.read_tokens(spark, path))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every document."""
+    return licenses.summary(licenses.scan(table(spark, sf_dir, "documents")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_site_lines, op2_site_quality, op3_sentence_pieces, op4_isolation_rules, op5_sign_hash,
+    op6_source_mix, op7_toxic_terms, op8_order_minhash, op9_token_orc, op10_licenses)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_site_lines": site_lines.ORACLE}
