@@ -8,20 +8,44 @@ the columns of ``documents``.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gleaner.llm import order_minhash, queries, sentence_pieces, site_lines, site_quality, source_mix
+from gleaner.llm.lineage import scratch
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps; it learns from the labelled ones among them."""
+    return site_quality.keep_good(docs, queries.table(spark, sf_dir, "labels"))
+
+
+def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without its source's boilerplate lines; ``n_chars`` follows the text."""
+    return site_lines.clean(docs).withColumn(
+        "n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group."""
+    return order_minhash.keep_first(docs)
+
 
-from gleaner.llm import queries, sentence_pieces
-from gleaner.session import ensure_checkpoint_dir
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: documents as often, and as far, as their source's quota takes them."""
+    return source_mix.mixed_rows(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids and decoded text of every document that is left."""
+    """Token ids and decoded text of every document of the mix."""
     return sentence_pieces.encode_decode(docs, queries.tokenizer("piece_bpe_32k.model"))
 
 
 STAGES = [
+    ("site_quality", keep_good),
+    ("site_lines", drop_boilerplate),
+    ("order_minhash", drop_near_copies),
+    ("source_mix", mix_sources),
     ("sentence_pieces", encode),
 ]
 
@@ -32,7 +56,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``; the rows of the last one."""
     docs = queries.table(spark, sf_dir, "documents")
-    folder = f"{ensure_checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    folder = scratch(spark, "corpus")
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
