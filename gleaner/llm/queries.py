@@ -7,6 +7,7 @@ queries take the installed ``public_tokenizers`` package's.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +26,15 @@ from gleaner.llm import (
 )
 from gleaner.llm.lineage import scratch
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of ``sf_dir``; a local session's workers learn where this package is (a cluster's get it by --py-files)."""
+    sc = spark.sparkContext
+    if sc.master.startswith("local"):
+        paths = sc.environment.get("PYTHONPATH", "").split(os.pathsep)
+        sc.environment["PYTHONPATH"] = os.pathsep.join(dict.fromkeys([ROOT, *filter(None, paths)]))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
