@@ -46,6 +46,8 @@ MAX_LABELLED = 20_000
 PRECISION = 0.75
 FUZZY_FROM, FUZZY_TWO_FROM = 5, 10
 SPAN = 6
+#: Share of a term's weight that its misspelled forms have if the sample holds none at all.
+UNSEEN_TRUST = 0.8
 CACHE_WORDS = 600_000
 
 WORD = re.compile(r"\w+")
@@ -169,18 +171,19 @@ class Model:
         if not hits:
             return [0.0] * 7
         lower = text.lower()
-        exact, fuzzy, quoted, aimed, most = [], [], 0.0, 0, 0.0
+        found, fuzzy, quoted, aimed, most = [], 0.0, 0.0, 0, 0.0
         for at, term, distance in hits:
             share = context(lower, at, len(term))
             aimed += share[1]
             quoted += share[0]
             weight = self.weights[term] if not distance else max(0.0, self.trust.get(term, 0.0)) / distance
             weight *= 1 - 0.8 * share[0]
-            (fuzzy if distance else exact).append(weight)
+            found.append(weight)
+            fuzzy += weight * (distance > 0)
             most = max(most, weight)
         n = len(hits)
-        return [most, np.log1p(sum(exact)), np.log1p(sum(fuzzy)), float(len({h[1] for h in hits if not h[2]})),
-                quoted / n, aimed / n, np.log1p(sum(exact) + sum(fuzzy)) / np.log(2 + len(lower) / 6)]
+        return [most, np.log1p(sum(found)), np.log1p(fuzzy), float(len({h[1] for h in hits})),
+                quoted / n, aimed / n, np.log1p(sum(found)) / np.log(2 + len(lower) / 6)]
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         if self.evidence is None:
@@ -250,8 +253,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     trust = {r["term"]: float(np.log((r["a"] + 0.5) / (toxic + 1)) - np.log((r["n"] - r["a"] + 0.5) / (n - toxic + 1)))
              for r in rows.mapInArrow(fuzzy, "term string, y long").groupBy("term")
              .agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("n")).collect()}
-    # A term without misspelled forms in the sample: half its own weight.
-    model = Model(weights, {t: trust.get(t, w / 2) for t, w in weights.items()})
+    # A term without misspelled forms in the sample is trusted as far as those of the others are, on average.
+    share = float(np.clip(np.mean([v / weights[t] for t, v in trust.items()]), 0, 1)) if trust else UNSEEN_TRUST
+    model = Model(weights, {t: trust.get(t, w * share) for t, w in weights.items()})
     second = docs.sparkSession.sparkContext.broadcast(model)
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
