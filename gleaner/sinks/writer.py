@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame
 
 def write_result(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Replace the result at ``path``. CSV gets a header row and RFC 4180 quoting
-    (a quote inside a quoted value is doubled), the form the CSV reader expects."""
+    (a quote inside a quoted value is doubled), the form the CSV reader expects;
+    blanks around a value are kept."""
     w = df.write.mode("overwrite").format(fmt)
     if fmt == "csv":
-        w = w.option("header", True).option("escape", '"')
+        w = (w.option("header", True).option("escape", '"')
+             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
     elif fmt == "json":
         w = w.option("ignoreNullFields", False)  # keep NULL values as explicit nulls
     w.save(path)

@@ -1,9 +1,18 @@
-"""CSV ingest: header cleanup, typed columns, unparsable values become NULL.
+"""CSV ingest: header cleanup, blank markers, typed columns, unparsable values become NULL.
 
 The CSV is read as text (no ``inferSchema``, which would scan the data twice),
-column names are stripped of surrounding spaces, and each column of the
-table's schema is parsed with a ``try_`` function so bad values turn into NULL
-instead of failing the job under ANSI mode. ``parse_report`` counts them.
+column names are stripped of surrounding spaces, blank markers become NULL, and
+each column of the table's schema is parsed with ``try_`` functions so bad values
+turn into NULL instead of failing the job under ANSI mode. ``parse_report``
+counts them.
+
+A quoted field may hold line breaks (``multi_line=True``, the default). Such a
+file cannot be split, so parallelism comes from the number of files; the load
+pays that once and writes Parquet. ``multi_line=False`` splits files and is for
+tables known to have no line breaks inside fields.
+
+Lines with a wrong number of fields keep what fits, and the whole line is kept
+in ``_corrupt_record`` (:func:`bad_records`).
 """
 
 from __future__ import annotations
@@ -18,24 +27,78 @@ from pyspark.sql import types as T
 from gleaner.schema import SCHEMAS
 from gleaner.tables import Tables
 
-# Text layouts accepted for dates and timestamps (month before day, as pandas
-# assumes by default), each with a regex for its shape. A value is parsed only
-# with the layout its shape selects: a failed parse costs about twice a
-# successful one, so trying layouts one after another would be 3x slower.
-DATE_LAYOUTS = (
-    (r"^\d{4}-\d{2}-\d{2}( |$)", "yyyy-MM-dd[ HH:mm[:ss][.SSSSSS]]"),
-    (r"^\d{4}-\d{2}-\d{2}T", "yyyy-MM-dd'T'HH:mm[:ss][.SSSSSS]"),
-    (r"^\d{4}/\d{2}/\d{2}", "yyyy/MM/dd[ HH:mm[:ss]]"),
-    (r"^\d{1,2}/\d{1,2}/\d{4}", "M/d/yyyy[ H:mm[:ss]]"),
+CORRUPT = "_corrupt_record"
+
+# Cells that count as missing.
+BLANK_MARKERS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
+# Shapes of a date at the start of a cell, each with its rewriting to year-month-day.
+# Month stands before day unless it cannot be a month.
+MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+YEAR_FIRST = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?!\d)"
+DIGITS = r"^(\d{4})(\d{2})(\d{2})(?!\d)"
+YEAR_LAST = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})(?!\d)"
+MONTH_NAME = r"^(?:[A-Za-z]{3,9},? +)?([A-Za-z]{3})[a-z]*\.? +(\d{1,2})(?:st|nd|rd|th)?,? +(\d{4})(?!\d)"
+DAY_MONTH_NAME = r"^(?:[A-Za-z]{3,9},? +)?(\d{1,2})(?:st|nd|rd|th)?[ -]([A-Za-z]{3})[a-z]*\.?[ ,-]+(\d{4})(?!\d)"
+TIME = (r"^(?:[T ] *(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)? *([AaPp][Mm])? *"
+        r"(Z|UTC|GMT|[+-]\d{2}:?\d{2})?)?$")
+
 
-def _by_layout(text: Column, parse) -> Column:
-    out = None
-    for shape, layout in DATE_LAYOUTS:
-        hit = text.rlike(shape)
-        out = F.when(hit, parse(layout)) if out is None else out.when(hit, parse(layout))
-    return out
+def _moment(text: Column) -> Column:
+    """The local date and time in a cell, in UTC if it names a zone; NULL if it holds none.
+
+    Fractions beyond microseconds are cut.
+    """
+    def part(pattern: str, k: int) -> Column:
+        return F.regexp_extract(text, pattern, k)
+
+    def number(c: Column) -> Column:
+        return c.try_cast("int")
+
+    def month(c: Column) -> Column:
+        at = F.instr(F.lit(MONTHS), F.lower(c))
+        return F.when((at > 0) & (at % 3 == 1), ((at + 2) / 3).cast("int"))
+
+    shape = (F.when(text.rlike(YEAR_FIRST), 1).when(text.rlike(DIGITS), 2).when(text.rlike(YEAR_LAST), 3)
+             .when(text.rlike(MONTH_NAME), 4).when(text.rlike(DAY_MONTH_NAME), 5))
+    first, second = number(part(YEAR_LAST, 1)), number(part(YEAR_LAST, 2))
+    day_first = (first > 12) & (second <= 12)
+
+    def chosen(*by_shape: Column) -> Column:
+        out = F.when(shape == 1, by_shape[0])
+        for k, c in enumerate(by_shape[1:], 2):
+            out = out.when(shape == k, c)
+        return out
+
+    year = chosen(*(number(part(p, k)) for p, k in
+                    ((YEAR_FIRST, 1), (DIGITS, 1), (YEAR_LAST, 3), (MONTH_NAME, 3), (DAY_MONTH_NAME, 3))))
+    mon = chosen(number(part(YEAR_FIRST, 2)), number(part(DIGITS, 2)), F.when(day_first, second).otherwise(first),
+                 month(part(MONTH_NAME, 1)), month(part(DAY_MONTH_NAME, 2)))
+    day = chosen(number(part(YEAR_FIRST, 3)), number(part(DIGITS, 3)), F.when(day_first, first).otherwise(second),
+                 number(part(MONTH_NAME, 2)), number(part(DAY_MONTH_NAME, 1)))
+    rest = chosen(*(F.regexp_replace(text, p, "") for p in
+                    (YEAR_FIRST, DIGITS, YEAR_LAST, MONTH_NAME, DAY_MONTH_NAME)))
+
+    def time(k: int) -> Column:
+        return F.regexp_extract(rest, TIME, k)
+
+    half = F.lower(time(5))
+    clock = number(time(1))
+    hour = F.coalesce(F.when(half == "", clock)
+                      .when(clock.between(1, 12), clock % 12 + F.when(half == "pm", 12).otherwise(0))
+                      .when(half != "", F.lit(99)), F.lit(0))
+    second_text = F.concat(F.when(time(3) == "", "0").otherwise(time(3)), F.lit("."),
+                           F.rpad(F.substring(time(4), 1, 6), 6, "0"))
+    local = F.when(rest.rlike(TIME), F.try_make_timestamp_ntz(
+        year, mon, day, hour, F.coalesce(number(time(2)), F.lit(0)), second_text.try_cast("decimal(16,6)")))
+    zone = time(6)
+    minutes = F.when(zone.rlike(r"^[+-]"), (
+        number(F.substring(zone, 2, 2)) * 60 + number(F.substring(zone, -2, 2)))
+        * F.when(zone.startswith("-"), -1).otherwise(1)).otherwise(0)
+    return local - F.make_dt_interval(mins=minutes)
 
 # The file each table is read from.
 FILE_NAMES = {
@@ -46,14 +109,18 @@ FILE_NAMES = {
 }
 
 
+def _marked(c: Column) -> Column:
+    """The cell, NULL where it holds a blank marker."""
+    return F.when(~c.isin(*BLANK_MARKERS), c)
+
+
 def _parse(c: Column, dtype: T.DataType) -> Column:
+    c = _marked(c)
     text = F.trim(c)
     if isinstance(dtype, T.StringType):
         return c
-    if isinstance(dtype, T.DateType):
-        return _by_layout(text, lambda f: F.try_to_date(text, f))
-    if isinstance(dtype, (T.TimestampNTZType, T.TimestampType)):
-        return _by_layout(text, lambda f: F.try_to_timestamp(text, F.lit(f))).cast(dtype)
+    if isinstance(dtype, (T.DateType, T.TimestampNTZType, T.TimestampType)):
+        return _moment(text).cast(dtype)
     if isinstance(dtype, (T.LongType, T.IntegerType, T.ShortType)):
         # "12.0" (an integer column exported with NaNs) is accepted; "12.5" is not.
         d = text.try_cast("double")
@@ -82,7 +149,7 @@ def parse_report(raw: DataFrame, schema: T.StructType, table: str) -> DataFrame:
         if f.name not in raw.columns or isinstance(f.dataType, T.StringType):
             continue
         c = F.col(f"`{f.name}`")
-        lost = (F.trim(c) != F.lit("")) & _parse(c, f.dataType).isNull()
+        lost = (F.trim(_marked(c)) != F.lit("")) & _parse(c, f.dataType).isNull()
         aggs.append(F.sum(F.when(lost, 1).otherwise(0)).alias(f.name))
     if not aggs:
         return raw.sparkSession.createDataFrame([], "table_name string, column string, unparsed long")
@@ -93,48 +160,52 @@ def parse_report(raw: DataFrame, schema: T.StructType, table: str) -> DataFrame:
                            f"stack({len(names)}, {stack}) AS (column, unparsed)")
 
 
-# A quoted CSV field (RFC 4180: "" is an escaped quote inside quotes).
-QUOTED_FIELD = '"(?:[^"]|"")*"'
-
-
-def malformed_lines(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """Lines whose number of fields differs from the header's: (table_name, column, unparsed).
+def read_raw(spark: SparkSession, path: str, multi_line: bool = True, keep_bad: bool = False) -> DataFrame:
+    """All columns as text, header row used for names, RFC 4180 quoting
+    (a doubled quote inside quotes is one quote).
 
-    Spark's CSV reader keeps such lines silently (missing fields become NULL,
-    extra fields are dropped), so they are counted on the text: quoted fields
-    are blanked out, then the commas are counted. Blank lines are ignored.
+    A line with too few fields gets NULLs for the missing ones, one with too many
+    loses the last; ``keep_bad`` adds ``_corrupt_record``, the whole line where that
+    happened.
     """
-    expected = len(spark.read.option("header", True).csv(path).columns)
-    lines = spark.read.text(path).where(F.trim("value") != F.lit(""))
-    fields = F.size(F.split(F.regexp_replace("value", QUOTED_FIELD, "q"), ",", -1))
-    return lines.agg(F.sum(F.when(fields != F.lit(expected), 1).otherwise(0)).cast("long")
-                     .alias("unparsed")).select(F.lit(table).alias("table_name"),
-                                                F.lit("_malformed_lines").alias("column"),
-                                                F.coalesce("unparsed", F.lit(0).cast("long")).alias("unparsed"))
+    reader = (spark.read.option("header", True).option("mode", "PERMISSIVE")
+              .option("multiLine", multi_line).option("escape", '"'))
+    if not keep_bad:
+        return reader.csv(path)
+    names = reader.csv(path).columns
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
+    return reader.option("columnNameOfCorruptRecord", CORRUPT).schema(schema).csv(path)
 
 
-def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text, header row used for names, RFC 4180 quoting
-    (a doubled quote inside quotes is one quote, as pandas reads it).
+def bad_records(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """The lines whose number of fields differs from the header's: their columns as read, and the whole line."""
+    return read_raw(spark, path, multi_line, keep_bad=True).where(F.col(CORRUPT).isNotNull())
 
-    PERMISSIVE mode: a line with too few fields gets NULLs for the missing
-    ones, extra fields are dropped (Spark's CSV behaviour for a text schema);
-    :func:`malformed_lines` counts such lines.
-    """
-    return (spark.read.option("header", True).option("mode", "PERMISSIVE")
-            .option("multiLine", False).option("escape", '"').csv(path))
+
+def malformed_lines(spark: SparkSession, path: str, table: str, multi_line: bool = True) -> DataFrame:
+    """How many lines :func:`bad_records` holds: (table_name, column, unparsed)."""
+    raw = read_raw(spark, path, multi_line, keep_bad=True)
+    # Spark reads no CSV for the corrupt column alone: the condition looks at another one too.
+    seen = F.length(F.concat_ws("", F.col(f"`{raw.columns[0]}`"), F.col(CORRUPT))) > 0
+    bad = F.sum(F.when(F.col(CORRUPT).isNotNull() & seen, 1).otherwise(0))
+    return raw.agg(F.coalesce(bad, F.lit(0)).cast("long").alias("unparsed")).select(
+        F.lit(table).alias("table_name"), F.lit("_malformed_lines").alias("column"), "unparsed")
 
 
 def read_csv_table(spark: SparkSession, path: str, table: str) -> DataFrame:
     return conform(read_raw(spark, path), SCHEMAS[table])
 
 
+def _missing(e: AnalysisException) -> bool:
+    return "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e)
+
+
 def read_csv_table_if_exists(spark: SparkSession, path: str, table: str) -> DataFrame:
     """Like :func:`read_csv_table`; a missing path gives an empty table with the schema."""
     try:
         raw = read_raw(spark, path)
     except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
+        if not _missing(e):
             raise
         return spark.createDataFrame([], SCHEMAS[table])
     return conform(raw, SCHEMAS[table])
@@ -156,7 +227,9 @@ def ingest_report(spark: SparkSession, folder: str, file_names: dict | None = No
         path = f"{folder}/{names[name]}"
         try:
             raw = read_raw(spark, path)
-        except AnalysisException:
+        except AnalysisException as e:
+            if not _missing(e):
+                raise
             continue
         parts.append(parse_report(raw, schema, name))
         parts.append(malformed_lines(spark, path, name))

@@ -2,6 +2,8 @@
 
 import datetime as D
 
+import pytest
+
 from gleaner.sources import csv as ingest
 from gleaner.sources.store import load_tables, save_tables
 
@@ -119,3 +121,78 @@ def test_a_hot_expiry_date_is_spread_over_files(spark, tmp_path):
     import pyarrow.parquet as pq
     counts = [pq.ParquetFile(p).metadata.num_rows for p in (tmp_path / "l").glob("*.parquet")]
     assert sum(counts) == 9000 and max(counts) < 3000
+
+
+def test_quoted_line_breaks_blank_markers_and_bad_lines(spark, tmp_path):
+    (tmp_path / "providers_data.csv").write_text(
+        'Provider_ID, Name ,Type,Address,City,Contact\n'
+        '1,Asha,Restaurant,"12 ""Old"" Road\nMH 411001",Pune,a@b.c\n'
+        '2,NA,nan,N/A,NULL,None\n'
+        '3, pad ,Other,#N/A,null,\n'
+        '4,long,Other,x,Goa,c,too many\n'
+        '5,short,Other\n')
+    rows = {r["Provider_ID"]: r for r in
+            ingest.read_csv_table(spark, str(tmp_path / "providers_data.csv"), "providers").collect()}
+    assert set(rows) == {1, 2, 3, 4, 5}
+    assert rows[1]["Address"] == '12 "Old" Road\nMH 411001' and rows[1]["City"] == "Pune"
+    assert [rows[2][c] for c in ("Name", "Type", "Address", "City", "Contact")] == [None] * 5
+    assert rows[3]["Name"] == " pad " and rows[3]["City"] is None
+    bad = {r["Provider_ID"]: r["_corrupt_record"] for r in
+           ingest.bad_records(spark, str(tmp_path / "providers_data.csv")).collect()}
+    assert bad == {"4": "4,long,Other,x,Goa,c,too many", "5": "5,short,Other"}
+
+
+DATE_CELLS = [
+    "17-03-2025", "2025-03-17T10:30:00Z", "2025-03-17T10:30:00+05:30", "March 17, 2025", "3/17/2025 2:30 PM",
+    "2025-3-7", "2025-03-17 10:30:00.123456789", "2025-03-17", "2025-03-17 10:30", "03/17/2025", "17 March 2025",
+    "Mar 5 2025", "5-Mar-2025", "2025/3/7 9:05:06", "20250317", "12/11/2025", "13/14/2025", "2025-02-30", "garbage",
+    "Mon, March 17, 2025 11:05 am", "2025-03-17 12:00 AM", "2025-03-17T10:30:00.5-0800", " 2025-03-17 ",
+]
+
+
+@pytest.mark.filterwarnings("ignore")
+def test_date_cells_equal_pandas(spark):
+    import pandas as pd
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    df = spark.createDataFrame(list(enumerate(DATE_CELLS)), "k int, cell string")
+    got = {r["k"]: r for r in df.select("k", ingest._parse(F.col("cell"), T.TimestampNTZType()).alias("at"),
+                                        ingest._parse(F.col("cell"), T.DateType()).alias("day")).collect()}
+    for k, cell in enumerate(DATE_CELLS):
+        want = pd.to_datetime(cell.strip(), errors="coerce")
+        if pd.isna(want):
+            assert got[k]["at"] is None and got[k]["day"] is None, cell
+            continue
+        want = (want.tz_convert("UTC").tz_localize(None) if want.tzinfo else want).floor("us")
+        assert pd.Timestamp(got[k]["at"]) == want and got[k]["day"] == want.date(), cell
+
+
+def test_written_csv_comes_back_unchanged(spark, tmp_path):
+    from gleaner.sinks.writer import write_result
+
+    texts = [" Asha ", " ", 'say "x"', "a\\b", "two\nlines", "comma, here", "\ttab", None]
+    df = spark.createDataFrame([(k, t, None, None, None, None) for k, t in enumerate(texts)],
+                               "Provider_ID long, Name string, Type string, Address string, City string, Contact string")
+    write_result(df, str(tmp_path / "p.csv"), "csv")
+    back = ingest.read_csv_table(spark, str(tmp_path / "p.csv"), "providers").collect()
+    assert {r["Provider_ID"]: r["Name"] for r in back} == dict(enumerate(texts))
+
+
+def test_an_unreadable_table_fails_the_report(spark, tmp_path, monkeypatch):
+    from pyspark.errors import AnalysisException
+
+    def broken(*args, **kwargs):
+        raise AnalysisException("[SOMETHING_ELSE] not a missing path")
+
+    monkeypatch.setattr(ingest, "read_raw", broken)
+    with pytest.raises(AnalysisException):
+        ingest.ingest_report(spark, str(tmp_path))
+
+
+def test_two_frames_of_one_round_trip_live_side_by_side(spark, edge):
+    from gleaner.plans import roundtrip
+
+    t, _ = edge
+    a, b = roundtrip.listings_via_csv(t), roundtrip.listings_via_csv(t)
+    assert a.exceptAll(t.listings).count() == 0 and t.listings.exceptAll(b).count() == 0

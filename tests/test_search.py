@@ -84,3 +84,15 @@ def test_providers_in_view_with_mailto_links(edge):
 def test_row_count(edge):
     t, _ = edge
     assert search.row_count(search.search_listings(t, "rice")) == 2
+
+
+def test_search_folds_letters_of_all_scripts(spark):
+    from pyspark.sql import functions as F
+
+    from gleaner.functions import matches_any
+
+    df = spark.createDataFrame([("CAFÉ MÜLLER",), ("café",), ("cafe",), (None,)], "Name string")
+    for literal in (False, True):
+        assert df.where(matches_any(["Name"], "café", literal)).count() == 2
+    assert df.where(matches_any(["Name"], "m[üx]ller")).count() == 1
+    del F
