@@ -15,6 +15,8 @@ checkpoint cannot apply a change twice.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -44,7 +46,8 @@ def start(spark: SparkSession, table: str, changes_dir: str, root: str,
     files is folded in several snapshots instead of one oversized batch.
     """
     key = KEYS[table]
-    location = checkpoint_location or f"{ensure_checkpoint_dir(spark)}/changes-{table}"
+    name = hashlib.sha1(root.encode()).hexdigest()[:10]  # each stream has a folder of its own
+    location = checkpoint_location or f"{ensure_checkpoint_dir(spark)}/changes-{table}-{name}"
 
     def apply_batch(batch: DataFrame, batch_id: int) -> None:
         current = read_snapshot(spark, root, table, batch_id)

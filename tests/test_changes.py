@@ -2,6 +2,8 @@
 
 import datetime as D
 
+import pytest
+
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -101,15 +103,51 @@ def test_update_before_insert_does_not_touch_the_inserted_row(spark):
     assert out[1]["Name"] == "Fresh" and out[1]["City"] == "Agra"
 
 
-def test_keyless_inserts_get_ids_after_keyed_changes(spark):
+def test_keyless_inserts_get_ids_in_statement_order(spark):
     ch = change_rows(spark, [
         ("insert", 2, None, "Second", "Other", None, "Goa", None, None),
         ("insert", 1, None, "First", "Other", None, "Goa", None, None),
         ("delete", 3, 5, None, None, None, None, None, None),
     ])
     out = as_dict(changes.apply_changes(providers(spark), ch, "Provider_ID"))
-    # 5 was the highest id and is deleted, so it is reused (max + 1 after the delete).
-    assert out[5]["Name"] == "First" and out[6]["Name"] == "Second"
+    # 5 is the highest id while they are inserted; it is deleted later.
+    assert out[6]["Name"] == "First" and out[7]["Name"] == "Second" and 5 not in out
+
+
+def test_later_changes_reach_a_row_that_got_its_id_in_the_batch(spark):
+    base = spark.createDataFrame([(9, "a", None, None, None, None), (10, "b", None, None, None, None)], PROVIDERS)
+    ch = change_rows(spark, [
+        ("insert", 1, None, "new", None, None, None, None, None),
+        ("delete", 2, 10, None, None, None, None, None, None),
+        ("update", 3, 11, "renamed", None, None, None, None, ["Name"]),
+    ])
+    out = as_dict(changes.apply_changes(base, ch, "Provider_ID"))
+    assert set(out) == {9, 11} and out[11]["Name"] == "renamed"
+
+
+def test_a_freed_highest_id_is_given_again(spark):
+    base = spark.createDataFrame([(9, "a", None, None, None, None), (10, "b", None, None, None, None)], PROVIDERS)
+    ch = change_rows(spark, [
+        ("delete", 1, 10, None, None, None, None, None, None),
+        ("insert", 2, None, "new", None, None, None, None, None),
+    ])
+    assert as_dict(changes.apply_changes(base, ch, "Provider_ID"))[10]["Name"] == "new"
+
+
+def test_batches_without_a_defined_result_are_refused(spark):
+    doubtful = change_rows(spark, [
+        ("insert", 1, None, "x", None, None, None, None, None),
+        ("delete", 2, 6, None, None, None, None, None, None),
+        ("insert", 3, None, "y", None, None, None, None, None),
+    ])
+    with pytest.raises(ValueError, match="split the batch"):
+        changes.apply_changes(providers(spark), doubtful, "Provider_ID")
+    twice = change_rows(spark, [
+        ("update", 1, 1, "x", None, None, None, None, ["Name"]),
+        ("update", 1, 1, "y", None, None, None, None, ["Name"]),
+    ])
+    with pytest.raises(ValueError, match="share a seq"):
+        changes.apply_changes(providers(spark), twice, "Provider_ID")
 
 
 def test_hot_key_fold_is_aggregated_not_windowed(spark):

@@ -66,3 +66,40 @@ def test_fold_matches_sequential_semantics(spark):
     got = apply_changes(base, ch_df, "Provider_ID", new_ids=False).collect()
     key = lambda r: tuple("" if v is None else str(v) for v in r)
     assert sorted((tuple(r) for r in got), key=key) == sorted((as_tuple(r) for r in expected), key=key)
+
+
+def number_one_by_one(table, changes):
+    """The simulation with ids for keyless inserts: the highest id alive, plus one."""
+    rows = [dict(r) for r in table]
+    for op, _, row, sets in sorted(changes, key=lambda c: c[1]):
+        row = dict(row)
+        if op == "insert" and row["Provider_ID"] is None:
+            row["Provider_ID"] = max((r["Provider_ID"] for r in rows), default=0) + 1
+        rows = simulate(rows, [(op, 0, row, sets)])
+    return rows
+
+
+def test_keyless_inserts_between_other_changes(spark):
+    rng = random.Random(3)
+    equal = 0
+    for _ in range(14):
+        table = [random_row(rng, rng.randint(1, 6)) for _ in range(rng.randint(0, 4))]
+        changes = []
+        for s in range(rng.randint(3, 8)):
+            op = rng.choice(["insert", "insert", "insert", "update", "delete"])
+            key = None if op == "insert" and rng.random() < 0.7 else rng.randint(1, 9)
+            changes.append((op, s, random_row(rng, key), rng.sample(COLS, 2) if op == "update" else None))
+        base = spark.createDataFrame([as_tuple(r) for r in table], PROVIDERS)
+        ch_df = spark.createDataFrame([(op, seq, *as_tuple(row), sets) for op, seq, row, sets in changes],
+                                      change_schema("providers"))
+        keyless = [c[1] for c in changes if c[0] == "insert" and c[2]["Provider_ID"] is None]
+        try:
+            got = apply_changes(base, ch_df, "Provider_ID").collect()
+        except ValueError:
+            assert any(c[0] == "delete" and c[1] < max(keyless) for c in changes)
+            continue
+        key = lambda r: tuple("" if v is None else str(v) for v in r)
+        assert sorted((tuple(r) for r in got), key=key) == sorted(
+            (as_tuple(r) for r in number_one_by_one(table, changes)), key=key)
+        equal += bool(keyless)
+    assert equal >= 5
