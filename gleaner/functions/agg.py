@@ -7,12 +7,27 @@ so a LIMIT always returns the same rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+_ORDERED: ContextVar[bool] = ContextVar("ordered", default=True)
+
+
+@contextmanager
+def unordered() -> Iterator[None]:
+    """Queries built inside leave out a final ORDER BY (not the order of a LIMIT): for results that go to files."""
+    token = _ORDERED.set(False)
+    try:
+        yield
+    finally:
+        _ORDERED.reset(token)
+
+
 def count_rows(alias: str) -> Column:
     """``COUNT(*)``: every row, NULL keys included."""
     return F.count(F.lit(1)).alias(alias)
@@ -31,12 +46,13 @@ def _order(measure: str, keys: Sequence[str]) -> list[Column]:
 def order_desc(df: DataFrame, measure: str, keys: Sequence[str] | str) -> DataFrame:
     """Total order: measure descending, keys ascending as tie-break."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    return df.orderBy(*_order(measure, keys))
+    return df.orderBy(*_order(measure, keys)) if _ORDERED.get() else df
 
 
 def topk(df: DataFrame, measure: str, n: int, keys: Sequence[str] | str) -> DataFrame:
     """First ``n`` rows under :func:`order_desc` (planned as TakeOrderedAndProject)."""
-    return order_desc(df, measure, keys).limit(n)
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    return df.orderBy(*_order(measure, keys)).limit(n)
 
 
 def share_of_total(grouped: DataFrame, count_col: str, alias: str) -> DataFrame:

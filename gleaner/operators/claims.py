@@ -34,8 +34,9 @@ def claims_by_date(t: Tables) -> DataFrame:
 
 
 def claims_by_month(t: Tables) -> DataFrame:
-    month = F.date_format("Timestamp", "yyyy-MM").alias("claim_month")
-    return count_by(t.claims.select(month), "claim_month", "num_claims")
+    # Grouped by the first day of the month; only the groups are formatted.
+    g = count_by(t.claims.select(F.trunc(F.to_date("Timestamp"), "month").alias("_m")), "_m", "num_claims")
+    return g.select(F.date_format("_m", "yyyy-MM").alias("claim_month"), "num_claims")
 
 
 def claim_status_percentages(t: Tables) -> DataFrame:
@@ -138,19 +139,18 @@ def avg_quantity_claimed(t: Tables) -> DataFrame:
 
 
 def unclaimed_listings(t: Tables) -> DataFrame:
-    """Listings without a claim (anti join).
+    """Listings without a claim, and once for each of their claims whose Claim_ID is NULL.
 
-    The reference's ``LEFT JOIN ... WHERE Claim_ID IS NULL`` also returns a
-    listing once per matching claim whose Claim_ID is NULL; that part is added
-    back so the result is exact even when claim ids are missing.
+    That is what a left join tested for a NULL Claim_ID returns. Claims are counted per
+    Food_ID first, with and without an id, so both tables are read once and a hot
+    Food_ID collapses before the shuffle.
     """
     cols = ["Food_ID", "Food_Name", "Quantity", "Expiry_Date"]
-    # Distinct keys first: map-side partial aggregation collapses a hot Food_ID
-    # before the shuffle (AQE cannot split a skewed right side of an anti join).
-    claimed = t.claims.select("Food_ID").distinct()
-    no_claim = t.listings.select(*cols).join(claimed, "Food_ID", "left_anti")
-    null_ids = t.claims.where(F.col("Claim_ID").isNull()).select("Food_ID")
-    return no_claim.unionByName(t.listings.select(*cols).join(null_ids, "Food_ID"))
+    counts = t.claims.groupBy("Food_ID").agg(F.count(F.lit(1)).alias("_rows"), F.count("Claim_ID").alias("_ids"))
+    times = F.when(F.col("_rows").isNull(), 1).otherwise(F.col("_rows") - F.col("_ids")).cast("int")
+    j = (t.listings.select(*cols).join(counts, "Food_ID", "left").withColumn("_times", times)
+         .where(F.col("_times") > 0))
+    return j.withColumn("_", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).select(*cols)
 
 
 def wasted_quantity_by_location(t: Tables) -> DataFrame:
@@ -163,13 +163,12 @@ def wasted_quantity_by_location(t: Tables) -> DataFrame:
     """
     completed = claims_per_key(t.claims.where(F.col("Status") == F.lit(COMPLETED)),
                                "Food_ID", "completed")
-    per_food = t.listings.groupBy("Food_ID").agg(
-        F.min("Location").alias("Location"), F.min("Quantity").alias("Quantity"),
-        F.count(F.lit(1)).alias("copies"))
-    j = per_food.join(completed, "Food_ID", "left").select(
-        "Location", "Quantity",
-        (F.coalesce(F.col("completed"), F.lit(0)) * F.col("copies")).alias("claimed_count"))
-    g = j.groupBy("Location").agg(
+    # Join first, then group by Food_ID on the join's order: Food_ID is nearly unique, so a grouping of
+    # the listings before the join would shrink nothing and sort them once more.
+    per_food = (t.listings.select("Food_ID", "Location", "Quantity").join(completed, "Food_ID", "left")
+                .groupBy("Food_ID").agg(F.min("Location").alias("Location"), F.min("Quantity").alias("Quantity"),
+                                        F.sum(F.coalesce("completed", F.lit(0))).alias("claimed_count")))
+    g = per_food.groupBy("Location").agg(
         (F.sum("Quantity") - F.coalesce(F.sum("claimed_count"), F.lit(0))).alias("Wasted_Quantity"))
     return order_desc(g, "Wasted_Quantity", ["Location"])
 

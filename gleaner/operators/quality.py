@@ -36,22 +36,25 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 def domain_violations(t: Tables, rules=None) -> DataFrame:
     """One row per (table, rule, row_key) whose non-NULL value is outside the rule."""
-    tables = t.by_name()
+    by_table: dict[str, list] = {}
+    for table, *rule in rules or DOMAIN_RULES:
+        by_table.setdefault(table, []).append(rule)
     out = []
-    for table, rule, column, kind, arg in rules or DOMAIN_RULES:
-        c: Column = F.col(column)
-        out.append(tables[table].where(c.isNotNull() & ~_valid(c, kind, arg)).select(
-            F.lit(table).alias("table_name"), F.lit(rule).alias("rule"),
-            F.col(schema.KEYS[table]).alias("row_key"), c.cast("string").alias("bad_value")))
+    for table, checks in by_table.items():  # one scan per table: each row carries the rules it fails
+        failed = [F.when(~_valid(F.col(c), kind, arg), F.struct(
+            F.lit(rule).alias("rule"), F.col(c).cast("string").alias("bad_value")))
+            for rule, c, kind, arg in checks]
+        rows = t.by_name()[table].select(F.col(schema.KEYS[table]).alias("row_key"),
+                                         F.explode(F.array_compact(F.array(*failed))).alias("v"))
+        out.append(rows.select(F.lit(table).alias("table_name"), "v.rule", "row_key", "v.bad_value"))
     return _union(out)
 
 
 def orphans(child: DataFrame, parent: DataFrame, fk: str, parent_key: str | None = None) -> DataFrame:
     """Child rows whose non-NULL ``fk`` has no parent row (anti join)."""
-    parent_key = parent_key or fk
-    # Distinct parent keys: a key repeated on the right side of an anti join
-    # cannot be split by AQE, so it is collapsed before the shuffle.
-    keys = parent.select(F.col(parent_key).alias(fk)).distinct()
+    # The parent's keys as they are: with an aggregate under the join (distinct) AQE no longer splits a
+    # hot key of the child, and a parent key repeated many times is what duplicate_keys reports.
+    keys = parent.select(F.col(parent_key or fk).alias(fk))
     return child.where(F.col(fk).isNotNull()).join(keys, fk, "left_anti")
 
 

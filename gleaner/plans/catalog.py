@@ -115,8 +115,11 @@ CATALOGUE: dict[str, Metric] = {
     "claims_renumbered": Metric(upkeep.claims_renumbered),
     "listings_without_expired": Metric(upkeep.listings_without_expired, ("as_of",)),
     "listings_quantity_settled": Metric(upkeep.listings_quantity_settled),
+    "claims_reissued": Metric(upkeep.claims_reissued),
+    "claims_of_expired": Metric(upkeep.claims_of_expired, ("as_of",)),
+    "claims_via_store": Metric(upkeep.claims_via_store),
     "listings_after_changes": Metric(upkeep.listings_after_changes, ("as_of",)),
-    # CSV ingest on whole tables (written by Spark, read back typed).
+    # CSV ingest on whole tables (each row as a CSV line, parsed back typed).
     "listings_via_csv": Metric(roundtrip.listings_via_csv),
     "claims_via_csv": Metric(roundtrip.claims_via_csv),
 }

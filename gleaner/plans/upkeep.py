@@ -6,18 +6,37 @@
 * ``listings_quantity_settled``: set each claimed listing's Quantity to its
   quantity minus its completed claims (the per-listing form of the wasted
   quantity metric).
+* ``claims_reissued``: every cancelled claim entered again without an id, so new
+  ids go on from the table's highest.
+* ``claims_of_expired``: claims whose listing is gone once the expired ones are
+  deleted (the dangling references that a delete leaves).
+* ``claims_via_store``: the claims after a full-replace load into a folder of their
+  own and a typed read-back.
 * ``listings_after_changes``: both as one change batch (deletes at seq 1,
   updates at seq 2), folded by :func:`apply_changes`.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.dates import as_of_date
-from gleaner.operators.changes import DELETE, UPDATE, apply_changes, apply_deletes, apply_updates, assign_ids
-from gleaner.schema import COMPLETED
+from gleaner.operators.changes import (
+    DELETE,
+    UPDATE,
+    apply_changes,
+    apply_deletes,
+    apply_updates,
+    assign_ids,
+    next_id_base,
+)
+from gleaner.operators.quality import orphans
+from gleaner.schema import CANCELLED, COMPLETED, PENDING
+from gleaner.session import ensure_checkpoint_dir
+from gleaner.sources.store import load_table, save_table
 from gleaner.tables import Tables
 
 CLAIM_ORDER = ["Timestamp", "Food_ID", "Receiver_ID", "Status", "_old_id"]
@@ -30,6 +49,25 @@ def claims_renumbered(t: Tables) -> DataFrame:
     return out.select(*t.claims.columns)
 
 
+def claims_reissued(t: Tables) -> DataFrame:
+    """All claims, and the cancelled ones once more as pending, numbered on from the highest id."""
+    again = (t.claims.where(F.col("Status") == F.lit(CANCELLED)).withColumn("_old_id", F.col("Claim_ID"))
+             .withColumn("Claim_ID", F.lit(None).cast("long")))
+    numbered = assign_ids(again, "Claim_ID", next_id_base(t.claims, "Claim_ID"), CLAIM_ORDER)
+    return t.claims.unionByName(numbered.withColumn("Status", F.lit(PENDING)).select(*t.claims.columns))
+
+
+def claims_of_expired(t: Tables, as_of=None) -> DataFrame:
+    return orphans(t.claims, listings_without_expired(t, as_of), "Food_ID").select(*t.claims.columns)
+
+
+def claims_via_store(t: Tables) -> DataFrame:
+    spark = t.claims.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/gleaner-claims-{uuid.uuid4().hex}"
+    save_table(t.claims, path, "claims")
+    return load_table(spark, path, "claims")
+
+
 def _expired_keys(t: Tables, as_of) -> DataFrame:
     return t.listings.where(F.col("Expiry_Date") < as_of_date(as_of)).select("Food_ID").distinct()
 

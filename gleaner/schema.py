@@ -80,4 +80,4 @@ CLAIM_STATUSES = ("Pending", "Completed", "Cancelled")
 # Lowest quantity a listing form accepts (one form allows 0, the other 1).
 MIN_QUANTITY = 0
 
-COMPLETED = "Completed"
+PENDING, COMPLETED, CANCELLED = CLAIM_STATUSES

@@ -10,6 +10,7 @@ import os
 import tempfile
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 # Settings every job in this package relies on. Applied only where unset.
 DEFAULTS = {
@@ -22,17 +23,17 @@ DEFAULTS = {
 }
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
+def local_session(cores: int | str = "*", shuffle_partitions: int | None = 8,
                   app: str = "gleaner", extra: dict | None = None) -> SparkSession:
     """A local session for tests and benchmarks (never used on a cluster)."""
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(app)
-               .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
                .config("spark.driver.memory", "16g"))
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in {**DEFAULTS, **(extra or {})}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
@@ -55,6 +56,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files under ``path``, from the file index: no file is opened."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+             .agg(F.sum("length")).first()[0])
+    return int(files or 0)
+
+
 def sized_settings(input_bytes: int, cores: int) -> dict[str, str]:
     """Partition sizing for an input of ``input_bytes`` on ``cores`` task slots.
 

@@ -15,7 +15,8 @@ BASE_TABLES = ("region", "nation", "customer", "supplier", "orders", "lineitem")
 
 PROVIDERS_SQL = """
 SELECT c.c_custkey AS Provider_ID, c.c_name AS Name, c.c_mktsegment AS Type,
-       CAST(NULL AS STRING) AS Address, n.n_name AS City, CAST(NULL AS STRING) AS Contact
+       concat('No. ', CAST(c.c_custkey AS STRING)) AS Address, n.n_name AS City,
+       CASE c.c_custkey % 3 WHEN 0 THEN concat(c.c_name, '@example.org') WHEN 1 THEN c.c_name END AS Contact
 FROM {customer} c JOIN {nation} n ON c.c_nationkey = n.n_nationkey
 """
 
@@ -57,24 +58,18 @@ CITY = "NATION_1"
 FOOD_TYPE = "F"
 
 
-_CACHE: dict[tuple[str, str], Tables] = {}
-
-
 def role_tables(spark: SparkSession, sf_dir: str) -> Tables:
     """Lazy role views over ``{sf_dir}/<table>.parquet``; no row is read yet.
 
     Building them lists the files and reads the parquet footers of six tables
     and analyses four SQL texts, so the views are made once per session and
-    folder and shared by every query (a DataFrame is immutable).
+    folder and shared by every query (a DataFrame is immutable). They are kept
+    on the session object: each session has its own, with its own settings.
     """
-    try:
-        session = spark.sparkContext.applicationId
-    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session has no SparkContext
-        session = str(id(spark))
-    key = (session, sf_dir)
-    if key not in _CACHE:
-        _CACHE[key] = _build(spark, sf_dir)
-    return _CACHE[key]
+    known = spark.__dict__.setdefault("_gleaner_roles", {})
+    if sf_dir not in known:
+        known[sf_dir] = _build(spark, sf_dir)
+    return known[sf_dir]
 
 
 def _build(spark: SparkSession, sf_dir: str) -> Tables:

@@ -37,3 +37,42 @@ def test_explain_prints_the_plan(spark, tmp_path, capsys):
     assert main(["explain", "--store", str(tmp_path / "store"), "--query", "city_flow"]) == 0
     out = capsys.readouterr().out
     assert "Physical Plan" in out and "Join" in out
+
+
+def test_commands_size_the_session_for_their_input(spark, tmp_path):
+    from gleaner.session import sized_settings
+    from gleaner.sources.store import save_tables
+
+    save_tables(edge_tables(spark), str(tmp_path / "store"))
+    s = spark.newSession()
+    keys = list(sized_settings(1 << 40, 64))
+    kept = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k in keys:
+            spark.conf.unset(k)
+        spark.conf.set("spark.sql.shuffle.partitions", "8")  # set by the user: stays
+        assert main(["--input-bytes", str(1 << 40), "--cores", "64", "check", "--store", str(tmp_path / "store"),
+                     "--out", str(tmp_path / "out")]) == 0
+        want = sized_settings(1 << 40, 64)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "8"
+        assert all(spark.conf.get(k) == v for k, v in want.items() if k != "spark.sql.shuffle.partitions")
+    finally:
+        for k, v in kept.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    del s
+
+
+def test_apply_writes_a_new_snapshot_and_its_checks(spark, tmp_path):
+    from gleaner.schema import change_schema
+    from gleaner.sources.store import save_tables
+
+    tables = edge_tables(spark)
+    save_tables(tables, str(tmp_path / "store"))
+    top = tables.claims.agg({"Claim_ID": "max"}).first()[0]
+    row = (None, 10, 1, "Pending", None)
+    spark.createDataFrame([("insert", 1, *row, None)], change_schema("claims")).write.parquet(str(tmp_path / "changes"))
+    assert main(["apply", "--store", str(tmp_path / "store"), "--table", "claims",
+                 "--changes", str(tmp_path / "changes"), "--out", str(tmp_path / "next")]) == 0
+    new = spark.read.parquet(str(tmp_path / "next" / "claims"))
+    assert new.count() == tables.claims.count() + 1 and new.agg({"Claim_ID": "max"}).first()[0] == top + 1
+    assert spark.read.parquet(str(tmp_path / "next" / "_checks" / "duplicate_keys")).columns

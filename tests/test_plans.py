@@ -29,8 +29,26 @@ def test_no_cartesian_or_python(key, t):
         assert node not in p, f"{key}: {node}"
 
 
-def test_unclaimed_is_an_anti_join(t):
-    assert "LeftAnti" in plan(claims.unclaimed_listings(t))
+def scans(df, table):
+    return plan(df).count(f"{table}.parquet")
+
+
+def test_unclaimed_reads_each_table_once(t):
+    p = claims.unclaimed_listings(t)
+    assert scans(p, "lineitem") == 1 and scans(p, "orders") == 1
+
+
+def test_domain_rules_read_each_table_once(t):
+    from gleaner.operators import quality
+
+    p = quality.domain_violations(t)
+    assert scans(p, "lineitem") == 1 and scans(p, "orders") == 1 and scans(p, "supplier") == 1
+
+
+def test_months_are_grouped_before_they_are_formatted(t):
+    p = plan(claims.claims_by_month(t))
+    scan_side = p[p.index("Exchange"):]  # what runs on every claim
+    assert "trunc(" in scan_side and "date_format" not in scan_side and "date_format" in p
 
 
 def test_claims_are_aggregated_before_the_receiver_join(t):

@@ -30,3 +30,21 @@ def test_checkpoint_dir_is_taken_from_the_session(spark):
     path = ensure_checkpoint_dir(spark)
     assert path and spark.sparkContext.getCheckpointDir()
     assert ensure_checkpoint_dir(spark) == path
+
+
+def test_each_session_has_its_own_role_views(spark):
+    from gleaner.sources.roles import role_tables
+
+    other = spark.newSession()
+    sf = "/root/testdata/sf0.001"
+    assert role_tables(spark, sf) is role_tables(spark, sf)
+    assert role_tables(other, sf).claims.sparkSession is other
+
+
+def test_folder_size_is_measured_from_the_file_index(spark, tmp_path):
+    from gleaner.session import folder_bytes
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.csv").write_text("12345")
+    (tmp_path / "y.csv").write_text("123")
+    assert folder_bytes(spark, str(tmp_path)) == 8
