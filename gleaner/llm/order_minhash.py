@@ -14,17 +14,20 @@ tables once in a million.
 
 **Candidates.** Classes with an equal key are compared in blocks of bounded size
 by the ``CHECKS`` bytes of a MinHash signature, which is wide enough that a pair
-at the threshold is missed about once in a hundred thousand and pairs well below
-it fall away. Three rounds: a spanning forest of the likeliest pairs of the
-first tables; one of all tables, between components of verified pairs only;
-then every pair that still lies between two components. A large group of
-near copies is thus joined by few pairs, while no pair between components is
-left unverified.
-
-**Verification.** The two sequences of shingles are aligned (longest common
-subsequence, bit-parallel) within the band that a similarity of ``SIMILARITY``
-leaves: common / (n + m - common) >= 0.8 allows (n + m) / 9 insertions and
-deletions. Components are found distributed; a document's class is the least id.
+at the threshold is missed about once in a hundred thousand. A pair counts in
+the first table where its keys are equal. A block hands on its documents that
+have a likely partner there, not the pairs.
+
+**Verification.** Those documents' texts meet again in their blocks. Shared
+shingles of all pairs of a block are counted exactly (a matrix product over the
+shingles that occur twice or more), which leaves the pairs that can reach
+``SIMILARITY``; from the closest on, each that joins two groups of the block is
+aligned: the longest common subsequence of the two sequences of shingles,
+bit-parallel, within the band that the similarity leaves. common / (n + m -
+common) >= 0.8 allows (n + m) / 9 insertions and deletions. A block gives the
+links of a spanning forest, so a large group of near copies costs about as many
+links as it has documents, and no link between groups is left out. Components
+are found distributed; a document's class is the least id.
 
 Defined cases: NULL texts and texts without words are near nothing (their own
 class); rows that share an id are one node, compared by the least of their
@@ -36,7 +39,6 @@ clash. Texts are read whole.
 from __future__ import annotations
 
 import re
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,10 +54,11 @@ from gleaner.llm.lineage import cut
 SHINGLE = 5
 SIMILARITY = 0.8
 TABLES, MINIMA, CHECKS = 20, 3, 256
-FIRST_TABLES = 2
+SIGNATURE = CHECKS + 8 * TABLES
 #: Share of equal signature bytes that makes a candidate: 4.5 standard deviations below 0.8.
 LIKELY = SIMILARITY - 4.5 * (SIMILARITY * (1 - SIMILARITY) / CHECKS) ** 0.5
 BLOCK = 1024
+COLUMNS = 4096
 BLOCK_KEYS = ["t", "key", "low", "high"]
 CHUNK = 1 << 14
 CACHE_WORDS = 500_000
@@ -117,7 +120,7 @@ def labelled(grams: np.ndarray) -> np.ndarray:
 
 
 def sketch(grams: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """Keys of all tables and the signature of a text with at least one shingle."""
+    """Keys of all tables, and the signature (CHECKS bytes of minima, then the keys), of a text with a shingle."""
     marks = labelled(grams)
     small = (marks >> np.uint64(32)).astype(np.uint32)
     least = np.full(CHECKS, np.iinfo(np.uint32).max, dtype=np.uint32)
@@ -135,7 +138,7 @@ def sketch(grams: np.ndarray) -> tuple[np.ndarray, bytes]:
     key = np.zeros(TABLES, dtype=np.uint64)
     for k in range(chosen.shape[1]):
         key = _mix(key + chosen[:, k] * ODD[3 + k % 3])
-    return key.view(np.int64), ((least * GOLDEN) >> np.uint32(24)).astype(np.uint8).tobytes()
+    return key.view(np.int64), ((least * GOLDEN) >> np.uint32(24)).astype(np.uint8).tobytes() + key.tobytes()
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -162,58 +165,105 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, "id long, words_key binary, n long, keys array<long>, signature binary")
 
 
-def candidates(members: DataFrame, spanning: bool) -> DataFrame:
-    """(a, b): likely pairs of different components within the blocks of ``members``, in one block a spanning forest."""
+def likely_members(members: DataFrame) -> DataFrame:
+    """The rows of ``members`` (block, rep) that have a likely partner in their block's table first."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in whole_groups(batches, BLOCK_KEYS):
-            rep, n = table.column("rep").to_numpy(), table.column("n").to_numpy()
-            comp, chunk = table.column("comp").to_numpy(), table.column("chunk").to_numpy()
+            n, chunk, t = (table.column(c).to_numpy() for c in ("n", "chunk", "t"))
             cross = table.column("low").to_numpy() != table.column("high").to_numpy()
-            marks = table.column("signature").combine_chunks()
-            data = np.frombuffer(marks.buffers()[2], dtype=np.uint8)
-            first = np.frombuffer(marks.buffers()[1], dtype=np.int32, count=1, offset=4 * marks.offset)[0]
-            data = data[first:first + CHECKS * len(rep)].reshape(-1, CHECKS)
-            out_a, out_b = [], []
+            marks = _fixed(table.column("signature"), CHECKS)
+            keys = _fixed(table.column("signature"), CHECKS, 8 * TABLES).view(np.int64)
+            has = np.zeros(len(n), dtype=bool)
             for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                c = comp[lo:hi]
-                if (c == c[0]).all():
-                    continue
-                found = []
                 for i in range(lo, hi - 1):
-                    rest = slice(i + 1, hi)
-                    may = (comp[rest] != comp[i]) & (np.minimum(n[rest], n[i]) >= SIMILARITY * np.maximum(n[rest], n[i]))
+                    may = np.minimum(n[i + 1:hi], n[i]) >= SIMILARITY * np.maximum(n[i + 1:hi], n[i])
                     if cross[lo]:
-                        may &= chunk[rest] != chunk[i]
+                        may &= chunk[i + 1:hi] != chunk[i]
                     at = np.flatnonzero(may) + i + 1
+                    at = at[np.count_nonzero(marks[at] == marks[i], axis=1) >= LIKELY * CHECKS]
+                    if len(at) and t[lo]:
+                        at = at[~(keys[at, :t[lo]] == keys[i, :t[lo]]).any(axis=1)]
                     if len(at):
-                        same = np.count_nonzero(data[at] == data[i], axis=1)
-                        likely = same >= LIKELY * CHECKS
-                        found.extend(zip((-same[likely]).tolist(), [i] * int(likely.sum()), at[likely].tolist()))
-                if spanning:
-                    found = _forest(found, comp)
-                out_a.extend(rep[x[1]] for x in found)
-                out_b.extend(rep[x[2]] for x in found)
-            a, b = np.array(out_a, dtype=np.int64), np.array(out_b, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                        has[i] = has[at] = True
+            yield from table.select([*BLOCK_KEYS, "chunk", "rep"]).filter(pa.array(has)).to_batches()
+
+    return members.mapInArrow(run, "t int, key long, low int, high int, chunk int, rep long")
+
 
-    return members.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+def _fixed(column: pa.ChunkedArray, skip: int, width: int | None = None) -> np.ndarray:
+    """Bytes of a binary column of SIGNATURE bytes a row: the first ``skip``, or ``width`` from there."""
+    array = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.binary())
+    if not len(array):
+        return np.zeros((0, width or skip), dtype=np.uint8)
+    first = np.frombuffer(array.buffers()[1], dtype=np.int32, count=1, offset=4 * array.offset)[0]
+    rows = np.frombuffer(array.buffers()[2], dtype=np.uint8)[first:first + SIGNATURE * len(array)].reshape(-1, SIGNATURE)
+    return np.ascontiguousarray(rows[:, skip:skip + width] if width else rows[:, :skip])
 
 
-def _forest(pairs: list, comp: np.ndarray) -> list:
-    """The pairs that join different components, the likeliest first."""
-    parent: dict[int, int] = {}
+def links(members: DataFrame) -> DataFrame:
+    """(a, b): verified links that span the groups of each block of ``members`` (block, rep, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in whole_groups(batches, BLOCK_KEYS):
+            rep, chunk = table.column("rep").to_pylist(), table.column("chunk").to_numpy()
+            low, high, text = table.column("low").to_numpy(), table.column("high").to_numpy(), table.column("text")
+            out = []
+            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                grams = [shingles(words_of(x)) for x in text.slice(lo, hi - lo).to_pylist()]
+                apart = chunk[lo:hi] if low[lo] != high[lo] else None
+                out.extend((rep[lo + i], rep[lo + j]) for i, j in spanning(grams, apart))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)],
+                                             names=["a", "b"])
+
+    return members.mapInArrow(run, "a long, b long")
+
+
+def shared_counts(marks: list[np.ndarray]) -> np.ndarray:
+    """How many labelled shingles each two texts share."""
+    owner = np.repeat(np.arange(len(marks)), [len(m) for m in marks])
+    _, gram, times = np.unique(np.concatenate(marks), return_inverse=True, return_counts=True)
+    keep = times[gram] > 1
+    number = np.cumsum(times > 1) - 1
+    owner, gram = owner[keep], number[gram[keep]]
+    order = np.argsort(gram, kind="stable")
+    owner, gram = owner[order], gram[order]
+    total = np.zeros((len(marks), len(marks)), dtype=np.float32)
+    for a in range(0, int(gram[-1]) + 1 if len(gram) else 0, COLUMNS):
+        lo, hi = np.searchsorted(gram, [a, a + COLUMNS])
+        part = np.zeros((len(marks), COLUMNS), dtype=np.float32)
+        part[owner[lo:hi], gram[lo:hi] - a] = 1
+        total += part @ part.T
+    return total
+
+
+def needed(n, m):
+    """The least number of common shingles that reaches the similarity."""
+    return np.ceil(SIMILARITY * (n + m) / (1 + SIMILARITY) - 1e-9)
+
+
+def spanning(grams: list[np.ndarray], chunk: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Verified pairs that span the groups of similar texts; with ``chunk``, only pairs of different chunks."""
+    size = np.array([len(g) for g in grams], dtype=np.float64)
+    shared = shared_counts([labelled(g) for g in grams])
+    may = np.triu(shared >= needed(size[:, None], size[None, :]), 1)
+    if chunk is not None:
+        may &= chunk[:, None] != chunk[None, :]
+    i, j = np.nonzero(may)
+    order = np.lexsort((j, i, -shared[i, j] / (size[i] + size[j])))
+    parent = list(range(len(grams)))
 
     def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
+        while parent[x] != x:
             parent[x] = x = parent[parent[x]]
         return x
 
     out = []
-    for pair in sorted(pairs):
-        a, b = root(int(comp[pair[1]])), root(int(comp[pair[2]]))
-        if a != b:
+    for x, y in zip(i[order].tolist(), j[order].tolist()):
+        a, b = root(x), root(y)
+        if a != b and similar(grams[x], grams[y]):
             parent[a] = b
-            out.append(pair)
+            out.append((x, y))
     return out
 
 
@@ -238,63 +288,25 @@ def common_in_band(a: np.ndarray, b: np.ndarray, band: int) -> int:
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether the aligned shingles of two texts reach the similarity."""
     n, m = len(a), len(b)
-    enough = int(np.ceil(SIMILARITY * (n + m) / (1 + SIMILARITY) - 1e-9))
-    if min(n, m) < enough:
-        return False
-    x, y = np.unique(labelled(a)), np.unique(labelled(b))
-    if len(np.intersect1d(x, y, assume_unique=True)) < enough:  # shingles in any order are at least as many
-        return False
-    return common_in_band(a, b, n + m - 2 * enough) >= enough
-
-
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs whose texts are similar."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: OrderedDict[int, np.ndarray] = OrderedDict()
-
-        def grams(key: int, text: str) -> np.ndarray:
-            if key not in known:
-                known[key] = shingles(words_of(text))
-                if len(known) > 64:
-                    known.popitem(last=False)
-            return known[key]
-
-        for whole in batches:
-            for batch in slices(iter([whole]), "text_a"):
-                a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-                ok = [similar(grams(x, s), grams(y, t)) for x, y, s, t in
-                      zip(a, b, batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist())]
-                yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    left = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
-    return (pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-            .mapInArrow(run, "a long, b long"))
+    enough = int(needed(n, m))
+    return min(n, m) >= enough and common_in_band(a, b, n + m - 2 * enough) >= enough
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, class_id) of every row: the least id of its near-duplicate group."""
-    spark = docs.sparkSession
     rows = cut(sketches(docs, id_col, text_col), "sketches")
     equal = rows.where("words_key IS NOT NULL AND id IS NOT NULL").groupBy("words_key").agg(
         F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"),
         F.first("signature").alias("signature"))
     equal = cut(equal, "classes")
-    keyed = equal.select("rep", "n", "signature", F.posexplode("keys").alias("t", "key"))
-    members = cut(in_blocks(keyed, ["t", "key"], "rep", BLOCK), "members")
-    reps = members.select("rep").distinct()
+    # Buckets are found on ids and keys alone; only rows of shared buckets get their signature.
+    keyed = equal.select("rep", F.posexplode("keys").alias("t", "key"))
+    shared = cut(in_blocks(keyed, ["t", "key"], "rep", BLOCK), "shared")
+    members = shared.join(equal.select("rep", "n", "signature"), "rep")
+    likely = cut(likely_members(by_block(members, BLOCK_KEYS)), "likely")
     texts = cut(docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-                .join(reps, "rep").groupBy("rep").agg(F.min("text").alias("text")), "texts")
-    found = spark.createDataFrame([], "node long, component long")
-    for tables, spanning in ((FIRST_TABLES, True), (TABLES, True), (TABLES, False)):
-        of = found.select(F.col("node").alias("rep"), F.col("component").alias("of"))
-        now = (members.where(F.col("t") < tables).join(of, "rep", "left")
-               .withColumn("comp", F.coalesce("of", "rep")).drop("of"))
-        pairs = cut(candidates(by_block(now, BLOCK_KEYS), spanning), "pairs")
-        links = verified(pairs, texts).unionByName(
-            found.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        found = cut(components(links), "components")
+                .join(likely.select("rep").distinct(), "rep").groupBy("rep").agg(F.min("text").alias("text")), "texts")
+    found = components(links(by_block(likely.join(texts, "rep"), BLOCK_KEYS)))
     named = equal.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         F.col("words_key").alias("k"), F.coalesce("component", "rep").alias("class"))
     return rows.join(cut(named, "named"), F.col("words_key") == F.col("k"), "left").select(

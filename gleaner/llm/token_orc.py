@@ -23,6 +23,8 @@ from __future__ import annotations
 
 import os
 import re
+import string
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,10 +34,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gleaner.llm.flat import slices
 
 CACHE_CHUNKS = 800_000
+PUNCTUATION = string.punctuation
+#: Runs of letters that are encoded as one text.
+STEMS = 64
 #: Characters that Python's split() takes for white space and the tokenizer does not.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -68,20 +74,66 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
         """Ids of each text and ``end_id``, as bytes of 32-bit integers."""
         split = [chunks(t) for t in texts]
-        cache = self.cache
-        new = list({c for cs in split for c in cs if c not in cache})
-        if len(cache) + len(new) > CACHE_CHUNKS:
-            cache.clear()
-            new = list({c for cs in split for c in cs})
+        get = self.cache.get
+        rows = [[get(c) for c in cs] for cs in split]
+        new = {c for cs, row in zip(split, rows) if None in row for c, ids in zip(cs, row) if ids is None}
         if new:
-            found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            cache.update((c, np.array(e.ids, dtype="<i4").tobytes()) for c, e in zip(new, found))
+            known = self._encode_new(new)
+            rows = [[known[c] if ids is None else ids for c, ids in zip(cs, row)] for cs, row in zip(split, rows)]
         end = np.array([end_id], dtype="<i4").tobytes()
-        return [b"".join([cache[c] for c in cs]) + end for cs in split]
+        return [b"".join(row) + end for row in rows]
+
+    def _encode_new(self, new: set[str]) -> dict[str, bytes]:
+        """Ids of chunks that are not in the cache.
+
+        Letters and the punctuation marks behind them are tokens of their own, so such a chunk's ids are
+        those of the two; ASCII letters have the ids of their small forms.
+        """
+        parts = {}
+        for c in new:
+            stem = c.rstrip(PUNCTUATION)
+            if stem.isalpha() and (stem.isascii() or unicodedata.normalize("NFC", stem).lower().isalpha()):
+                parts[c] = (stem.lower() if stem.isascii() else stem, c[len(stem):])
+        need = {p for c in new for p in parts.get(c, (c,)) if p}
+        ids = {p: self.cache[p] for p in need if p in self.cache}
+        missing = [p for p in need if p not in ids]
+        stems = {p[0] for p in parts.values()}
+        found = self._encode_stems([p for p in missing if p in stems])
+        found |= self._encode_each([p for p in missing if p not in found])
+        ids |= found
+        ids[""] = b""
+        out = {c: b"".join(ids[p] for p in parts.get(c, (c,))) for c in new}
+        if len(self.cache) + len(out) + len(missing) > CACHE_CHUNKS:
+            self.cache.clear()
+        self.cache.update(out)
+        self.cache.update(found)
+        return out
+
+    def _encode_each(self, texts: list[str]) -> dict[str, bytes]:
+        if not texts:
+            return {}
+        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return {t: np.array(e.ids, dtype="<i4").tobytes() for t, e in zip(texts, encoded)}
+
+    def _encode_stems(self, stems: list[str]) -> dict[str, bytes]:
+        """Runs of letters, many to a text: the last token of each ends a word, so it shows where the next begins."""
+        if not stems:
+            return {}
+        joined = [" ".join(stems[k:k + STEMS]) for k in range(0, len(stems), STEMS)]
+        encoded = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, dtype="<i4") for e in encoded])
+        ends = 4 * (np.flatnonzero(self.ends_word[ids]) + 1)
+        if len(ends) != len(stems) or ends[-1] != 4 * len(ids):
+            return {}
+        data = ids.tobytes()
+        return {t: data[a:b] for t, a, b in zip(stems, [0, *ends[:-1].tolist()], ends.tolist())}
 
 
 @lru_cache(maxsize=2)
@@ -116,20 +168,25 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int,
      .write.options(**ORC_OPTIONS).orc(path))
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of every row of the files."""
-    rows = spark.read.orc(path)
+def placed(rows: DataFrame) -> DataFrame:
+    """``rows`` of the files (block, block_start, n_tokens and more) and start, the ids of all documents before."""
     totals = rows.groupBy("block").agg(F.max(F.col("block_start") + F.col("n_tokens")).alias("held"))
-    # One row per range of the write, so a sum over all of them is small.
+    # One row per range of the write, as many as its shuffle had partitions: small enough to sum and to broadcast.
     offsets = totals.select("block", F.expr(
         "sum(held) OVER (ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - held"
     ).alias("before"))
-    return rows.join(offsets, "block").select(
-        "doc_id", (F.col("before") + F.col("block_start")).alias("start"), "n_tokens", "ids")
+    return rows.join(F.broadcast(offsets), "block").withColumn(
+        "start", F.col("before") + F.col("block_start")).drop("before")
+
+
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids) of every row of the files."""
+    return placed(spark.read.orc(path)).select("doc_id", "start", "n_tokens", "ids")
 
 
-def with_crc(tokens: DataFrame) -> DataFrame:
-    """``ids`` replaced by ``ids_crc32``, the CRC-32 of its little-endian 32-bit integers."""
+def with_crc(rows: DataFrame) -> DataFrame:
+    """``rows`` of the files with ``ids`` replaced by ``ids_crc32``, the CRC-32 of its little-endian 32-bit integers."""
+    kept = [c for c in rows.columns if c != "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,10 +194,8 @@ def with_crc(tokens: DataFrame) -> DataFrame:
             data = np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False), dtype="<u4")
             ends = ids.offsets.to_numpy()
             crc = [zlib.crc32(data[a:b]) for a, b in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"),
-                 pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(crc, pa.int64())],
+                                             names=[*kept, "ids_crc32"])
 
-    rows = tokens.select("doc_id", "start", "n_tokens", "ids")
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    added = StructType.fromDDL("ids_crc32 long")
+    return rows.mapInArrow(run, StructType([rows.schema[c] for c in kept] + added.fields))
