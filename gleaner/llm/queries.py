@@ -93,7 +93,8 @@ def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place, length and checksum of every document's ids, as read back from the ORC files."""
     path = scratch(spark, "tokens")
     token_orc.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer("word_bpe_49k.json"), end_id=2)
-    return token_orc.placed(token_orc.with_crc(spark.read.orc(path))).select(
+    files = spark.read.orc(path)
+    return token_orc.placed(token_orc.with_crc(files), files).select(
         "doc_id", "start", "n_tokens", "ids_crc32")
 
 

@@ -9,9 +9,10 @@ the ids before it in that range (``block_start``); with the ranges' totals (one
 row per range) a reader gets every document's place in the whole sequence
 without sorting again.
 
-Encoding: the tokenizer drops white space and never joins across it, so a text
-is cut at white space and each distinct chunk of a batch is encoded once by the
-library.
+Encoding: the tokenizer drops white space and never joins across it, nor across
+the end of a run of letters, and it takes capitals for small letters. So a text
+is cut there into words, and each distinct word of a batch is encoded once by
+the library; the texts' ids are gathered from those.
 
 Defined cases: NULL and empty texts hold the end id only; rows that share an id
 are ordered by text (NULL first), NULL ids come first; an empty table gives an
@@ -22,8 +23,6 @@ clash. Texts are encoded whole.
 from __future__ import annotations
 
 import os
-import re
-import string
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -31,6 +30,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,13 +38,16 @@ from pyspark.sql.types import StructType
 
 from gleaner.llm.flat import slices
 
-CACHE_CHUNKS = 800_000
-PUNCTUATION = string.punctuation
+CACHE_WORDS = 800_000
+SLICE_BYTES = 4 << 20
 #: Runs of letters that are encoded as one text.
 STEMS = 64
-#: Characters that Python's split() takes for white space and the tokenizer does not.
-SEPARATORS = re.compile("[\x1c-\x1f]")
-BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: A Latin-1 letter and the ASCII marks behind it, up to white space: two tokens or more, cut between the two.
+LETTER_MARKS = r"([A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}])([!-/:-@\[-`{-~]+)([ \t-\r]|$)"
+#: Combining marks of Latin letters: what they make of a letter can depend on its case.
+COMBINING = r"[\x{300}-\x{36F}]"
+#: The beginning of a special token, in which nothing may be changed.
+SPECIAL = "<|"
 
 ORC_OPTIONS = {
     "orc.bloom.filter.columns": "doc_id",
@@ -56,65 +59,59 @@ ORC_OPTIONS = {
 }
 
 
-def chunks(text: str | None) -> list[str]:
-    """The parts between white space."""
-    if not text:
-        return []
-    if SEPARATORS.search(text):
-        return [c for c in BLANKS.split(text) if c]
-    return text.split()
+def words_of(texts: pa.Array) -> pa.ListArray:
+    """The parts of each text that are encoded by themselves: those between ASCII white space, without the
+    marks at their end, in small letters. NULL is the empty text."""
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    if not pc.any(pc.match_substring(texts, SPECIAL)).as_py():
+        if not pc.any(pc.match_substring_regex(texts, COMBINING)).as_py():
+            texts = pc.ascii_lower(texts)
+        texts = pc.replace_substring_regex(texts, LETTER_MARKS, r"\1 \2\3")
+    return pc.ascii_split_whitespace(texts)
 
 
-class ChunkEncoder:
-    """Encodes texts by their distinct chunks."""
+class WordEncoder:
+    """Encodes texts by their distinct words."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {"": b""}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
-        """Ids of each text and ``end_id``, as bytes of 32-bit integers."""
-        split = [chunks(t) for t in texts]
-        get = self.cache.get
-        rows = [[get(c) for c in cs] for cs in split]
-        new = {c for cs, row in zip(split, rows) if None in row for c, ids in zip(cs, row) if ids is None}
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, ``end_id`` behind each, and the n + 1 bounds of the texts."""
+        split = words_of(texts)
+        word = split.flatten().dictionary_encode()
+        held = self._ids_of(word.dictionary.to_pylist())
+        held.append(np.array([end_id], dtype="<i4").tobytes())
+        length = np.array([len(h) for h in held], dtype=np.int32) // 4
+        ids = np.frombuffer(b"".join(held), dtype="<i4")
+        words = split.offsets.to_numpy() - split.offsets[0].as_py()
+        which = np.insert(word.indices.to_numpy(), words[1:], len(held) - 1)  # the end id is each text's last word
+        first, n = (np.cumsum(length, dtype=np.int32) - length)[which], length[which]
+        ends = np.cumsum(n, dtype=np.int32)
+        # Place k of a word that begins at ``a`` in the output takes ids[first + k - a].
+        flat = ids[np.arange(len(which) and ends[-1], dtype=np.int32) + np.repeat(first - (ends - n), n)]
+        return flat, np.append(0, ends)[words + np.arange(len(words))].astype(np.int64)
+
+    def _ids_of(self, words: list[str]) -> list[bytes]:
+        """Ids of each word as bytes of 32-bit integers."""
+        held = list(map(self.cache.get, words))
+        new = [w for w, ids in zip(words, held) if ids is None]
         if new:
-            known = self._encode_new(new)
-            rows = [[known[c] if ids is None else ids for c, ids in zip(cs, row)] for cs, row in zip(split, rows)]
-        end = np.array([end_id], dtype="<i4").tobytes()
-        return [b"".join(row) + end for row in rows]
-
-    def _encode_new(self, new: set[str]) -> dict[str, bytes]:
-        """Ids of chunks that are not in the cache.
-
-        Letters and the punctuation marks behind them are tokens of their own, so such a chunk's ids are
-        those of the two; ASCII letters have the ids of their small forms.
-        """
-        parts = {}
-        for c in new:
-            stem = c.rstrip(PUNCTUATION)
-            if stem.isalpha() and (stem.isascii() or unicodedata.normalize("NFC", stem).lower().isalpha()):
-                parts[c] = (stem.lower() if stem.isascii() else stem, c[len(stem):])
-        need = {p for c in new for p in parts.get(c, (c,)) if p}
-        ids = {p: self.cache[p] for p in need if p in self.cache}
-        missing = [p for p in need if p not in ids]
-        stems = {p[0] for p in parts.values()}
-        found = self._encode_stems([p for p in missing if p in stems])
-        found |= self._encode_each([p for p in missing if p not in found])
-        ids |= found
-        ids[""] = b""
-        out = {c: b"".join(ids[p] for p in parts.get(c, (c,))) for c in new}
-        if len(self.cache) + len(out) + len(missing) > CACHE_CHUNKS:
-            self.cache.clear()
-        self.cache.update(out)
-        self.cache.update(found)
-        return out
+            stems = [w for w in new if w.isalpha() and (w.isascii() or unicodedata.normalize("NFC", w).lower().isalpha())]
+            found = self._encode_stems(stems)
+            found |= self._encode_each([w for w in new if w not in found])
+            held = [found[w] if ids is None else ids for w, ids in zip(words, held)]
+            if len(self.cache) + len(found) > CACHE_WORDS:
+                self.cache = {"": b""}
+            self.cache.update(found)
+        return held
 
     def _encode_each(self, texts: list[str]) -> dict[str, bytes]:
         if not texts:
@@ -137,9 +134,9 @@ class ChunkEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str) -> WordEncoder:
     """One encoder per worker process."""
-    return ChunkEncoder(path)
+    return WordEncoder(path)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int,
@@ -149,17 +146,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, total = TaskContext.get().partitionId(), 0
         enc = encoder(tokenizer_path)
-        for batch in slices(batches, "text"):
-            rows = enc.encode(batch.column("text").to_pylist(), end_id)
-            sizes = np.array([len(r) // 4 for r in rows], dtype=np.int64)
-            ends = np.cumsum(sizes)
-            flat = np.frombuffer(b"".join(rows), dtype="<i4").astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(flat))
+        for batch in slices(batches, "text", SLICE_BYTES):
+            flat, bounds = enc.encode(batch.column("text"), end_id)
+            ids = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.full(len(rows), block, dtype=np.int32)),
-                 pa.array(total + ends - sizes), pa.array(sizes), ids],
+                [batch.column("doc_id"), pa.array(np.full(batch.num_rows, block, dtype=np.int32)),
+                 pa.array(total + bounds[:-1]), pa.array(np.diff(bounds)), ids],
                 names=["doc_id", "block", "block_start", "n_tokens", "ids"])
-            total += int(ends[-1])
+            total += int(bounds[-1])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -168,9 +162,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int,
      .write.options(**ORC_OPTIONS).orc(path))
 
 
-def placed(rows: DataFrame) -> DataFrame:
-    """``rows`` of the files (block, block_start, n_tokens and more) and start, the ids of all documents before."""
-    totals = rows.groupBy("block").agg(F.max(F.col("block_start") + F.col("n_tokens")).alias("held"))
+def placed(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """``rows`` of ``files`` (block, block_start, n_tokens and more) and start, the ids of all documents before."""
+    totals = files.groupBy("block").agg(F.max(F.col("block_start") + F.col("n_tokens")).alias("held"))
     # One row per range of the write, as many as its shuffle had partitions: small enough to sum and to broadcast.
     offsets = totals.select("block", F.expr(
         "sum(held) OVER (ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - held"
@@ -181,7 +175,8 @@ def placed(rows: DataFrame) -> DataFrame:
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of every row of the files."""
-    return placed(spark.read.orc(path)).select("doc_id", "start", "n_tokens", "ids")
+    files = spark.read.orc(path)
+    return placed(files, files).select("doc_id", "start", "n_tokens", "ids")
 
 
 def with_crc(rows: DataFrame) -> DataFrame:

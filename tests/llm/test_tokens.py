@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -76,12 +77,35 @@ def test_pieces_of_odd_rows(spark, library):
     assert sentence_pieces.encode_decode(no_docs(spark), PIECES).count() == 0
 
 
-def test_chunks_equal_the_whole_text():
+def encoded_by_words(texts):
+    flat, bounds = token_orc.encoder(WORDS).encode(pa.array(texts, pa.string()), 2)
+    return [flat[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])]
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_words_equal_the_whole_text(seed):
+    tokenizer = Tokenizer.from_file(WORDS)
+    texts = [*random_texts(seed, 4000), "", " ", "\n", "X" * 9000]
+    want = [w.ids + [2] for w in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert encoded_by_words(texts) == want  # with special tokens among them
+    assert [x for t in texts for x in encoded_by_words([t])] == want  # and most texts without
+
+
+@pytest.mark.parametrize("text", [
+    "J\u030c J\u030c, H\u0331. İ, Çà, Ñ. Ü; ẞ!", "don't. DON'T, x's, 's. 'S", "a.. b,) c,d e;; (f)", "K\u212a, \u0958, ΑΣ, ΑΣ. Σ",
+    "a\xa0b,\xa0c.\u3000d", "<|endoftext|> a, <|ENDOFTEXT|>, <|startoftext|>.", "1, 2. x1, ²,", "a,\x1cb.\x1f", "é,\u0301 e\u0301, =\u0338, a=\u0338 b"])
+def test_words_of_odd_texts_equal_the_whole_text(text):
+    assert encoded_by_words([text]) == [Tokenizer.from_file(WORDS).encode(text, add_special_tokens=False).ids + [2]]
+
+
+def test_word_cache_limit_changes_nothing(monkeypatch):
+    monkeypatch.setattr(token_orc, "CACHE_WORDS", 10)
     tokenizer = Tokenizer.from_file(WORDS)
-    texts = random_texts(5, 4000)
-    want = tokenizer.encode_batch(texts, add_special_tokens=False)
-    got = token_orc.ChunkEncoder(WORDS).encode(texts, 2)
-    assert [np.frombuffer(g, dtype="<i4").tolist() for g in got] == [w.ids + [2] for w in want]
+    enc = token_orc.WordEncoder(WORDS)
+    for k in range(10):
+        texts = random_texts(k, 20)
+        flat, _ = enc.encode(pa.array(texts), 2)
+        assert flat.tolist() == [i for t in texts for i in tokenizer.encode(t, add_special_tokens=False).ids + [2]]
 
 
 def expected_tokens(docs):
