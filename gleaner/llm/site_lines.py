@@ -9,12 +9,17 @@ array per host; pages are joined to it by host (a large host's pages are split
 by adaptive skew handling where the arrays are too large to broadcast) and lose
 those lines.
 
+With ``per_text`` a line counts once per distinct text of the host (by its MD5, in a
+two-level distinct count) and is divided by the host's distinct texts, so the
+copies of one document do not make its lines boilerplate; near copies are
+distinct texts. ``corpus_pipeline`` counts so; ``op1_site_lines`` counts rows, as its oracle does.
+
 ``documents`` have no URL: the host is ``source``.
 
 Defined cases: NULL text stays NULL (0 lines) and counts as a page; blank lines
 are never counted nor dropped; a text that loses all lines becomes empty; NULL
-hosts are one host; each row is a page, repeated rows too; an empty table gives
-an empty result; columns of other names are passed through or not read.
+hosts are one host; each row is a page, repeated rows too (with ``per_text`` each
+distinct text, and NULL is none); an empty table gives an empty result; columns of other names are passed through or not read.
 """
 
 from __future__ import annotations
@@ -36,22 +41,25 @@ def _key(line: F.Column) -> F.Column:
 
 
 def boilerplate(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES,
-                text_col: str = "text", host_col: str = "source") -> DataFrame:
+                text_col: str = "text", host_col: str = "source", per_text: bool = False) -> DataFrame:
     """(host, lines): the keys of lines on more than ``ratio`` of the host's pages, hosts without any left out."""
     pages = docs.select(F.col(f"`{host_col}`").alias("host"), F.col(f"`{text_col}`").alias("text"))
+    pages = pages.withColumn("page", F.unhex(F.md5("text")) if per_text else F.lit(1))
+    number = F.count_distinct("page") if per_text else F.count("page")
     keys = F.array_distinct(F.array_compact(F.transform(F.split("text", "\n"), _key)))
-    counts = (pages.select("host", F.explode(keys).alias("line")).groupBy("host", "line")
-              .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages))
-    totals = pages.groupBy(F.col("host").alias("of")).agg(F.count(F.lit(1)).alias("pages"))
+    counts = (pages.select("host", "page", F.explode(keys).alias("line")).groupBy("host", "line")
+              .agg(number.alias("n")).where(F.col("n") >= min_pages))
+    totals = pages.groupBy(F.col("host").alias("of")).agg(number.alias("pages"))
     return (counts.join(totals, F.col("host").eqNullSafe(F.col("of")))
             .where(F.col("n") > ratio * F.col("pages"))
             .groupBy("host").agg(F.collect_list("line").alias("lines")))
 
 
 def clean(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, text_col: str = "text",
-          host_col: str = "source", n_lines: str | None = None, n_dropped: str | None = None) -> DataFrame:
+          host_col: str = "source", n_lines: str | None = None, n_dropped: str | None = None,
+          per_text: bool = False) -> DataFrame:
     """``docs`` with boilerplate lines gone from the text; line counts in columns of the given names."""
-    found = boilerplate(docs, ratio, min_pages, text_col, host_col)
+    found = boilerplate(docs, ratio, min_pages, text_col, host_col, per_text)
     host, drop = fresh(docs, "_host"), fresh(docs, "_drop")
     found = found.select(F.col("host").alias(host), F.col("lines").alias(drop))
     rows = docs.join(found, F.col(f"`{host_col}`").eqNullSafe(F.col(host)), "left")

@@ -58,6 +58,15 @@ def test_lines_of_odd_rows(spark):
     assert site_lines.clean(no_docs(spark)).count() == 0
 
 
+def test_pipeline_keeps_the_lines_of_a_copied_document(spark):
+    copied = "\n".join(" ".join(random_words(k, 8)) for k in range(6))
+    rows = [(k, copied if k % 3 == 0 else " ".join(random_words(100 + k, 9)) + ("\nAll pages" if k % 3 == 1 else ""),
+             "en", "a", 0) for k in range(90)]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_boilerplate(spark, odd_docs(spark, rows), SMALL).collect()}
+    for k, text, *_ in rows:
+        assert got[k] == text.removesuffix("\nAll pages"), k
+
+
 def plain_targets(sizes):
     """Targets of {source: size} by the contract's words: share by weight, cap, share the excess again."""
     order = sorted(sizes, key=lambda s: (s is None, s))
