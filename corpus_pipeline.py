@@ -22,7 +22,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the lines on many distinct texts of its source; ``n_chars`` follows the text."""
-    return site_lines.clean(docs, per_text=True).withColumn(
+    return site_lines.clean(docs, ratio=site_lines.TEXT_RATIO, per_text=True).withColumn(
         "n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 

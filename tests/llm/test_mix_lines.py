@@ -67,6 +67,15 @@ def test_pipeline_keeps_the_lines_of_a_copied_document(spark):
         assert got[k] == text.removesuffix("\nAll pages"), k
 
 
+def test_pipeline_drops_lines_of_a_few_percent_of_a_large_source(spark):
+    rows = [(k, f"{' '.join(random_words(k, 9))}\n" + ("Share this page" if k % 33 == 0 else "Said on few pages" if k < 8
+             else f"line {k}"), "en", "a", 0) for k in range(500)]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_boilerplate(spark, odd_docs(spark, rows), SMALL).collect()}
+    for k, text, *_ in rows:
+        lines = text.split("\n")
+        assert got[k].split("\n") == (lines[:1] if k % 33 == 0 else lines), k
+
+
 def plain_targets(sizes):
     """Targets of {source: size} by the contract's words: share by weight, cap, share the excess again."""
     order = sorted(sizes, key=lambda s: (s is None, s))
