@@ -6,6 +6,8 @@ notice of m characters may differ by ``EDITS_PER_100`` * m / 100 edits: it is sp
 into one piece more than it may have edits, so every match holds a piece
 unchanged (pigeonhole); exact search for the pieces gives the places, and the
 ``regex`` library's bounded-error matching verifies each and gives span and edits.
+Misspelled phrases (``MISSPELT``) are found in the same way, as whole words, and
+stand among the notices; phrases themselves stay exact.
 
 Every text is scanned where it is read, without a shuffle.
 
@@ -16,6 +18,7 @@ columns are read, so other columns cannot clash. Texts are scanned whole.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -50,6 +53,15 @@ NOTICES = {
 
 EDITS_PER_100 = 10
 
+# Phrases that may be misspelled, as whole words: label, and the pieces of which a match holds one
+# unchanged. No letter of "mit" may differ ("it license", "permit license"); "cc by" is too short for an edit.
+MISSPELT = {
+    "(?:gnu general public license){e<=2}": ("gpl", ("gnu gene", "ral publi", "c license")),
+    "(?:apache license){e<=1}": ("apache", ("apache ", "license")),
+    "mit (?:license){e<=1}": ("mit", (" mit ",)),
+}
+LONGEST = 30
+
 _WORD = frozenset([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)])
 NORMAL = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b in _WORD else 0x20 for b in range(256))
 
@@ -103,13 +115,56 @@ def fuzzy(normal: bytes) -> list[tuple[str, int, int, int]]:
     return sorted(found)
 
 
+@lru_cache(maxsize=1)
+def misspelt_searches() -> list[tuple]:
+    """(label, compiled pattern, pieces) of each phrase of ``MISSPELT``."""
+    import regex
+
+    return [(label, regex.compile(f"(?b){pattern}"), [p.encode() for p in pieces])
+            for pattern, (label, pieces) in MISSPELT.items()]
+
+
+def misspelt(normal: bytes, notices: list[tuple[str, int, int, int]]) -> list[tuple[str, int, int, int]]:
+    """(label, first word, last word, edits) of each misspelled phrase, best match of overlapping ones.
+
+    Not those that are a phrase unchanged or lie in one of ``notices`` with the same label.
+    """
+    found, blanks = [], []
+    for label, pattern, pieces in misspelt_searches():
+        near = {at for piece in pieces for at in places(normal, piece)}
+        if near and not blanks:
+            blanks = [k for k, c in enumerate(normal) if c == 0x20]  # word k stands between blanks k and k + 1
+        tried: dict[tuple[int, int], int] = {}
+        for at in near:
+            k = bisect_right(blanks, at) - 1
+            for first in range(k, max(-1, k - LONGEST), -1):
+                if at - blanks[first] > LONGEST:
+                    break
+                for last in range(k, len(blanks) - 1):
+                    a, b = blanks[first] + 1, blanks[last + 1]
+                    if b - a > LONGEST:
+                        break
+                    if (first, last) not in tried:
+                        match = pattern.fullmatch(normal[a:b].decode("latin-1"))
+                        tried[first, last] = sum(match.fuzzy_counts) if match else -1
+        taken: set[int] = set()
+        inside = {k for x in notices if x[0] == label for k in range(x[1], x[2] + 1)}
+        for edits, first, last in sorted((e, a, b) for (a, b), e in tried.items() if e >= 0):
+            if taken.isdisjoint(range(first, last + 1)):
+                taken.update(range(first, last + 1))
+                if edits and inside.isdisjoint(range(first, last + 1)):
+                    found.append((label, first, last, edits))
+    return found
+
+
 def scan_text(text: str | None) -> tuple:
     """(n_words, [(label, first word)] of phrases, [(label, first, last, edits)] of notices)."""
     words = words_of(text)
     normal = b" " + b" ".join(words) + b" "
     base = [(label, normal.count(b" ", 0, at + 1) - 1)
             for phrase, label in PHRASES.items() for at in places(normal, f" {phrase} ".encode())]
-    return len(words), sorted(base), fuzzy(normal) if words else []
+    notices = fuzzy(normal) if words else []
+    return len(words), sorted(base), sorted(notices + misspelt(normal, notices))
 
 
 SPAN = "struct<label:string,first_word:bigint,last_word:bigint,edits:int>"

@@ -289,6 +289,18 @@ def test_clean_text_has_no_notice():
     assert licenses.scan_text(text)[1:] == ([], [])
 
 
+def test_misspelled_phrases_are_notices():
+    for text, span in (("The MIT Licence", ("mit", 1, 2, 1)), ("see Apache Licence 2.0", ("apache", 1, 2, 1)),
+                       ("licensed under the Apache Licence 2.0", ("apache", 3, 4, 1)),
+                       ("Apche License", ("apache", 0, 1, 1)), ("GNU Genral Public Licence v3", ("gpl", 0, 3, 2)),
+                       ("Apache License, not Apache Licence", ("apache", 3, 4, 1))):
+        assert span in licenses.scan_text(text)[2], text
+        assert licenses.scan_text(text)[1] == plain_base(text)[1]
+    for text in ("it license", "permit license", "submit licence", "MIT License", "Apache License", "a licence",
+                 "GNU General Public License", "the general public license", "cc bye", "mit " * 50):
+        assert licenses.scan_text(text)[2] == [], text
+
+
 def test_op10_on_documents(spark):
     rows = queries.op10_licenses(spark, SMALL).collect()
     docs = {r["doc_id"]: r["text"] for r in queries.table(spark, SMALL, "documents").collect()}
