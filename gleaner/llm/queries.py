@@ -13,8 +13,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gleaner.llm import (
+    cuckoo_index,
     isolation_rules,
     licenses,
+    merkle_manifest,
+    pair_counts,
     order_minhash,
     sentence_pieces,
     sign_hash,
@@ -103,8 +106,29 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.summary(licenses.scan(table(spark, sf_dir, "documents")))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and check of every document in the manifest of its source."""
+    return merkle_manifest.manifest(table(spark, sf_dir, "documents"), merkle_manifest.without_breaks())
+
+
+def op12_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment of two tokenizers over every document, with the corpus's counts of the linked ids."""
+    return pair_counts.align(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"),
+                             tokenizer("piece_bpe_32k.model"))
+
+
+def op13_cuckoo_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of equal texts of every document."""
+    return cuckoo_index.dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_site_lines, op2_site_quality, op3_sentence_pieces, op4_isolation_rules, op5_sign_hash,
-    op6_source_mix, op7_toxic_terms, op8_order_minhash, op9_token_orc, op10_licenses)}
-
-ORACLES: dict[str, str] = {"op1_site_lines": site_lines.ORACLE}
+    op6_source_mix, op7_toxic_terms, op8_order_minhash, op9_token_orc, op10_licenses,
+    op11_merkle_manifest, op12_pair_counts, op13_cuckoo_dedup)}
+
+ORACLES: dict[str, str] = {
+    "op1_site_lines": site_lines.ORACLE,
+    "op11_merkle_manifest": merkle_manifest.ORACLE,
+    "op13_cuckoo_dedup": cuckoo_index.ORACLE,
+}
