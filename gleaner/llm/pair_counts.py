@@ -17,8 +17,8 @@ index, summed up a tree ``FAN`` wide, so no task reads the pairs of all parts. T
 pairs themselves stand in the order of their indexes: a lookup verifies its key.
 
 **Second pass.** Each part's pairs are looked up (shard by shard, up the same
-tree), its words are aligned again, and every document sums over its words. Only
-words and numbers of words are shuffled, texts are not.
+tree), its words are aligned again from their ids, and every document sums over its
+words. Only ids and numbers of words are shuffled, texts are not.
 
 Defined cases: NULL and empty texts, and texts whose tokens' bytes differ from
 the text's (such as those with U+2581), have no tokens: zeros and an empty string.
@@ -30,7 +30,9 @@ cannot clash. Texts are read whole: a part is as large as its longest text.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -50,10 +52,14 @@ PART_BYTES = 8 << 20
 SHARDS = 128
 #: Parts summed by one task at each level of the tree.
 FAN = 1024
+#: Words encoded as one text, and such texts at once.
+JOINED, TEXTS = 64, 256
 #: Bits a remaining key at each level of a hash.
 ROOM = 2
 
 SPACE = "▁"
+#: Words of ASCII and Latin letters.
+PLAIN = re.compile("[\x00-\x7fÀ-ÖØ-öø-ɏ]+")
 LETTERS = byte_table([*range(0x41, 0x5B), *range(0x61, 0x7B)])
 
 
@@ -67,15 +73,38 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+def _fast(path: str):
+    """An encoder of the same vocabulary for ``PLAIN`` words, several times as fast.
+
+    Ranks are the file's merges in order, so it must list each merge's token as the next id. Both libraries cut such
+    words alike by the byte-level pattern; other characters may differ by their Unicode versions and are left to the
+    file's own.
+    """
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    letters = _byte_letters()
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    first = len(model["vocab"]) - len(merges)
+    if any(model["vocab"][x + y] != first + k for k, (x, y) in enumerate(merges)):
+        raise ValueError("the merges are not in the order of the ids")
+    ranks = {bytes(letters[c] for c in token): i for token, i in model["vocab"].items()}
+    return tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 @dataclass
-class Links:
-    """Tokens, groups and links of a list of words; arrays ``x_at`` bound the words' own in the flat ones."""
+class Words:
+    """Tokens, groups and links of a list of words; words whose bytes a tokenizer changes (not ``good``) have none."""
 
-    good: np.ndarray  # whether both sides' bytes are the word's
+    good: np.ndarray
+    a: np.ndarray  # ids one word after another
     n_a: np.ndarray
+    b: np.ndarray
     n_b: np.ndarray
     n_groups: np.ndarray
-    groups: pa.Array
+    groups: pa.Array  # a semicolon behind each
     word: np.ndarray  # of each link
     pair: np.ndarray
 
@@ -91,6 +120,7 @@ class Aligner:
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
+        self.fast_a = _fast(path_a)
         letters = _byte_letters()
         words = {i: t for t, i in self.a.get_vocab(with_added_tokens=False).items()}
         special = {i: t.content for i, t in self.a.get_added_tokens_decoder().items()}
@@ -134,39 +164,100 @@ class Aligner:
         words = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(buf)))
         return words, np.searchsorted(first, at)
 
-    def links(self, words: pa.Array) -> Links:
+    def ids(self, words: pa.Array) -> tuple[np.ndarray, ...]:
+        """Ids of all words by A and by B, one after another, and how many each word has."""
+        listed, (buf, at) = words.to_pylist(), flat_utf8(words)
+        size = np.diff(at)
+        plain = np.array([w.isascii() or PLAIN.fullmatch(w) is not None for w in listed], dtype=bool)
+        # No token of B joins a space behind a word to the next word's; words with such an end, and those with the
+        # mark that stands for a space, are encoded by themselves.
+        alone = np.array([w.endswith(" ") or SPACE in w for w in listed], dtype=bool)
+        out = []
+        for pool, ways in ((self.pool_a, ((plain, self._plain_a, JOINED), (~plain, self._any_a, JOINED))),
+                           (self.pool_b, ((~alone, self._any_b, JOINED), (alone, self._any_b, 1)))):
+            n, parts = np.zeros(len(listed), dtype=np.int64), []
+            for chosen, encode, joined in ways:
+                which = np.flatnonzero(chosen)
+                parts.append(self._encoded(listed, size, which, encode, joined, pool))
+                n[which] = parts[-1][1]
+            ids = np.empty(n.sum(), dtype=np.int32)
+            for (chosen, *_), (flat, _) in zip(ways, parts):
+                ids[np.repeat(chosen, n)] = flat
+            out += [ids, n]
+        return tuple(out)
+
+    def _plain_a(self, texts: list[str]) -> list[list[int]]:
+        return self.fast_a.encode_ordinary_batch(texts, num_threads=1)
+
+    def _any_a(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _any_b(self, texts: list[str]) -> list[list[int]]:
+        return self.b.encode([t[1:] for t in texts], num_threads=1)  # it puts the space before a text itself
+
+    @staticmethod
+    def _encoded(words: list[str], size: np.ndarray, which: np.ndarray, encode, joined: int, pool: _Pool) -> tuple:
+        """Ids of the words of numbers ``which`` one after another, and how many each has: encoded ``joined`` words to a
+        text, told apart by the bytes of their tokens."""
+        held, counts = [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int64)]
+        for a in range(0, len(which), JOINED * TEXTS):
+            some = which[a:a + JOINED * TEXTS]
+            texts = ["".join([words[k] for k in some[b:b + joined].tolist()]) for b in range(0, len(some), joined)]
+            single = [np.array(x, dtype=np.int32) for x in encode(texts)]
+            ids = np.concatenate(single)
+            if joined == 1:
+                held.append(ids)
+                counts.append(np.array([len(x) for x in single], dtype=np.int64))
+                continue
+            ends, last = np.cumsum(pool.size[ids]), np.cumsum(size[some])
+            upto = np.searchsorted(ends, last, side="right")
+            if len(ids) != upto[-1] or not (ends[upto - 1] == last).all():  # a word whose tokens have other bytes
+                single = [np.array(x, dtype=np.int32) for x in encode([words[k] for k in some.tolist()])]
+                ids, upto = np.concatenate(single), np.cumsum([len(x) for x in single])
+            held.append(ids)
+            counts.append(np.diff(upto, prepend=0))
+        return np.concatenate(held), np.concatenate(counts)
+
+    def links(self, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Where tokens of words with equal bytes end (A, B and both), and word and pair of each link."""
+        word = np.repeat(np.arange(len(n_a)), n_a)
+        end_a, end_b = np.cumsum(self.pool_a.size[a]), np.cumsum(self.pool_b.size[b])
+        # A link ends where either token does; both lists ascend.
+        both = end_a[_within(end_a, end_b)]
+        each = np.sort(np.concatenate([end_a, end_b[~_within(end_b, end_a)]]), kind="stable")
+        of_a, of_b = np.searchsorted(end_a, each), np.searchsorted(end_b, each)
+        return end_a, end_b, both, word[of_a], a[of_a].astype(np.int64) * self.n_b + b[of_b]
+
+    def aligned(self, words: pa.Array) -> Words:
         """Tokens, groups and links of distinct words."""
-        listed = words.to_pylist()
-        n = len(listed)
-        a = [e.ids for e in self.a.encode_batch_fast(listed, add_special_tokens=False)]
-        b = self.b.encode([w[1:] for w in listed], num_threads=1) if n else []
-        n_a, n_b = (np.fromiter(map(len, x), np.int64, n) for x in (a, b))
-        a, b = (np.fromiter((i for ids in x for i in ids), np.int64, m.sum()) for x, m in ((a, n_a), (b, n_b)))
-        word_a, word_b = np.repeat(np.arange(n), n_a), np.repeat(np.arange(n), n_b)
+        a, n_a, b, n_b = self.ids(words)
+        n = len(words)
         buf, at = flat_utf8(words)
         size = np.diff(at)
         good = np.ones(n, dtype=bool)
-        for pool, ids, word in ((self.pool_a, a, word_a), (self.pool_b, b, word_b)):
-            good &= np.bincount(word, pool.size[ids], n).astype(np.int64) == size
-        for pool, ids, word in ((self.pool_a, a, word_a), (self.pool_b, b, word_b)):
-            same = pool.take(ids[good[word]]) == buf[np.repeat(good, size)]
-            place = np.repeat(np.flatnonzero(good), size[good])
-            good[place[~same]] = False
-        a, word_a, b, word_b = a[good[word_a]], word_a[good[word_a]], b[good[word_b]], word_b[good[word_b]]
-        end_a, end_b = np.cumsum(self.pool_a.size[a]), np.cumsum(self.pool_b.size[b])
-        both = np.intersect1d(end_a, end_b, assume_unique=True)
-        each = np.union1d(end_a, end_b)  # a link ends where either token does
-        of_a, of_b = np.searchsorted(end_a, each), np.searchsorted(end_b, each)
-        word_of_group = word_a[np.searchsorted(end_a, both)]
+        for pool, ids, count in ((self.pool_a, a, n_a), (self.pool_b, b, n_b)):
+            good &= _sums(pool.size[ids], np.append(0, np.cumsum(count))) == size
+        for pool, ids, count in ((self.pool_a, a, n_a), (self.pool_b, b, n_b)):
+            same = pool.take(ids[np.repeat(good, count)]) == (buf if good.all() else buf[np.repeat(good, size)])
+            if not same.all():
+                good[np.repeat(np.flatnonzero(good), size[good])[~same]] = False
+        a, b, n_a, n_b = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)], n_a * good, n_b * good
+        end_a, end_b, both, word, pair = self.links(a, n_a, b, n_b)
         parts = [pc.binary_join(pa.LargeListArray.from_arrays(np.append(0, np.searchsorted(end, both, side="right")),
                                                               pool.names.take(pa.array(ids))), _text(","))
                  for pool, ids, end in ((self.pool_a, a, end_a), (self.pool_b, b, end_b))]
         joined = pc.binary_join_element_wise(*parts, _text("|"))
-        n_groups = np.bincount(word_of_group, minlength=n)
+        n_groups = np.bincount(np.repeat(np.arange(n), n_a)[np.searchsorted(end_a, both)], minlength=n)
         groups = pc.binary_join(pa.LargeListArray.from_arrays(np.append(0, np.cumsum(n_groups)), joined), _text(";"))
         groups = pc.binary_join_element_wise(groups, _text(""), _text(";"))  # a word's end is a group's
-        return Links(good, np.bincount(word_a, minlength=n), np.bincount(word_b, minlength=n), n_groups, groups,
-                     word_a[of_a], a[of_a] * self.n_b + b[of_b])
+        return Words(good, a, n_a, b, n_b, n_groups, groups, word, pair)
+
+
+def _within(some: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which of the ascending numbers ``some`` are among ``others``, ascending too."""
+    if not len(others):
+        return np.zeros(len(some), dtype=bool)
+    return others[np.minimum(np.searchsorted(others, some), len(others) - 1)] == some
 
 
 def _text(value: str) -> pa.Scalar:
@@ -254,13 +345,19 @@ class PerfectHash:
 # Passes ---------------------------------------------------------------------------------------
 
 FIRST = ("part long, kind int, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
-         "codes array<int>, words array<string>, pairs array<long>, counts array<long>")
+         "codes array<int>, a array<int>, n_of_a array<int>, b array<int>, n_of_b array<int>, pairs array<long>, "
+         "counts array<long>")
 
 
 def _ints(flat: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.astype(kind.to_pandas_dtype())))
 
 
+def _one(flat: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """One row that holds all of ``flat``."""
+    return _ints(flat, np.array([0, len(flat)]), kind)
+
+
 def first_pass(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: str) -> DataFrame:
     """Rows of documents (kind 2) and, for each part, one of its words and its distinct pairs with counts (kind 0)."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -273,7 +370,7 @@ def first_pass(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col:
             words, at = tools.cut(batch.column("text"))
             coded = words.dictionary_encode()
             code = coded.indices.to_numpy()
-            found = tools.links(coded.dictionary)
+            found = tools.aligned(coded.dictionary)
             doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
             bad = np.zeros(len(at) - 1, dtype=bool)
             bad[doc[~found.good[code]]] = True
@@ -291,16 +388,16 @@ def first_pass(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col:
             schema = schema or pa.schema([batch.schema.field("id"), ("part", pa.int64()), ("kind", pa.int32()),
                                           *((c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")),
                                           ("groups_sha256", pa.string()), ("codes", pa.list_(pa.int32())),
-                                          ("words", pa.list_(pa.string())), ("pairs", pa.list_(pa.int64())),
-                                          ("counts", pa.list_(pa.int64()))])
+                                          *((c, pa.list_(pa.int32())) for c in ("a", "n_of_a", "b", "n_of_b")),
+                                          ("pairs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
             own = {"id": batch.column("id"), "part": pa.array(np.full(n, part)), "kind": pa.array(np.full(n, 2, np.int32)),
                    "groups_sha256": pa.array(sha, pa.string()), "codes": _ints(code, at, pa.int32())}
             for name, values in (("n_a", found.n_a), ("n_b", found.n_b), ("n_groups", found.n_groups), ("n_links", links)):
                 own[name] = pa.array(_sums(values[code], at))
             head = {"part": pa.array([part]), "kind": pa.array([0], pa.int32()),
-                    "words": pa.array([coded.dictionary.to_pylist()], pa.list_(pa.string())),
-                    "pairs": _ints(pair, np.array([0, len(pair)]), pa.int64()),
-                    "counts": _ints(count, np.array([0, len(pair)]), pa.int64())}
+                    "pairs": _one(pair, pa.int64()), "counts": _one(count, pa.int64()),
+                    "a": _one(found.a, pa.int32()), "n_of_a": _one(found.n_a, pa.int32()),
+                    "b": _one(found.b, pa.int32()), "n_of_b": _one(found.n_b, pa.int32())}
             for made, size in ((own, n), (head, 1)):
                 yield pa.RecordBatch.from_arrays(
                     [made[f.name] if f.name in made else pa.nulls(size, f.type) for f in schema], schema=schema)
@@ -369,7 +466,7 @@ def hashes(pairs: DataFrame) -> DataFrame:
             ordered[made.index(keys)] = keys
             yield pa.RecordBatch.from_pydict({
                 "shard": group.column("shard")[:1].combine_chunks(), "hash": pa.array([made.dumps()], pa.binary()),
-                "pairs": _ints(ordered, np.array([0, len(keys)]), pa.int64())})
+                "pairs": _one(ordered, pa.int64())})
 
     distinct = pairs.select("shard", F.explode("pairs").alias("pair")).distinct()
     return distinct.repartition("shard").sortWithinPartitions("shard").mapInArrow(
@@ -419,7 +516,7 @@ def vectors(pairs: DataFrame, heads: DataFrame, nodes: int) -> DataFrame:
 
 def _vector(key: tuple[int, int], total: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"shard": pa.array([key[0]], pa.int32()), "node": pa.array([key[1]], pa.int32()),
-                                       "vector": _ints(total, np.array([0, len(total)]), pa.int64())})
+                                       "vector": _one(total, pa.int64())})
 
 
 def summed(partial: DataFrame) -> DataFrame:
@@ -459,10 +556,9 @@ def looked_up(pairs: DataFrame, counted: DataFrame, nodes: int, n_b: int) -> Dat
             at = own.index(pair)
             if not (held[at] == pair).all():
                 raise RuntimeError("a pair is not in its shard's hash")
-            whole = np.array([0, len(pair)])
             yield pa.RecordBatch.from_pydict({
-                "part": row.column("part"), "pairs": row.column("pairs"), "counts": _ints(vector[at], whole, pa.int64()),
-                "best": _ints(vector[at] == high[at], whole, pa.int8())})
+                "part": row.column("part"), "pairs": row.column("pairs"), "counts": _one(vector[at], pa.int64()),
+                "best": _one(vector[at] == high[at], pa.int8())})
 
     return _with_heads(pairs.drop("counts"), counted, nodes).mapInArrow(
         run, "part long, pairs array<long>, counts array<long>, best array<tinyint>")
@@ -471,7 +567,8 @@ def looked_up(pairs: DataFrame, counted: DataFrame, nodes: int, n_b: int) -> Dat
 def second_pass(aligned: DataFrame, found: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """Documents with the sums over their links, from their part's words aligned again and its pairs' counts."""
     kept = ["id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
-    out = aligned.select("id", "part", "kind", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "codes", "words")
+    out = aligned.select("id", "part", "kind", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "codes",
+                         "a", "n_of_a", "b", "n_of_b")
     rows = out.unionByName(found.withColumn("kind", F.lit(1)), allowMissingColumns=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -482,16 +579,14 @@ def second_pass(aligned: DataFrame, found: DataFrame, path_a: str, path_b: str)
             pair, count, best = (here.column(c).combine_chunks().values.to_numpy() if here.num_rows else
                                  np.zeros(0, np.int64) for c in ("pairs", "counts", "best"))
             order = np.argsort(pair)
-            words = group.column("words")[0].values
-            links = tools.links(words.cast(pa.large_string()))
-            times = np.zeros((2, len(words)), dtype=np.int64)
-            known = np.searchsorted(pair[order], links.pair)
-            known = np.minimum(known, max(len(pair) - 1, 0))
-            # Words that only stand in texts without tokens have pairs that no part counts.
-            mine = pair[order][known] == links.pair if len(pair) else np.zeros(len(links.pair), dtype=bool)
-            at = order[known[mine]]
-            np.add.at(times[0], links.word[mine], best[at].astype(np.int64))
-            np.add.at(times[1], links.word[mine], count[at])
+            a, n_a, b, n_b = (group.column(c)[0].values.to_numpy() for c in ("a", "n_of_a", "b", "n_of_b"))
+            *_, word, linked = tools.links(a, n_a, b, n_b)
+            times = np.zeros((2, len(n_a)), dtype=np.int64)
+            if len(pair):  # words that only stand in texts without tokens have pairs that no part counts
+                known = np.minimum(np.searchsorted(pair[order], linked), len(pair) - 1)
+                mine = pair[order][known] == linked
+                at, bounds = order[known], np.append(0, np.cumsum(np.bincount(word, minlength=len(n_a))))
+                times[0], times[1] = _sums(best[at] * mine, bounds), _sums(count[at] * mine, bounds)
             docs = group.filter(pa.array(kind == 2)).combine_chunks()
             codes = docs.column("codes").combine_chunks()
             bounds = codes.offsets.to_numpy().astype(np.int64)

@@ -204,6 +204,27 @@ def test_words_cut_anywhere_encode_as_the_whole_text():
         assert sum(part_a[lo:hi], []) == whole_a[k] and sum(part_b[lo:hi], []) == whole_b[k], texts[k]
 
 
+def test_joined_and_fast_encoders_equal_the_files():
+    """Words of every kind, many to a text: ids of each as the files' own tokenizers give them one by one."""
+    tools, rnd = pair_counts.aligner(A, B), random.Random(12)
+    vocabulary = [t for t in tools.a.get_vocab() if t.isascii() and len(t) > 2]
+
+    def word():
+        return rnd.choice([
+            lambda: "".join(rnd.choice("aab") for _ in range(rnd.randint(1, 30))),
+            lambda: "".join(rnd.choice(vocabulary) for _ in range(3)).replace("\u0120", ""),
+            lambda: "".join(chr(rnd.randint(33, 126)) for _ in range(rnd.randint(1, 12))),
+            lambda: "".join(chr(rnd.choice([rnd.randint(0xC0, 0x24F), rnd.randint(97, 122)])) for _ in range(6)),
+            lambda: rnd.choice("abc=-_*# .") * rnd.randint(1, 50), lambda: rnd.choice(["漢字", "▁", "x▁y", "é²½", "\x85\xa0"])])()
+
+    words = [" a" + word() + rnd.choice(["", ",", ".\n", "  ", "\t", "'s", " "]) for _ in range(20_000)]
+    a, n_a, b, n_b = tools.ids(pa.array(words, pa.large_string()))
+    want_a = [e.ids for e in tools.a.encode_batch(words, add_special_tokens=False)]
+    want_b = tools.b.encode([w[1:] for w in words])
+    for ids, n, want in ((a, n_a, want_a), (b, n_b, want_b)):
+        assert n.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
 def test_perfect_hash_is_minimal_and_verified():
     keys = np.unique(np.random.default_rng(5).integers(0, 1 << 40, 50_000))
     made = pair_counts.PerfectHash.loads(pair_counts.PerfectHash.of(keys).dumps())
