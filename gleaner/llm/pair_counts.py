@@ -17,8 +17,9 @@ index, summed up a tree ``FAN`` wide, so no task reads the pairs of all parts. T
 pairs themselves stand in the order of their indexes: a lookup verifies its key.
 
 **Second pass.** Each part's pairs are looked up (shard by shard, up the same
-tree), its words are aligned again from their ids, and every document sums over its
-words. Only ids and numbers of words are shuffled, texts are not.
+tree), its words are aligned again, and every document sums over its words. Between
+the passes a part is its distinct words and, for each text, their numbers (the
+most frequent first, so that they pack well); texts are not shuffled.
 
 Defined cases: NULL and empty texts, and texts whose tokens' bytes differ from
 the text's (such as those with U+2581), have no tokens: zeros and an empty string.
@@ -48,7 +49,7 @@ from gleaner.llm.blocks import whole_groups
 from gleaner.llm.flat import byte_table, flat_utf8, slices
 from gleaner.llm.lineage import cut
 
-PART_BYTES = 8 << 20
+PART_BYTES = 4 << 20
 SHARDS = 128
 #: Parts summed by one task at each level of the tree.
 FAN = 1024
@@ -344,22 +345,43 @@ class PerfectHash:
 
 # Passes ---------------------------------------------------------------------------------------
 
-FIRST = ("part long, kind int, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
-         "codes array<int>, a array<int>, n_of_a array<int>, b array<int>, n_of_b array<int>, pairs array<long>, "
-         "counts array<long>")
+FIRST = ("part long, kind int, place int, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
+         "words binary, lengths binary, codes binary, sizes binary, pairs binary, counts binary")
 
 
-def _ints(flat: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.astype(kind.to_pandas_dtype())))
+def pack(values: np.ndarray) -> bytes:
+    """Integers from 0 on, byte by byte of all of them, compressed."""
+    wide = np.ascontiguousarray(values, dtype="<i8")
+    width = max(1, -(-int(wide.max(initial=0)).bit_length() // 8))
+    planes = np.ascontiguousarray(wide.view(np.uint8).reshape(-1, 8).T[:width])
+    return np.array([len(wide), width], dtype="<i8").tobytes() + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
-def _one(flat: np.ndarray, kind: pa.DataType) -> pa.Array:
-    """One row that holds all of ``flat``."""
-    return _ints(flat, np.array([0, len(flat)]), kind)
+def unpack(data: bytes) -> np.ndarray:
+    n, width = np.frombuffer(data, "<i8", 2).tolist()
+    planes = np.frombuffer(pa.decompress(data[16:], n * width, "zstd", asbytes=True), np.uint8).reshape(width, n)
+    out = np.zeros((8, n), dtype=np.uint8)
+    out[:width] = planes
+    return np.ascontiguousarray(out.T).view("<i8").reshape(n)
+
+
+def pack_words(words: pa.Array) -> tuple[bytes, bytes]:
+    """The bytes of words, and their lengths, compressed."""
+    buf, at = flat_utf8(words)
+    return (np.array([len(buf)], dtype="<i8").tobytes() + pa.compress(buf.tobytes(), "zstd", asbytes=True),
+            pack(np.diff(at)))
+
+
+def unpack_words(data: bytes, lengths: bytes) -> pa.Array:
+    n = int(np.frombuffer(data, "<i8", 1)[0])
+    bounds = np.append(0, np.cumsum(unpack(lengths)))
+    return pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds),
+                                            pa.decompress(data[8:], n, "zstd"))
 
 
 def first_pass(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: str) -> DataFrame:
-    """Rows of documents (kind 2) and, for each part, one of its words and its distinct pairs with counts (kind 0)."""
+    """Rows of documents (kind 2, numbered by ``place`` in their part) and, for each part, one of its words, the texts'
+    numbers of words and the distinct pairs with counts (kind 0)."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,27 +399,28 @@ def first_pass(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col:
             code = code[~bad[doc]]
             at = np.append(0, np.cumsum(np.where(bad, 0, np.diff(at))))
             links = np.bincount(found.word, minlength=len(found.good))
-            text, ends = flat_utf8(found.groups.take(pa.array(code)))
-            sha = [hashlib.sha256(text[a:b - 1]).hexdigest() if b > a else ""
-                   for a, b in zip(ends[at[:-1]].tolist(), ends[at[1:]].tolist())]
+            sha = group_digests(found.groups, code, at)
             times = np.bincount(code, minlength=len(found.good))
             pair, inverse = np.unique(found.pair, return_inverse=True)
             count = np.bincount(inverse, times[found.word], len(pair)).astype(np.int64)
             pair, count = pair[count > 0], count[count > 0]
             n = batch.num_rows
-            schema = schema or pa.schema([batch.schema.field("id"), ("part", pa.int64()), ("kind", pa.int32()),
-                                          *((c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")),
-                                          ("groups_sha256", pa.string()), ("codes", pa.list_(pa.int32())),
-                                          *((c, pa.list_(pa.int32())) for c in ("a", "n_of_a", "b", "n_of_b")),
-                                          ("pairs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
             own = {"id": batch.column("id"), "part": pa.array(np.full(n, part)), "kind": pa.array(np.full(n, 2, np.int32)),
-                   "groups_sha256": pa.array(sha, pa.string()), "codes": _ints(code, at, pa.int32())}
+                   "place": pa.array(np.arange(n, dtype=np.int32)), "groups_sha256": pa.array(sha, pa.string())}
             for name, values in (("n_a", found.n_a), ("n_b", found.n_b), ("n_groups", found.n_groups), ("n_links", links)):
                 own[name] = pa.array(_sums(values[code], at))
-            head = {"part": pa.array([part]), "kind": pa.array([0], pa.int32()),
-                    "pairs": _one(pair, pa.int64()), "counts": _one(count, pa.int64()),
-                    "a": _one(found.a, pa.int32()), "n_of_a": _one(found.n_a, pa.int32()),
-                    "b": _one(found.b, pa.int32()), "n_of_b": _one(found.n_b, pa.int32())}
+            used = np.argsort(-times, kind="stable")[:np.count_nonzero(times)]  # the most frequent first
+            rank = np.zeros(len(times), dtype=np.int64)
+            rank[used] = np.arange(len(used))
+            blob, lengths = pack_words(coded.dictionary.take(pa.array(used)))
+            packed = {"words": blob, "lengths": lengths, "codes": pack(rank[code]), "sizes": pack(np.diff(at)),
+                      "pairs": pack(np.diff(pair, prepend=0)), "counts": pack(count)}
+            head = {"part": pa.array([part]), "kind": pa.array([0], pa.int32())} | {
+                c: pa.array([v], pa.binary()) for c, v in packed.items()}
+            schema = schema or pa.schema([batch.schema.field("id"), ("part", pa.int64()), ("kind", pa.int32()),
+                                          ("place", pa.int32()),
+                                          *((c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")),
+                                          ("groups_sha256", pa.string()), *((c, pa.binary()) for c in packed)])
             for made, size in ((own, n), (head, 1)):
                 yield pa.RecordBatch.from_arrays(
                     [made[f.name] if f.name in made else pa.nulls(size, f.type) for f in schema], schema=schema)
@@ -406,6 +429,26 @@ def first_pass(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col:
     return rows.mapInArrow(run, f"id {kind}, {FIRST}")
 
 
+def group_digests(groups: pa.Array, code: np.ndarray, at: np.ndarray) -> list[str]:
+    """SHA-256 of each text's groups, a few texts' strings at a time; an empty string for a text without tokens."""
+    out, step = [], 64
+    for k in range(0, len(at) - 1, step):
+        bounds = at[k:k + step + 1]
+        text, ends = flat_utf8(groups.take(pa.array(code[bounds[0]:bounds[-1]])))
+        ends = ends[bounds - bounds[0]].tolist()
+        out += [hashlib.sha256(text[a:b - 1]).hexdigest() if b > a else "" for a, b in zip(ends[:-1], ends[1:])]
+    return out
+
+
+def _ints(flat: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.astype(kind.to_pandas_dtype())))
+
+
+def _one(flat: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """One row that holds all of ``flat``."""
+    return _ints(flat, np.array([0, len(flat)]), kind)
+
+
 def _parts(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """The rows in batches of about ``limit`` bytes of ``column``: small ones put together, large ones cut."""
     held, size = [], 0
@@ -435,7 +478,8 @@ def by_shard(aligned: DataFrame, n_b: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                pair, count = (batch.column(c)[row].values.to_numpy() for c in ("pairs", "counts"))
+                pair, count = (unpack(batch.column(c)[row].as_py()) for c in ("pairs", "counts"))
+                pair = np.cumsum(pair)
                 shard = _shard_of(pair, n_b)
                 order = np.argsort(shard, kind="stable")
                 held, first = np.unique(shard[order], return_index=True)
@@ -567,8 +611,7 @@ def looked_up(pairs: DataFrame, counted: DataFrame, nodes: int, n_b: int) -> Dat
 def second_pass(aligned: DataFrame, found: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """Documents with the sums over their links, from their part's words aligned again and its pairs' counts."""
     kept = ["id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
-    out = aligned.select("id", "part", "kind", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "codes",
-                         "a", "n_of_a", "b", "n_of_b")
+    out = aligned.drop("pairs", "counts")
     rows = out.unionByName(found.withColumn("kind", F.lit(1)), allowMissingColumns=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -579,18 +622,15 @@ def second_pass(aligned: DataFrame, found: DataFrame, path_a: str, path_b: str)
             pair, count, best = (here.column(c).combine_chunks().values.to_numpy() if here.num_rows else
                                  np.zeros(0, np.int64) for c in ("pairs", "counts", "best"))
             order = np.argsort(pair)
-            a, n_a, b, n_b = (group.column(c)[0].values.to_numpy() for c in ("a", "n_of_a", "b", "n_of_b"))
-            *_, word, linked = tools.links(a, n_a, b, n_b)
-            times = np.zeros((2, len(n_a)), dtype=np.int64)
-            if len(pair):  # words that only stand in texts without tokens have pairs that no part counts
-                known = np.minimum(np.searchsorted(pair[order], linked), len(pair) - 1)
-                mine = pair[order][known] == linked
-                at, bounds = order[known], np.append(0, np.cumsum(np.bincount(word, minlength=len(n_a))))
-                times[0], times[1] = _sums(best[at] * mine, bounds), _sums(count[at] * mine, bounds)
+            packed = {c: group.column(c)[0].as_py() for c in ("words", "lengths", "codes", "sizes")}
+            code, bounds = unpack(packed["codes"]), np.append(0, np.cumsum(unpack(packed["sizes"])))
+            ids = tools.ids(unpack_words(packed["words"], packed["lengths"]))
+            *_, word, linked = tools.links(*ids)
+            at = order[np.searchsorted(pair[order], linked)]
+            of_word = np.append(0, np.cumsum(np.bincount(word, minlength=len(ids[1]))))
+            times = [_sums(x[at].astype(np.int64), of_word) for x in (best, count)]
             docs = group.filter(pa.array(kind == 2)).combine_chunks()
-            codes = docs.column("codes").combine_chunks()
-            bounds = codes.offsets.to_numpy().astype(np.int64)
-            code = codes.values.to_numpy()
+            docs = docs.take(pc.sort_indices(docs.column("place")))
             sums = {"n_best": pa.array(_sums(times[0][code], bounds)), "count_sum": pa.array(_sums(times[1][code], bounds))}
             yield from pa.table([sums[c] if c in sums else docs.column(c) for c in kept], names=kept) \
                 .combine_chunks().to_batches()
