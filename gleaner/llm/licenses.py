@@ -4,8 +4,11 @@ A text becomes its words (``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-
 A-Z) with single spaces between. Phrases are found as consecutive words. A
 notice of m characters may differ by ``EDITS_PER_100`` * m / 100 edits: it is split
 into one piece more than it may have edits, so every match holds a piece
-unchanged (pigeonhole); exact search for the pieces gives the places, and the
-``regex`` library's bounded-error matching verifies each and gives span and edits.
+unchanged (pigeonhole); exact search for the pieces gives the places. Most places
+are chance: the least edits of the notice against the place's surroundings, by a
+bit-parallel automaton (a few operations on one integer a letter), rule them out;
+the ``regex`` library's bounded-error matching verifies the others and gives span
+and edits.
 Misspelled phrases (``MISSPELT``) are found in the same way, as whole words, and
 stand among the notices; phrases themselves stay exact.
 
@@ -18,10 +21,11 @@ columns are read, so other columns cannot clash. Texts are scanned whole.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,7 +64,6 @@ MISSPELT = {
     "(?:apache license){e<=1}": ("apache", ("apache ", "license")),
     "mit (?:license){e<=1}": ("mit", (" mit ",)),
 }
-LONGEST = 30
 
 _WORD = frozenset([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)])
 NORMAL = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b in _WORD else 0x20 for b in range(256))
@@ -70,9 +73,26 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(NORMAL).split() if text else []
 
 
+class Blanks:
+    """Where the blanks of a normal text stand; word k lies between blanks k and k + 1. Found when first asked for."""
+
+    def __init__(self, normal: bytes):
+        self.normal = normal
+        self.at: list[int] | None = None
+
+    def list(self) -> list[int]:
+        if self.at is None:
+            self.at = np.flatnonzero(np.frombuffer(self.normal, dtype=np.uint8) == 0x20).tolist()
+        return self.at
+
+    def word(self, end: int) -> int:
+        """The word that follows the last blank before ``end``."""
+        return bisect_left(self.list(), end) - 1
+
+
 @lru_cache(maxsize=1)
 def searches() -> list[tuple]:
-    """(label, notice, edits, compiled pattern, [(piece, place in the notice)]) of each notice."""
+    """(label, notice, edits, compiled pattern, [(piece, place in the notice)], letter masks) of each notice."""
     import regex
 
     out = []
@@ -80,11 +100,36 @@ def searches() -> list[tuple]:
         edits = max(1, len(notice) * EDITS_PER_100 // 100)
         cuts = [len(notice) * k // (edits + 1) for k in range(edits + 2)]
         pieces = [(notice[a:b].encode(), a) for a, b in zip(cuts[:-1], cuts[1:])]
-        out.append((label, notice, edits, regex.compile(f"(?b)(?:{regex.escape(notice, literal_spaces=True)}){{e<={edits}}}"),
-                    pieces))
+        out.append((label, notice.encode(), edits,
+                    regex.compile(f"(?b)(?:{regex.escape(notice, literal_spaces=True)}){{e<={edits}}}"), pieces,
+                    letter_masks(notice.encode())))
     return out
 
 
+def letter_masks(pattern: bytes) -> dict[int, int]:
+    """Bit i of a letter's mask: the pattern has it at place i."""
+    masks: dict[int, int] = {}
+    for i, c in enumerate(pattern):
+        masks[c] = masks.get(c, 0) | 1 << i
+    return masks
+
+
+def least_edits(masks: dict[int, int], size: int, part: bytes) -> int:
+    """The fewest edits by which a pattern of ``size`` letters matches anywhere in ``part`` (Myers' bit vectors)."""
+    whole, last = (1 << size) - 1, 1 << (size - 1)
+    up, down, score, best = whole, 0, size, size  # vertical differences of +1 and of -1
+    for c in part:
+        same = masks.get(c, 0)
+        diagonal = (((same & up) + up) ^ up) | same
+        right = down | (~(diagonal | up) & whole)
+        left = up & diagonal
+        score += bool(right & last) - bool(left & last)
+        best = score if score < best else best
+        right, left = (right << 1) & whole, (left << 1) & whole
+        up, down = left | (~(same | down | right) & whole), right & (same | down)
+    return best
+
+
 def places(normal: bytes, phrase: bytes) -> list[int]:
     """Offsets of all occurrences, overlapping ones too."""
     out, at = [], normal.find(phrase)
@@ -94,59 +139,78 @@ def places(normal: bytes, phrase: bytes) -> list[int]:
     return out
 
 
-def fuzzy(normal: bytes) -> list[tuple[str, int, int, int]]:
+def fuzzy(normal: bytes, blanks: Blanks) -> list[tuple[str, int, int, int]]:
     """(label, first word, last word, edits) of each notice place, best match of overlapping ones."""
     found = set()
-    for label, notice, edits, pattern, pieces in searches():
-        seen: set[tuple[int, int]] = set()
+    for label, notice, edits, pattern, pieces, masks in searches():
+        covered = None  # places inside a match
+        known: dict[bytes, tuple[int, int, int] | None] = {}  # parts that were searched before
         for piece, offset in pieces:
             for at in places(normal, piece):
+                if covered is not None and covered[at]:
+                    continue
                 low, high = max(0, at - offset - edits), min(len(normal), at - offset + len(notice) + edits)
-                if any(a <= at < b for a, b in seen):
-                    continue  # inside a place that is already a match
-                match = pattern.search(normal[low:high].decode("latin-1"))
-                if match:
-                    a, b = low + match.start(), low + match.end()
-                    seen.add((a, b))
+                part = normal[low:high]
+                if part not in known:
+                    known[part] = None
+                    if part.find(notice) >= 0:
+                        known[part] = (part.find(notice), part.find(notice) + len(notice), 0)
+                    elif least_edits(masks, len(notice), part) <= edits:
+                        match = pattern.search(part.decode("latin-1"))
+                        known[part] = (match.start(), match.end(), sum(match.fuzzy_counts))
+                if known[part]:
+                    a, b = low + known[part][0], low + known[part][1]
+                    covered = covered if covered is not None else bytearray(len(normal))
+                    covered[a:b] = b"\1" * (b - a)
                     lead = len(normal[a:b]) - len(normal[a:b].lstrip())
-                    first = normal.count(b" ", 0, a + lead + 1) - 1
-                    last = normal.count(b" ", 0, max(a + 1, a + len(normal[a:b].rstrip()))) - 1
-                    found.add((label, first, last, sum(match.fuzzy_counts)))
+                    found.add((label, blanks.word(a + lead + 1), blanks.word(max(a + 1, a + len(normal[a:b].rstrip()))),
+                               known[part][2]))
     return sorted(found)
 
 
 @lru_cache(maxsize=1)
 def misspelt_searches() -> list[tuple]:
-    """(label, compiled pattern, pieces) of each phrase of ``MISSPELT``."""
+    """(label, compiled pattern, pieces, letters of a match: fewest and most) of each phrase of ``MISSPELT``."""
     import regex
 
-    return [(label, regex.compile(f"(?b){pattern}"), [p.encode() for p in pieces])
-            for pattern, (label, pieces) in MISSPELT.items()]
+    out = []
+    for pattern, (label, pieces) in MISSPELT.items():
+        plain, edits = regex.sub(r"\(\?:|\)|\{e<=\d\}", "", pattern), int(regex.search(r"e<=(\d)", pattern)[1])
+        out.append((label, regex.compile(f"(?b){pattern}"), [p.encode() for p in pieces],
+                    (len(plain) - edits, len(plain) + edits)))
+    return out
 
 
-def misspelt(normal: bytes, notices: list[tuple[str, int, int, int]]) -> list[tuple[str, int, int, int]]:
+def misspelt(normal: bytes, blanks: Blanks, notices: list[tuple[str, int, int, int]]) -> list[tuple[str, int, int, int]]:
     """(label, first word, last word, edits) of each misspelled phrase, best match of overlapping ones.
 
     Not those that are a phrase unchanged or lie in one of ``notices`` with the same label.
     """
-    found, blanks = [], []
-    for label, pattern, pieces in misspelt_searches():
+    found = []
+    for label, pattern, pieces, (fewest, most) in misspelt_searches():
         near = {at for piece in pieces for at in places(normal, piece)}
-        if near and not blanks:
-            blanks = [k for k, c in enumerate(normal) if c == 0x20]  # word k stands between blanks k and k + 1
+        if not near:
+            continue
+        at_blank = blanks.list()
         tried: dict[tuple[int, int], int] = {}
+        known: dict[bytes, int] = {}
         for at in near:
-            k = bisect_right(blanks, at) - 1
-            for first in range(k, max(-1, k - LONGEST), -1):
-                if at - blanks[first] > LONGEST:
+            k = bisect_right(at_blank, at) - 1
+            for first in range(k, -1, -1):
+                a = at_blank[first] + 1
+                if at - at_blank[first] > most:
                     break
-                for last in range(k, len(blanks) - 1):
-                    a, b = blanks[first] + 1, blanks[last + 1]
-                    if b - a > LONGEST:
+                for last in range(k, len(at_blank) - 1):
+                    b = at_blank[last + 1]
+                    if b - a > most:
                         break
-                    if (first, last) not in tried:
-                        match = pattern.fullmatch(normal[a:b].decode("latin-1"))
-                        tried[first, last] = sum(match.fuzzy_counts) if match else -1
+                    if b - a < fewest or (first, last) in tried:
+                        continue
+                    part = normal[a:b]
+                    if part not in known:
+                        match = pattern.fullmatch(part.decode("latin-1"))
+                        known[part] = sum(match.fuzzy_counts) if match else -1
+                    tried[first, last] = known[part]
         taken: set[int] = set()
         inside = {k for x in notices if x[0] == label for k in range(x[1], x[2] + 1)}
         for edits, first, last in sorted((e, a, b) for (a, b), e in tried.items() if e >= 0):
@@ -161,10 +225,11 @@ def scan_text(text: str | None) -> tuple:
     """(n_words, [(label, first word)] of phrases, [(label, first, last, edits)] of notices)."""
     words = words_of(text)
     normal = b" " + b" ".join(words) + b" "
-    base = [(label, normal.count(b" ", 0, at + 1) - 1)
-            for phrase, label in PHRASES.items() for at in places(normal, f" {phrase} ".encode())]
-    notices = fuzzy(normal) if words else []
-    return len(words), sorted(base), sorted(notices + misspelt(normal, notices))
+    blanks = Blanks(normal)
+    base = [(label, blanks.word(at + 1)) for phrase, label in PHRASES.items()
+            for at in places(normal, f" {phrase} ".encode())]
+    notices = fuzzy(normal, blanks) if words else []
+    return len(words), sorted(base), sorted(notices + misspelt(normal, blanks, notices))
 
 
 SPAN = "struct<label:string,first_word:bigint,last_word:bigint,edits:int>"
