@@ -1,24 +1,31 @@
 """Toxicity by a learned lexicon: Levenshtein automata meet the lexicon's trie, context windows weigh each hit.
 
-**Lexicon.** Words that training rows labelled toxic hold far more often than the
-others (grouped counts over all training rows, one of each group of equal texts;
-log-likelihood ratio above a bound that grows with the number of distinct words,
-and at least ``PRECISION`` of their rows toxic). The ``MAX_TERMS`` strongest are
-the model.
+**Sample.** The model learns from at most ``MAX_LABELLED`` labelled rows that are not
+held out, chosen by a hash of their ids; equal texts count once. They are written
+once, and everything learned comes from them.
+
+**Lexicon.** Words that toxic texts of the sample hold far more often than the
+others: log-likelihood ratio above a bound that grows with the number of distinct
+words, and at least ``PRECISION`` of their texts toxic. A term stands in three
+texts of the sample or more, which bounds the lexicon; nothing else does.
 
 **Misspelled terms.** The terms form a trie. For a word of a text, the states of
 its Levenshtein automaton (the row of edit distances to each of its prefixes)
 are carried along the trie's edges; branches where every state is beyond the
-bound are left. One edit is allowed from ``FUZZY_FROM`` letters on, two from
-``FUZZY_TWO_FROM`` on. Each distinct word is looked up once per worker. How far
-misspelled forms of a term can be trusted is learned as well.
+bound are left. How many edits a term may have goes by its own length. Words
+within so many edits of a term share with it a word that both give by as many
+deletions, so an index of the terms' deletions tells which part of the trie can
+meet a word at all; most words meet none. Each distinct word is looked up once
+per worker. Words near a term that clean texts of the sample use are ordinary
+words, not misspellings; how far the other forms of a term can be trusted is
+learned as well.
 
 **Context.** Around each hit a window of ``SPAN`` words to each side is scored:
 quotation marks and reporting words speak for quotation, second-person words
 for abuse. Hits count by their weight times the window's score.
 
-**Score.** A logistic regression on the hits' features, fitted on at most
-``MAX_LABELLED`` training rows. Scores need no shuffle.
+**Score.** A logistic regression on the hits' features, fitted on the sample.
+Scores need no shuffle.
 
 Defined cases: NULL and empty texts have no hits and get the score of that;
 without training rows of both classes the lexicon is empty and every score 0;
@@ -39,20 +46,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.flat import slices
+from gleaner.llm.lineage import cut
 from gleaner.llm.site_quality import Evidence
 
-MAX_TERMS = 4_000
-MAX_LABELLED = 20_000
+MAX_LABELLED = 50_000
 PRECISION = 0.75
-FUZZY_FROM, FUZZY_TWO_FROM = 5, 10
+#: Letters of a term from which one edit and two are allowed.
+ONE_EDIT_FROM, TWO_EDITS_FROM = 4, 10
+#: Terms so long that their deletions would fill the index: always part of the trie that is walked.
+LONG_TERM = 32
 SPAN = 6
 #: Share of a term's weight that its misspelled forms have if the sample holds none at all.
 UNSEEN_TRUST = 0.8
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 
 WORD = re.compile(r"\w+")
-#: The same words for Spark's (Java's) regex.
-WORD_JAVA = r"[^\p{L}\p{M}\p{N}_]+"
 
 # Words that report what others say, words that address someone, quotation marks.
 REPORTING = {"said", "says", "say", "wrote", "writes", "quote", "quoted", "quotes", "called", "term", "word",
@@ -61,45 +69,43 @@ ADDRESSING = {"you", "your", "you're", "u", "ur", "du", "dein", "tu", "vous", "u
 QUOTES = set("\"“”„«»‘’")
 
 
+def allowed(term: str) -> int:
+    """Edits that a misspelled form of a term may have."""
+    return (len(term) >= ONE_EDIT_FROM) + (len(term) >= TWO_EDITS_FROM)
+
+
+def deletions(word: str, k: int) -> set[str]:
+    """What is left of a word once up to ``k`` letters are taken out."""
+    out = {word}
+    for _ in range(k):
+        out |= {w[:i] + w[i + 1:] for w in out for i in range(len(w))}
+    return out
+
+
 class Trie:
-    """The lexicon; a node is (children by letter, term ending here or None)."""
+    """Terms as a trie; a node is (children by letter, terms ending here, most edits of the terms below)."""
 
     def __init__(self, terms):
-        self.root: tuple[dict, list] = ({}, [])
-        self.lengths = sorted({len(t) for t in terms})
+        self.root = self._node()
         for term in terms:
-            node = self.root
+            k, node = allowed(term), self.root
+            node[2] = max(node[2], k)
             for c in term:
-                node = node[0].setdefault(c, ({}, []))
+                node = node[0].setdefault(c, self._node())
+                node[2] = max(node[2], k)
             node[1].append(term)
-        # A word within k edits of a term has one of its k + 1 parts in place, up to k letters shifted.
-        self.parts = {(k, p) for t in terms for k in (1, 2) for p in self._parts(t, k)}
 
     @staticmethod
-    def _parts(term: str, k: int) -> list[str]:
-        cuts = [len(term) * j // (k + 1) for j in range(k + 2)]
-        return [term[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
-
-    def may_match(self, word: str, k: int) -> bool:
-        """False only if no part of any term is in the word where a match would have it."""
-        for n in self.lengths:
-            if abs(n - len(word)) > k:
-                continue
-            for j in range(k + 1):
-                a, b = n * j // (k + 1), n * (j + 1) // (k + 1)
-                for shift in range(-k, k + 1):
-                    if 0 <= a + shift and b + shift <= len(word) and (k, word[a + shift:b + shift]) in self.parts:
-                        return True
-        return False
-
-    def near(self, word: str, k: int) -> list[tuple[str, int]]:
-        """(term, distance) of all terms within ``k`` edits."""
+    def _node() -> list:
+        return [{}, [], 0]
+
+    def near(self, word: str) -> list[tuple[str, int]]:
+        """(term, distance) of all terms within the edits that they may have."""
         found = []
         stack = [(self.root, list(range(len(word) + 1)))]
         while stack:
-            (children, ends), states = stack.pop()
-            if ends and states[-1] <= k:
-                found.extend((t, states[-1]) for t in ends)
+            (children, ends, _), states = stack.pop()
+            found.extend((t, states[-1]) for t in ends if states[-1] <= allowed(t))
             for c, child in children.items():
                 row = [states[0] + 1]
                 least = row[0]
@@ -107,73 +113,99 @@ class Trie:
                     d = min(row[i] + 1, states[i + 1] + 1, states[i] + (w != c))
                     row.append(d)
                     least = d if d < least else least
-                if least <= k:
+                if least <= child[2]:
                     stack.append((child, row))
         return found
 
 
-def allowed(word: str) -> int:
-    return 0 if len(word) < FUZZY_FROM else 1 if len(word) < FUZZY_TWO_FROM else 2
+class Lexicon:
+    """The terms, by what deletions leave of them."""
 
+    def __init__(self, terms):
+        self.by_rest: dict[str, list[str]] = {}
+        self.long = [t for t in terms if len(t) > LONG_TERM]
+        lengths: dict[int, int] = {}  # most edits that may lead to a term, by the word's length
+        for term in terms:
+            k = allowed(term)
+            for n in range(max(0, len(term) - k), len(term) + k + 1):
+                lengths[n] = max(lengths.get(n, 0), k)
+            if len(term) <= LONG_TERM:
+                for rest in deletions(term, k) if k else ():
+                    self.by_rest.setdefault(rest, []).append(term)
+        self.edits = {n: k for n, k in lengths.items() if k}
+
+    def near(self, word: str) -> list[tuple[str, int]]:
+        """(term, distance) of all terms within the edits that they may have."""
+        k = self.edits.get(len(word))
+        if not k:
+            return []
+        part = {t for t in self.long if abs(len(t) - len(word)) <= k}
+        if len(word) <= LONG_TERM + 2:
+            for rest in deletions(word, k):
+                part.update(self.by_rest.get(rest, ()))
+        return Trie(part).near(word) if part else []
 
-def closest(trie: Trie, exact: dict[str, float], word: str) -> tuple[str, int] | None:
-    """The term that ``word`` is or is a misspelled form of, and the distance."""
-    if word in exact:
-        return word, 0
-    k = allowed(word)
-    if not k or word.isdigit() or not trie.may_match(word, k):
-        return None
-    near = trie.near(word, k)
-    return min(near, key=lambda x: (x[1], -exact[x[0]], x[0])) if near else None
+    def closest(self, word: str, weights: dict[str, float]) -> tuple[str, int] | None:
+        """The term that ``word`` is or is a misspelled form of, and the distance."""
+        if word in weights:
+            return word, 0
+        near = [] if word.isdigit() else self.near(word)
+        return min(near, key=lambda x: (x[1], -weights[x[0]], x[0])) if near else None
 
 
 @dataclass
 class Model:
-    """Term weights, the trust in misspelled forms by term, and the regression on the features."""
+    """Term weights, the trust in misspelled forms by term, ordinary words near terms, and the regression."""
 
     weights: dict[str, float]
     trust: dict[str, float] = field(default_factory=dict)
+    ordinary: frozenset[str] = frozenset()
     evidence: Evidence | None = None
 
     def __post_init__(self):
-        self.trie = Trie(self.weights)
+        self.lexicon = Lexicon(self.weights)
+        self.longest = max(map(len, self.weights), default=0) + 2
         self.cache: dict[str, tuple[str, int] | None] = {}
 
     def __getstate__(self):
-        return self.weights, self.trust, self.evidence
+        return self.weights, self.trust, self.ordinary, self.evidence
 
     def __setstate__(self, state):
-        self.weights, self.trust, self.evidence = state
+        self.weights, self.trust, self.ordinary, self.evidence = state
         self.__post_init__()
 
-    def hits(self, text: str) -> list[tuple[int, str, int]]:
-        """(character offset, term, distance) of each hit."""
-        lower = text.lower()
-        words = set(WORD.findall(lower))
-        cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        matched = {}
-        for w in words:
-            if w in cache:
-                hit = cache[w]
-            else:
-                hit = cache[w] = closest(self.trie, self.weights, w)
-            if hit:
-                matched[w] = hit
+    def look_up(self, word: str) -> tuple[str, int] | None:
+        """The term that ``word`` stands for, and the distance."""
+        if len(word) > self.longest or word in self.ordinary:
+            return None
+        if word in self.cache:
+            return self.cache[word]
+        if len(self.cache) >= CACHE_WORDS:  # words of bounded length
+            self.cache.clear()
+        hit = self.cache[word] = self.lexicon.closest(word, self.weights)
+        return hit
+
+    def hits(self, lower: str) -> tuple[list[tuple[int, int]], list[tuple[int, str, int]]]:
+        """Where each word of a text in small letters stands, and (word number, term, distance) of each hit."""
+        matched = {w: hit for w in set(WORD.findall(lower)) if (hit := self.look_up(w))}
         if not matched:
-            return []
-        return [(m.start(), *matched[m.group()]) for m in WORD.finditer(lower) if m.group() in matched]
+            return [], []
+        spans, hits = [], []
+        for m in WORD.finditer(lower):
+            if m.group() in matched:
+                hits.append((len(spans), *matched[m.group()]))
+            spans.append(m.span())
+        return spans, hits
 
     def features(self, text: str | None) -> list[float]:
         """What the regression sees of a text."""
-        hits = self.hits(text) if text else []
+        lower = (text or "").lower()
+        spans, hits = self.hits(lower)
         if not hits:
             return [0.0] * 7
-        lower = text.lower()
         found, fuzzy, quoted, aimed, most = [], 0.0, 0.0, 0, 0.0
         for at, term, distance in hits:
-            share = context(lower, at, len(term))
+            share = context(lower, spans, at)
             aimed += share[1]
             quoted += share[0]
             weight = self.weights[term] if not distance else max(0.0, self.trust.get(term, 0.0)) / distance
@@ -192,10 +224,12 @@ class Model:
         return 1 / (1 + np.exp(-self.evidence.logit(x)))
 
 
-def context(text: str, at: int, length: int) -> tuple[float, int]:
-    """(share that speaks for quotation, 1 if someone is addressed) in the window around a hit."""
-    before, after = text[max(0, at - 60):at], text[at + length:at + length + 60]
-    words = {*WORD.findall(before)[-SPAN:], *WORD.findall(after)[:SPAN]}
+def context(text: str, spans: list[tuple[int, int]], at: int) -> tuple[float, int]:
+    """(share that speaks for quotation, 1 if someone is addressed) in the window of ``SPAN`` words around word ``at``."""
+    first, last = max(0, at - SPAN), min(len(spans) - 1, at + SPAN)
+    before = text[spans[first - 1][1] if first else 0:spans[at][0]]
+    after = text[spans[at][1]:spans[last + 1][0] if last + 1 < len(spans) else len(text)]
+    words = {text[a:b] for a, b in spans[first:at] + spans[at + 1:last + 1]}
     opened = sum(c in QUOTES for c in before) % 2 == 1 and any(c in QUOTES for c in after)
     return min(1.0, 0.8 * opened + 0.4 * bool(words & REPORTING)), int(bool(words & ADDRESSING))
 
@@ -205,68 +239,88 @@ def held_out(id_col: str) -> F.Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
 
 
-def lexicon(rows: DataFrame, max_terms: int = MAX_TERMS) -> dict[str, float]:
-    """Terms and their log-odds, from training ``rows`` (text, y)."""
-    # Equal texts count once: a large group of copies is no evidence for its words.
-    words = rows.groupBy(F.xxhash64("text").alias("h"), F.length("text").alias("n"), "y").agg(
-        F.first("text").alias("text")).select("y", F.explode(F.array_distinct(
-            F.split(F.lower("text"), WORD_JAVA))).alias("word")).where("length(word) > 2")
-    counts = words.groupBy("word").agg(F.sum("y").cast("double").alias("a"),
-                                       F.sum(1 - F.col("y")).cast("double").alias("b"))
-    totals = rows.select(F.sum("y"), F.sum(1 - F.col("y"))).first()
-    toxic, clean = float(totals[0] or 0), float(totals[1] or 0)
+def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label: str, most: int) -> DataFrame:
+    """(text, y) of at most ``most`` labelled rows that are not held out, equal texts with one label once; written."""
+    marked = labels.where(F.col(label).isin(0, 1) & ~held_out(id_col)).select(
+        F.col(id_col).alias("id"), F.col(label).cast("long").alias("y"))
+    chosen = marked.orderBy(F.xxhash64("id"), "id", "y").limit(most)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col(text_col).isNotNull())
+    rows = cut(texts.join(F.broadcast(chosen), "id").select("text", "y"), "labelled")
+    return cut(rows.groupBy(F.sha2(F.encode("text", "UTF-8"), 256).alias("digest"), "y").agg(
+        F.first("text").alias("text")).select("text", "y"), "sample")
+
+
+def word_counts(rows: DataFrame) -> DataFrame:
+    """(word, a, b): in how many toxic and in how many other texts of ``rows`` (text, y) a word stands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist()):
+                words = sorted(set(WORD.findall(text.lower())))
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([y] * len(words), pa.int64())],
+                                                 names=["word", "y"])
+
+    return rows.mapInArrow(run, "word string, y long").groupBy("word").agg(
+        F.sum("y").cast("double").alias("a"), F.sum(1 - F.col("y")).cast("double").alias("b"))
+
+
+def terms(counts: DataFrame, toxic: float, clean: float) -> dict[str, float]:
+    """Terms and their log-odds, from the word counts of ``toxic`` and ``clean`` texts."""
     if not toxic or not clean:
         return {}
     a, b = F.col("a"), F.col("b")
     rate = toxic / (toxic + clean)
     gain = lambda x, share: F.when(x > 0, x * F.log(x / ((a + b) * share))).otherwise(0.0)
-    scored = counts.where((F.col("a") >= 3) & (F.col("a") >= PRECISION * (F.col("a") + F.col("b")))).select(
+    scored = counts.where((a >= 3) & (a >= PRECISION * (a + b))).select(
         "word", (2 * (gain(a, rate) + gain(b, 1 - rate))).alias("g2"),
         (F.log((a + 0.5) / (toxic + 1)) - F.log((b + 0.5) / (clean + 1))).alias("weight"))
     least = 2 * np.log(max(2, counts.count())) + 4
-    chosen = scored.where(F.col("g2") >= float(least)).orderBy(F.desc("g2"), "word").limit(max_terms)
-    return {r["word"]: float(r["weight"]) for r in chosen.collect()}
+    return {r["word"]: float(r["weight"]) for r in scored.where(F.col("g2") >= float(least)).collect()}  # of the sample
+
+
+def forms(counts: DataFrame, model: Model) -> list:
+    """(word, term, a, b) of the sample's words near a term."""
+    shared = counts.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = [shared.value.look_up(w) for w in batch.column("word").to_pylist()]
+            near = pa.array([bool(h and h[1]) for h in hits])
+            rows = batch.filter(near)
+            yield pa.RecordBatch.from_arrays([rows.column("word"), pa.array([h[0] for h in hits if h and h[1]], pa.string()),
+                                              rows.column("a"), rows.column("b")], names=["word", "term", "a", "b"])
+
+    return counts.mapInArrow(run, "word string, term string, a double, b double").collect()
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         label: str = "toxic", most: int = MAX_LABELLED) -> Model:
     """Learn from the labelled rows that are not held out."""
-    marked = labels.where(F.col(label).isin(0, 1) & ~held_out(id_col)).select(
-        F.col(id_col).alias("id"), F.col(label).cast("long").alias("y"))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col(text_col).isNotNull())
-    weights = lexicon(texts.join(marked, "id").select("text", "y"))
+    rows = sample(docs, labels, id_col, text_col, label, most)
+    counts = cut(word_counts(rows), "words")
+    toxic, clean = (float(x or 0) for x in rows.select(F.sum("y"), F.sum(1 - F.col("y"))).first())
+    weights = terms(counts, toxic, clean)
     if not weights:
         return Model({})
-    chosen = marked.orderBy(F.xxhash64("id"), "id", "y").limit(most)
-    rows = texts.join(F.broadcast(chosen), "id").select("id", "text", "y")
-    first = docs.sparkSession.sparkContext.broadcast(Model(weights))  # at most MAX_TERMS terms
-
-    def fuzzy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            y = batch.column("y").to_pylist()
-            out = [(term, v) for v, t in zip(y, batch.column("text").to_pylist())
-                   for term in {h[1] for h in first.value.hits(t) if h[2]}]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()),
-                                              pa.array([x[1] for x in out], pa.int64())], names=["term", "y"])
-
-    n, toxic = (lambda r: (r[0], r[1] or 0))(chosen.select(F.count(F.lit(1)), F.sum("y")).first())
-    trust = {r["term"]: float(np.log((r["a"] + 0.5) / (toxic + 1)) - np.log((r["n"] - r["a"] + 0.5) / (n - toxic + 1)))
-             for r in rows.mapInArrow(fuzzy, "term string, y long").groupBy("term")
-             .agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("n")).collect()}
+    seen, ordinary = {}, set()
+    for r in forms(counts, Model(weights)):
+        if r["b"] >= 2 and r["a"] < PRECISION * (r["a"] + r["b"]):
+            ordinary.add(r["word"])
+        else:
+            a, b = seen.get(r["term"], (0.0, 0.0))
+            seen[r["term"]] = (a + r["a"], b + r["b"])
+    trust = {t: float(np.log((a + 0.5) / (toxic + 1)) - np.log((b + 0.5) / (clean + 1))) for t, (a, b) in seen.items()}
     # A term without misspelled forms in the sample is trusted as far as those of the others are, on average.
     share = float(np.clip(np.mean([v / weights[t] for t, v in trust.items()]), 0, 1)) if trust else UNSEEN_TRUST
-    model = Model(weights, {t: trust.get(t, w * share) for t, w in weights.items()})
-    second = docs.sparkSession.sparkContext.broadcast(model)
+    model = Model(weights, {t: trust.get(t, w * share) for t, w in weights.items()}, frozenset(ordinary))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            x = [second.value.features(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("y"), pa.array(x, pa.list_(pa.float64()))], names=["id", "y", "x"])
+            x = [shared.value.features(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
 
-    kind = rows.schema["id"].dataType.simpleString()
-    got = (rows.mapInArrow(seen, f"id {kind}, y long, x array<double>")
-           .orderBy(F.xxhash64("id"), "id", "y", "x").limit(most).select("y", "x").toPandas())
+    got = rows.mapInArrow(look, "y long, x array<double>").orderBy("y", "x").toPandas()  # at most ``most`` rows
     y = got["y"].to_numpy(dtype=np.int64)
     if not len(y) or y.min() == y.max():
         return Model({})

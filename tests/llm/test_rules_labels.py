@@ -164,6 +164,40 @@ def test_quality_of_odd_rows(spark):
     assert site_quality.keep_good(no_docs(spark), marks).columns == docs.columns
 
 
+def plain_path(forest, tree, row):
+    """Path length of a row in a tree, by walking it: splits passed, and what a leaf of so many rows adds."""
+    node, steps = 0, 0
+    while forest.feature[tree, node] >= 0:
+        above = row[forest.feature[tree, node]] > forest.threshold[tree, node]
+        node = forest.child[tree, node] + above
+        steps += 1
+    return steps, forest.path[tree, node]
+
+
+def test_forest_equals_walked_paths():
+    rng = np.random.default_rng(3)
+    rows = rng.random((400, 7)) ** 2
+    forest = isolation_rules.Forest.fit(rows, rows.min(axis=0), rows.max(axis=0), trees=30)
+    usual = 2 * (np.log(forest.subsample - 1) + np.euler_gamma) - 2 * (forest.subsample - 1) / forest.subsample
+    probes = np.vstack([rows[:40], rng.random((20, 7)), np.ones((1, 7))])
+    for row, score in zip(probes, forest.score(probes)):
+        walked = [plain_path(forest, t, row) for t in range(30)]
+        assert all(steps <= path for steps, path in walked)
+        assert score == pytest.approx(2 ** (-np.mean([path for _, path in walked]) / usual))
+    assert forest.score(np.ones((1, 7)))[0] > np.median(forest.score(rows))
+
+
+def test_words_of_strange_length_raise_the_anomaly():
+    plain, wide = ([300, 300 * size, 0, 0, 0, 9, 1200, 0, 40, 0, 9, 200] for size in (5, 60))
+    rng = np.random.default_rng(2)
+    rows = np.array([[n, n * w, 0, 0, 0, n // 30, n * w, 0, n // 8, 0, 9, n // 2] for n, w in
+                     zip(rng.integers(20, 900, 300), rng.integers(4, 7, 300))] + [wide])
+    x = isolation_rules.features(rows)
+    forest = isolation_rules.Forest.fit(x[:-1], x.min(axis=0), x.max(axis=0))
+    score = forest.score(isolation_rules.features(np.array([plain, wide])))
+    assert score[1] > score[0] + 0.1
+
+
 # toxicity -------------------------------------------------------------------------------
 
 
@@ -177,19 +211,40 @@ def distance(a, b):
 
 
 def test_automata_find_every_near_term():
-    terms = set(random_words(3, 150, "abcde", 9)) | set(random_words(4, 50, "abcdefgh", 12))
-    trie = toxic_terms.Trie(terms)
-    for word in random_words(5, 300, "abcde", 11):
-        for k in (1, 2):
-            want = sorted((t, distance(word, t)) for t in terms if distance(word, t) <= k)
-            assert sorted(trie.near(word, k)) == want
-            assert not want or k >= min(len(t) for t, _ in want) or trie.may_match(word, k)
+    terms = sorted(set(random_words(3, 150, "abcde", 9)) | set(random_words(4, 50, "abcdefgh", 14)) | {"abcde" * 8, "a" * 33})
+    trie, lexicon = toxic_terms.Trie(terms), toxic_terms.Lexicon(terms)
+    for word in random_words(5, 300, "abcde", 13) + ["abcde" * 7 + "abce", "a" * 31, "a" * 35, "a" * 36, "b" * 90]:
+        want = sorted((t, distance(word, t)) for t in terms if distance(word, t) <= toxic_terms.allowed(t))
+        assert sorted(trie.near(word)) == want
+        # The index may leave out a term that allows no edit, which is only looked up exactly.
+        assert sorted(lexicon.near(word)) == [x for x in want if toxic_terms.allowed(x[0])]
+
+
+def test_edits_go_by_the_length_of_the_term():
+    weights = dict.fromkeys(["idiot", "scum", "trash", "disgusting", "ass"], 1.0)
+    lexicon = toxic_terms.Lexicon(weights)
+    for form, term in {"idot": "idiot", "idioot": "idiot", "scm": "scum", "scvm": "scum", "trsh": "trash",
+                       "digustng": "disgusting", "ass": "ass", "disgusting": "disgusting"}.items():
+        assert lexicon.closest(form, weights)[0] == term
+    assert [lexicon.closest(w, weights) for w in ("as", "idt", "sm", "digstng", "1234")] == [None] * 5
+
+
+def at_word(text, word):
+    spans = [m.span() for m in toxic_terms.WORD.finditer(text)]
+    return toxic_terms.context(text, spans, [text[a:b] for a, b in spans].index(word))
 
 
 def test_context_tells_quotation_from_abuse():
-    quoted, _ = toxic_terms.context('he said "you idiot" and left', 13, 5)
-    plain, aimed = toxic_terms.context("you are an idiot today", 11, 5)
-    assert quoted > 0.5 > plain and aimed == 1
+    assert at_word('he said "you idiot" and left', "idiot")[0] > 0.5
+    assert at_word("you are an idiot today", "idiot") == (0.0, 1)
+
+
+def test_context_is_six_words_whatever_their_length():
+    long = " ".join(["extraordinarily" * 3] * 5)
+    assert at_word(f"she said {long} idiot", "idiot")[0] == 0.4
+    assert at_word(f"she said {long} more idiot", "idiot")[0] == 0.0
+    assert at_word(f"idiot {long} said", "idiot")[0] == 0.4
+    assert at_word(f'x "{long} idiot {long}" y', "idiot")[0] == 0.8
 
 
 def toxic_docs(n=400):
@@ -220,6 +275,42 @@ def test_toxic_terms_are_learned_and_their_misspellings_found(spark):
     assert np.mean([a == b for a, b in held]) >= 0.95
 
 
+def test_copies_of_a_toxic_text_are_no_evidence(spark):
+    """A third of all labelled rows are copies of one toxic text: terms and weights stay."""
+    rows, marks = toxic_docs()
+    copies = [(20_000 + k, rows[0][1], "en", "a", 0) for k in range(200)]
+    plain = toxic_terms.fit(odd_docs(spark, rows), labels(spark, marks))
+    skewed = toxic_terms.fit(odd_docs(spark, rows + copies), labels(spark, marks + [(r[0], 1, 1) for r in copies]))
+    assert set(plain.weights) == set(skewed.weights) and len(plain.weights) == 3
+
+
+def test_lexicon_equals_brute_force(spark):
+    rows, marks = toxic_docs()
+    texts = {k: t for k, t, *_ in rows}
+    train = {(texts[k], y) for k, _, y in marks if zlib.crc32(str(k).encode()) % 5}
+    toxic, clean = (sum(y == v for _, y in train) for v in (1, 0))
+    count = {}
+    for text, y in train:
+        for w in set(re.findall(r"\w+", text.lower())):
+            count.setdefault(w, [0, 0])[1 - y] += 1
+    least, rate = 2 * np.log(len(count)) + 4, toxic / (toxic + clean)
+    want = {}
+    for w, (a, b) in count.items():
+        g2 = 2 * ((a * np.log(a / ((a + b) * rate)) if a else 0) + (b * np.log(b / ((a + b) * (1 - rate))) if b else 0))
+        if a >= 3 and a >= 0.75 * (a + b) and g2 >= least:
+            want[w] = np.log((a + 0.5) / (toxic + 1)) - np.log((b + 0.5) / (clean + 1))
+    got = toxic_terms.fit(odd_docs(spark, rows), labels(spark, marks)).weights
+    assert set(got) == set(want) and all(abs(got[w] - want[w]) < 1e-9 for w in got)
+
+
+def test_ordinary_words_near_a_term_are_no_hits(spark):
+    rows, marks = toxic_docs()
+    rows = [(k, t + (" scoundrels" if k % 4 in (1, 2) and k < 100 else ""), *rest) for k, t, *rest in rows]
+    model = toxic_terms.fit(odd_docs(spark, rows), labels(spark, marks))
+    assert "scoundrels" in model.ordinary and "scoundrel" in model.weights
+    assert model.features("all scoundrels") == [0.0] * 7 != model.features("a scoundrl")
+
+
 def test_held_out_labels_are_never_read(spark):
     rows, marks = toxic_docs()
     docs = odd_docs(spark, rows)
@@ -242,6 +333,54 @@ def test_toxicity_of_odd_rows(spark):
 LICENSE_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
+def plain_edits(pattern, text):
+    """Fewest edits of ``pattern`` against any part of ``text``."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(pattern):
+        last, row[0] = row[0], i + 1
+        for j, d in enumerate(text):
+            last, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, last + (c != d))
+    return min(row)
+
+
+def messed(rnd, text):
+    for _ in range(rnd.randint(0, 9)):
+        at, kind = rnd.randrange(len(text)), rnd.random()
+        text = text[:at] + ("" if kind < 0.4 else rnd.choice("abel ") + text[at] * (kind < 0.7)) + text[at + 1:]
+    return text
+
+
+def test_least_edits_equal_the_table():
+    rnd = random.Random(4)
+    for _ in range(400):
+        notice = rnd.choice(list(licenses.NOTICES))
+        text = "foo " * rnd.randint(0, 2) + messed(rnd, notice) + " bar" * rnd.randint(0, 2)
+        assert licenses.least_edits(licenses.letter_masks(notice.encode()), len(notice), text.encode()) == plain_edits(
+            notice, text)
+
+
+def test_notices_are_found_wherever_their_edits_allow():
+    """Every notice within its edits of some part of a text gives its label, and no other does."""
+    rnd = random.Random(9)
+    for _ in range(300):
+        notice = rnd.choice(list(licenses.NOTICES))
+        text = " ".join(messed(rnd, "some words before " + notice + " and after it").split())
+        normal = f" {text} ".encode()
+        got = {x[0] for x in licenses.fuzzy(normal, licenses.Blanks(normal))}
+        near = {n: plain_edits(n, normal.decode()) <= max(1, len(n) * licenses.EDITS_PER_100 // 100) for n in licenses.NOTICES}
+        assert got == {licenses.NOTICES[n] for n, is_near in near.items() if is_near}
+
+
+def test_a_megabyte_of_notices_takes_seconds():
+    import time
+
+    for part, n in (("licensed under the apache license version 2 0 ", 24_000), ("mit licence ", 85_000),
+                    ("under the terms of the gnu lesser general public licence ", 17_500)):
+        began = time.time()
+        _, _, notices = licenses.scan_text(part * n)
+        assert len(notices) >= n and time.time() - began < 10
+
+
 def plain_base(text):
     lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = LICENSE_WORD.findall(lower)
