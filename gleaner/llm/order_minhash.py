@@ -18,6 +18,15 @@ at the threshold is missed about once in a hundred thousand. A pair counts in
 the first table where its keys are equal. A block hands on its documents that
 have a likely partner there, not the pairs.
 
+**Large buckets.** Comparing all chunks of a bucket with each other would ship each
+of its documents once for every chunk. So a bucket of more than ``BLOCK`` documents
+is seeded first: each chunk is compared by itself and with the same few pivots,
+which ships a document once. In a large group of near copies that joins nearly
+all. Then only documents of different groups still need comparing: a bucket whose
+documents are one group is done, and of any other the documents outside its
+largest group are compared with each other and with that group. Every pair of
+different groups meets, so the result is that of comparing all pairs.
+
 **Verification.** Those documents' texts meet again in their blocks. Shared
 shingles of all pairs of a block are counted exactly (a matrix product over the
 shingles that occur twice or more), which leaves the pairs that can reach
@@ -46,7 +55,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.blocks import by_block, in_blocks, whole_groups
+from gleaner.llm.blocks import by_block, whole_groups
 from gleaner.llm.components import components
 from gleaner.llm.flat import slices
 from gleaner.llm.lineage import cut
@@ -60,6 +69,8 @@ LIKELY = SIMILARITY - 4.5 * (SIMILARITY * (1 - SIMILARITY) / CHECKS) ** 0.5
 BLOCK = 1024
 COLUMNS = 4096
 BLOCK_KEYS = ["t", "key", "low", "high"]
+#: Tables whose large buckets are seeded, and pivots of a bucket (on average).
+SEED_TABLES, PIVOTS = 2, 8
 CHUNK = 1 << 14
 CACHE_WORDS = 500_000
 
@@ -166,11 +177,12 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def likely_members(members: DataFrame) -> DataFrame:
-    """The rows of ``members`` (block, rep) that have a likely partner in their block's table first."""
+    """The rows of ``members`` (block, rep, group) that have a likely partner of another group in their block's table
+    first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in whole_groups(batches, BLOCK_KEYS):
-            n, chunk, t = (table.column(c).to_numpy() for c in ("n", "chunk", "t"))
+            n, chunk, t, group = (table.column(c).to_numpy() for c in ("n", "chunk", "t", "group"))
             cross = table.column("low").to_numpy() != table.column("high").to_numpy()
             marks = _fixed(table.column("signature"), CHECKS)
             keys = _fixed(table.column("signature"), CHECKS, 8 * TABLES).view(np.int64)
@@ -178,6 +190,7 @@ def likely_members(members: DataFrame) -> DataFrame:
             for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 for i in range(lo, hi - 1):
                     may = np.minimum(n[i + 1:hi], n[i]) >= SIMILARITY * np.maximum(n[i + 1:hi], n[i])
+                    may &= group[i + 1:hi] != group[i]
                     if cross[lo]:
                         may &= chunk[i + 1:hi] != chunk[i]
                     at = np.flatnonzero(may) + i + 1
@@ -186,9 +199,9 @@ def likely_members(members: DataFrame) -> DataFrame:
                         at = at[~(keys[at, :t[lo]] == keys[i, :t[lo]]).any(axis=1)]
                     if len(at):
                         has[i] = has[at] = True
-            yield from table.select([*BLOCK_KEYS, "chunk", "rep"]).filter(pa.array(has)).to_batches()
+            yield from table.select([*BLOCK_KEYS, "chunk", "rep", "group"]).filter(pa.array(has)).to_batches()
 
-    return members.mapInArrow(run, "t int, key long, low int, high int, chunk int, rep long")
+    return members.mapInArrow(run, "t int, key long, low int, high int, chunk int, rep long, group long")
 
 
 def _fixed(column: pa.ChunkedArray, skip: int, width: int | None = None) -> np.ndarray:
@@ -202,17 +215,18 @@ def _fixed(column: pa.ChunkedArray, skip: int, width: int | None = None) -> np.n
 
 
 def links(members: DataFrame) -> DataFrame:
-    """(a, b): verified links that span the groups of each block of ``members`` (block, rep, text)."""
+    """(a, b): verified links that join the groups of each block of ``members`` (block, rep, group, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in whole_groups(batches, BLOCK_KEYS):
             rep, chunk = table.column("rep").to_pylist(), table.column("chunk").to_numpy()
+            group = table.column("group").to_numpy()
             low, high, text = table.column("low").to_numpy(), table.column("high").to_numpy(), table.column("text")
             out = []
             for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 grams = [shingles(words_of(x)) for x in text.slice(lo, hi - lo).to_pylist()]
                 apart = chunk[lo:hi] if low[lo] != high[lo] else None
-                out.extend((rep[lo + i], rep[lo + j]) for i, j in spanning(grams, apart))
+                out.extend((rep[lo + i], rep[lo + j]) for i, j in spanning(grams, apart, group[lo:hi]))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)],
                                              names=["a", "b"])
 
@@ -242,16 +256,24 @@ def needed(n, m):
     return np.ceil(SIMILARITY * (n + m) / (1 + SIMILARITY) - 1e-9)
 
 
-def spanning(grams: list[np.ndarray], chunk: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Verified pairs that span the groups of similar texts; with ``chunk``, only pairs of different chunks."""
+def spanning(grams: list[np.ndarray], chunk: np.ndarray | None = None,
+             group: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Verified pairs that span the groups of similar texts; with ``chunk``, only pairs of different chunks.
+
+    Texts of one ``group`` are joined from the start.
+    """
     size = np.array([len(g) for g in grams], dtype=np.float64)
     shared = shared_counts([labelled(g) for g in grams])
     may = np.triu(shared >= needed(size[:, None], size[None, :]), 1)
     if chunk is not None:
         may &= chunk[:, None] != chunk[None, :]
+    parent = list(range(len(grams)))
+    if group is not None:
+        may &= group[:, None] != group[None, :]
+        _, first, number = np.unique(group, return_index=True, return_inverse=True)
+        parent = first[number].tolist()
     i, j = np.nonzero(may)
     order = np.lexsort((j, i, -shared[i, j] / (size[i] + size[j])))
-    parent = list(range(len(grams)))
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -292,6 +314,49 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return min(n, m) >= enough and common_in_band(a, b, n + m - 2 * enough) >= enough
 
 
+def seed_blocks(keyed: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Rows of large buckets in chunks, each with the bucket's pivots: once a row, and once a chunk for a pivot."""
+    large = buckets.where((F.col("size") > BLOCK) & (F.col("t") < SEED_TABLES))
+    rows = keyed.join(large, ["t", "key"]).withColumn("chunks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    pivot = F.pmod(F.xxhash64("rep", F.lit("pivot")), F.col("size")) < PIVOTS
+    own = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
+    at = F.when(pivot, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(own))
+    return (rows.withColumn("low", F.explode(at)).withColumn("high", F.col("low")).withColumn("chunk", F.lit(0))
+            .withColumn("group", F.col("rep")).drop("size", "chunks"))
+
+
+def group_blocks(keyed: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Rows of ``keyed`` (rep, group, t, key) in blocks in which every two of different groups of a bucket meet."""
+    shared = cut(keyed.join(buckets, ["t", "key"]), "shared")
+    parts = shared.groupBy("t", "key", "group").agg(F.count(F.lit(1)).alias("part"))
+    open_ = parts.groupBy("t", "key").agg(F.count(F.lit(1)).alias("groups"), F.max("part").alias("most"),
+                                          F.max_by("group", F.struct("part", "group")).alias("main"))
+    # One row a bucket with several groups.
+    open_ = cut(open_.where("groups > 1").drop("groups"), "open")
+    rows = shared.join(open_, ["t", "key"])
+    small = rows.where(F.col("size") <= BLOCK).withColumns(
+        {"chunk": F.lit(0), "low": F.lit(0), "high": F.lit(0)})
+    large = rows.where(F.col("size") > BLOCK).withColumn("rest", F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int"))
+    large = large.withColumn("mains", F.ceil(F.col("most") / BLOCK).cast("int"))
+    in_main = F.col("group") == F.col("main")
+    own = F.when(in_main, F.col("rest") + F.pmod(F.xxhash64("rep"), F.col("mains"))).otherwise(
+        F.pmod(F.xxhash64("rep"), F.col("rest"))).cast("int")
+    others = F.sequence(F.lit(0), F.when(in_main, F.col("rest")).otherwise(F.col("rest") + F.col("mains")) - 1)
+    large = large.withColumn("chunk", own).withColumn("other", F.explode(others))
+    large = large.withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other"))
+    names = ["rep", "group", *BLOCK_KEYS, "chunk"]
+    return small.select(*names).unionByName(large.select(*names))
+
+
+def verified(blocks: DataFrame, equal: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(a, b): links that join groups of the blocks' rows; signatures first, then texts of those with a likely partner."""
+    members = cut(blocks, "blocks").join(equal.select("rep", "n", "signature"), "rep")
+    likely = cut(likely_members(by_block(members, BLOCK_KEYS)), "likely")
+    texts = cut(docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
+                .join(likely.select("rep").distinct(), "rep").groupBy("rep").agg(F.min("text").alias("text")), "texts")
+    return cut(links(by_block(likely.join(texts, "rep"), BLOCK_KEYS)), "links")
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, class_id) of every row: the least id of its near-duplicate group."""
     rows = cut(sketches(docs, id_col, text_col), "sketches")
@@ -301,12 +366,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     equal = cut(equal, "classes")
     # Buckets are found on ids and keys alone; only rows of shared buckets get their signature.
     keyed = equal.select("rep", F.posexplode("keys").alias("t", "key"))
-    shared = cut(in_blocks(keyed, ["t", "key"], "rep", BLOCK), "shared")
-    members = shared.join(equal.select("rep", "n", "signature"), "rep")
-    likely = cut(likely_members(by_block(members, BLOCK_KEYS)), "likely")
-    texts = cut(docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-                .join(likely.select("rep").distinct(), "rep").groupBy("rep").agg(F.min("text").alias("text")), "texts")
-    found = components(links(by_block(likely.join(texts, "rep"), BLOCK_KEYS)))
+    buckets = cut(keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
+    edges = docs.sparkSession.createDataFrame([], "a long, b long")
+    grouped = keyed.withColumn("group", F.col("rep"))
+    if buckets.where((F.col("size") > BLOCK) & (F.col("t") < SEED_TABLES)).limit(1).count():
+        seeded = cut(components(verified(seed_blocks(keyed, buckets), equal, docs, id_col, text_col)), "seeded")
+        edges = seeded.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        grouped = keyed.join(seeded, F.col("rep") == F.col("node"), "left").select(
+            "rep", F.coalesce("component", "rep").alias("group"), "t", "key")
+    found = components(edges.unionByName(verified(group_blocks(grouped, buckets), equal, docs, id_col, text_col)))
     named = equal.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         F.col("words_key").alias("k"), F.coalesce("component", "rep").alias("class"))
     return rows.join(cut(named, "named"), F.col("words_key") == F.col("k"), "left").select(
