@@ -4,11 +4,12 @@ Equal vectors with equal labels are one class, so a vector that a third of all
 rows hold is one row from then on. The signs of a class's projections on
 ``bits`` random hyperplanes are its key in a table; there are as many tables as
 make a pair at the threshold miss all of them at most once in ``1 / MISS``. Bits grow with
-the logarithm of the number of classes, which keeps buckets small, and the
-tables with them, which keeps the bound.
+the logarithm of the number of classes, so that classes without likeness seldom
+share a bucket, and the tables with them, which keeps the bound.
 
-Classes with equal label, table and key are compared in blocks of bounded size
-by the exact cosine in double precision. A pair counts in the first table where
+Buckets are found on classes' names and keys alone; only classes that share one
+bring their vector there. Classes with equal label, table and key are compared in
+blocks of bounded size by the exact cosine in double precision. A pair counts in the first table where
 its keys are equal, so links are summed without a list of pairs: a block gives
 each class its links (weighted by copies) and the least class it is linked with.
 Components are found distributed on those edges, at most one per class and block.
@@ -44,13 +45,14 @@ COSINE = 0.98
 MISS = 1e-6
 SEED = 23
 BLOCK = 1024
-BUCKET = 32
+#: Classes of a bucket if none were alike: few share one by chance.
+BUCKET = 1 / 16
 BLOCK_KEYS = ["label", "t", "key", "low", "high"]
 
 
 def plan(classes: int, cosine: float = COSINE, miss: float = MISS) -> tuple[int, int]:
     """(bits, tables) for so many classes."""
-    bits = min(24, max(8, math.ceil(math.log2(max(classes, 1) / BUCKET))))
+    bits = min(28, max(8, math.ceil(math.log2(max(classes, 1) / BUCKET))))
     hit = (1 - math.acos(cosine) / math.pi) ** bits
     return bits, math.ceil(math.log(miss) / math.log(1 - hit))
 
@@ -165,10 +167,11 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector"))
         .where("rep IS NOT NULL"), "classes")
     bits, tables = plan(classes.count(), cosine)
-    signed = hashed(classes.select("rep", "label", "copies", "vector"), bits, tables)
-    keyed = signed.select("*", F.posexplode("signs").alias("t", "key"))
-    blocks = by_block(in_blocks(keyed, ["label", "t", "key"], "rep", BLOCK), BLOCK_KEYS)
-    found = cut(links(blocks, cosine), "links")
+    signed = cut(hashed(classes.select("rep", "label", "copies", "vector", F.col("key").alias("class")), bits, tables), "signs")
+    keyed = signed.select("rep", "class", "label", F.posexplode("signs").alias("t", "key"))
+    shared = cut(in_blocks(keyed, ["label", "t", "key"], "class", BLOCK).drop("rep"), "shared")
+    members = shared.join(signed, ["label", "class"]).drop("class")
+    found = cut(links(by_block(members, BLOCK_KEYS), cosine), "links")
     summed = found.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     named = cut(classes.select("label", "key", "rep", "copies").join(summed, "rep", "left")

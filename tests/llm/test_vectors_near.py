@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from gleaner.llm import blocks, components, order_minhash, queries, sign_hash
 from tests.llm.common import SMALL, no_docs, odd_docs, random_words, rows_of
@@ -92,6 +93,36 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
     assert rows_of(sign_hash.near_vectors(df)) == sorted(want, key=repr)
 
 
+def test_op5_on_embeddings_with_planted_links_equals_brute_force(spark, tmp_path):
+    """The registered query over the table ``embeddings`` and near copies of its own vectors."""
+    table = queries.table(spark, SMALL, "embeddings")
+    rng, rows = np.random.default_rng(7), [tuple(r) for r in table.select("vec_id", "embedding", "label").collect()]
+    top = max(r[0] for r in rows)
+    for k, (_, v, label) in enumerate(rows[:60]):
+        for c in range(k % 4):
+            near = np.array(v) + rng.standard_normal(len(v)) * np.linalg.norm(v) / len(v) ** 0.5 * 0.12 * c
+            rows.append((top + 1 + 4 * k + c, [float(np.float32(x)) for x in near], label))
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(
+        str(tmp_path / "embeddings.parquet"))
+    want = brute_vectors(rows)
+    assert sum(r[1] > 0 for r in want) > 60
+    assert rows_of(queries.op5_sign_hash(spark, str(tmp_path))) == sorted(want, key=repr)
+
+
+def test_vectors_are_not_shipped_to_every_table():
+    """Vectors without likeness seldom share a bucket, so few bring their vector to one."""
+    rng = np.random.default_rng(1)
+    n = 2000
+    bits, tables = sign_hash.plan(n)
+    keys = (rng.standard_normal((n, 64)) @ sign_hash.planes(64, bits, tables) > 0).reshape(n, tables, bits) @ (
+        1 << np.arange(bits))
+    shared = 0
+    for t in range(tables):
+        times = np.unique(keys[:, t], return_counts=True)[1]
+        shared += times[times > 1].sum()
+    assert shared < 0.15 * n * tables
+
+
 def test_no_vectors(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert sign_hash.near_vectors(df).count() == 0
@@ -191,6 +222,42 @@ def test_near_copies_equal_brute_force(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in left.collect()) == sorted({c for c in want.values()})
 
 
+def test_every_pair_of_different_groups_meets_in_one_block(spark, monkeypatch):
+    monkeypatch.setattr(order_minhash, "BLOCK", 8)
+    rnd = random.Random(3)
+    rows = [(k, rnd.choice([0] * 6 + list(range(1, 9))) + 100 * b, 0, b) for b, n in enumerate((90, 40, 6, 1)) for k in
+            range(1000 * b, 1000 * b + n)]
+    rows += [(5000 + k, 7777, 0, 9) for k in range(50)]  # one group: nothing to compare
+    keyed = spark.createDataFrame(rows, "rep long, group long, t int, key long")
+    buckets = keyed.groupBy("t", "key").count().where("count > 1").withColumnRenamed("count", "size")
+    got = order_minhash.group_blocks(keyed, buckets).collect()
+    by, meet = {}, {}
+    for r in got:
+        by.setdefault((r["key"], r["low"], r["high"]), []).append(r)
+    for (_, low, high), part in by.items():
+        assert len(part) <= 40
+        for x in part:
+            for y in part:
+                if x["rep"] < y["rep"] and x["group"] != y["group"] and (low == high or x["chunk"] != y["chunk"]):
+                    meet[x["rep"], y["rep"]] = meet.get((x["rep"], y["rep"]), 0) + 1
+    group = {r[0]: (r[1], r[3]) for r in rows}
+    assert meet == {(a, b): 1 for a in group for b in group if a < b and group[a][1] == group[b][1] != 9
+                    and group[a][0] != group[b][0]}
+
+
+def test_a_large_tight_group_ships_its_rows_about_once(spark, monkeypatch):
+    """Blocks grow with a group of near copies, not with its square."""
+    monkeypatch.setattr(order_minhash, "BLOCK", 20)
+
+    def shipped(n):
+        keyed = spark.range(n).select(F.col("id").alias("rep"), F.lit(0).alias("t"), F.lit(5).cast("long").alias("key"))
+        buckets = keyed.groupBy("t", "key").count().withColumnRenamed("count", "size")
+        grouped = keyed.withColumn("group", F.when(F.col("rep") % 50 == 0, F.col("rep")).otherwise(F.lit(1)))
+        return order_minhash.seed_blocks(keyed, buckets).count() + order_minhash.group_blocks(grouped, buckets).count()
+
+    assert shipped(800) < 6 * shipped(200) < 6 * 200 * 5
+
+
 def test_near_copies_of_odd_rows(spark):
     docs = odd_docs(spark)
     got = sorted(((r["doc_id"], r["class_id"]) for r in order_minhash.classes(docs).collect()), key=repr)
