@@ -50,7 +50,8 @@ def tokenizer(name: str) -> str:
 def op1_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its source's boilerplate lines."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return site_lines.clean(docs, n_lines="n_lines", n_dropped="n_dropped").drop("source")
+    return site_lines.clean(docs, ratio=site_lines.TEXT_RATIO, per_text=True, n_lines="n_lines",
+                            n_dropped="n_dropped").drop("source")
 
 
 def op2_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

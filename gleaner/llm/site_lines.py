@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.flat import fresh
+from gleaner.llm.lineage import cut
 
 RATIO = 0.1
 MIN_PAGES = 5
@@ -63,7 +64,8 @@ def clean(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, tex
           host_col: str = "source", n_lines: str | None = None, n_dropped: str | None = None,
           per_text: bool = False) -> DataFrame:
     """``docs`` with boilerplate lines gone from the text; line counts in columns of the given names."""
-    found = boilerplate(docs, ratio, min_pages, text_col, host_col, per_text)
+    # Written, so that its size is known: as small as it is, texts are not shuffled to meet it.
+    found = cut(boilerplate(docs, ratio, min_pages, text_col, host_col, per_text), "boilerplate")
     host, drop = fresh(docs, "_host"), fresh(docs, "_drop")
     found = found.select(F.col("host").alias(host), F.col("lines").alias(drop))
     rows = docs.join(found, F.col(f"`{host_col}`").eqNullSafe(F.col(host)), "left")
@@ -82,13 +84,13 @@ def clean(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, tex
 
 ORACLE = f"""
 WITH pages AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
-keyed AS (SELECT DISTINCT doc_id, source, trim(line, ' ' || chr(9) || chr(13)) AS k
-          FROM (SELECT doc_id, source, unnest(ls) AS line FROM pages)),
+keyed AS (SELECT DISTINCT md5(text) AS page, source, trim(line, ' ' || chr(9) || chr(13)) AS k
+          FROM (SELECT text, source, unnest(ls) AS line FROM pages)),
 counts AS (SELECT source, k, COUNT(*) AS n FROM keyed WHERE k <> '' GROUP BY source, k),
-totals AS (SELECT source, COUNT(*) AS pages FROM documents GROUP BY source),
+totals AS (SELECT source, COUNT(DISTINCT text) AS pages FROM documents GROUP BY source),
 found AS (SELECT c.source, list(c.k) AS gone FROM counts c
           JOIN totals t ON c.source IS NOT DISTINCT FROM t.source
-          WHERE c.n >= {MIN_PAGES} AND c.n > CAST({RATIO} AS DOUBLE) * t.pages GROUP BY c.source),
+          WHERE c.n >= {MIN_PAGES} AND c.n > CAST({TEXT_RATIO} AS DOUBLE) * t.pages GROUP BY c.source),
 kept AS (SELECT p.doc_id, p.text, p.ls, f.gone, list_filter(p.ls, lambda x:
            NOT list_contains(coalesce(f.gone, []), trim(x, ' ' || chr(9) || chr(13)))) AS stay
          FROM pages p LEFT JOIN found f ON p.source IS NOT DISTINCT FROM f.source)

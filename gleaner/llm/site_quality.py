@@ -120,8 +120,9 @@ def site_rates(rows: DataFrame, host: str, path: str, p: str) -> DataFrame:
         (F.col("good_host") + k_host * prior) / (F.col("n_host") + k_host)).alias("host_rate"))
     both = paths.join(rates, F.col("host").eqNullSafe(F.col("of"))).drop("of")
     k_path = both.agg(strength("n", "good", F.col("host_rate")).alias("k")).first()["k"] or STRONGEST
-    return both.select("host", "path", F.col("n").alias("n_path"), F.col("good").alias("good_path"),
-                       "host_rate", F.lit(float(k_path)).alias("k_path"))
+    # Written, so that its size is known: where it is small, texts are not shuffled to meet it.
+    return cut(both.select("host", "path", F.col("n").alias("n_path"), F.col("good").alias("good_path"),
+                           "host_rate", F.lit(float(k_path)).alias("k_path")), "rates")
 
 
 def combine(rows: DataFrame, rates: DataFrame, host: str, path: str, logit: str, base: float) -> DataFrame:

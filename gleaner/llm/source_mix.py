@@ -138,9 +138,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-               source_col: str = "source", chars_col: str = "n_chars") -> DataFrame:
-    """The mix itself, with the columns of ``docs``: each document as often as it is taken whole, and
-    once more cut to its leading words if a part is taken. ``chars_col``, where it is a column, follows the text.
+               source_col: str = "source") -> DataFrame:
+    """The mix itself, with the columns of ``docs``: each document as often as it is taken, always whole.
+
+    The document at the seam of a shard's quota, of which a part is taken, comes once more if that part is half of it
+    or more; so a shard is off its quota by half a document at most, and no document comes more than MOST_TIMES.
     """
     size = fresh(docs, "_size")
     sized = with_sizes(docs, size, text_col)
@@ -149,23 +151,6 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     plan = quotas(cut(rows, "sizes"))
     packed = sized.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"),
                           F.col(size).alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    taken = take(packed, *plan).where("taken > 0").select("row", "size", "taken")
-    part = F.col("taken") % F.col("size")
-    whole = F.array_repeat(F.lit(-1).cast("long"), F.floor(F.col("taken") / F.col("size")).cast("int"))
-    cuts = F.concat(whole, F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
-    copies = taken.withColumn("cut", F.explode(cuts))
-    text = F.col(f"row.`{text_col}`")
-    pieces = F.split(text, r"(?<=[ \t-\r])(?=[^ \t-\r])")  # words with the blanks behind them
-    lead = F.when(F.substring(text, 1, 1).rlike(r"[ \t-\r]"), 1).otherwise(0)
-    short = F.regexp_replace(F.array_join(F.slice(pieces, F.lit(1), (F.col("cut") + lead).cast("int")), ""),
-                             r"[ \t-\r]+$", "")
-    new = F.when(F.col("cut") < 0, text).otherwise(short)
-    out = []
-    for c in docs.columns:
-        if c == text_col:
-            out.append(new.alias(c))
-        elif c == chars_col:
-            out.append(F.length(new).cast(docs.schema[c].dataType).alias(c))
-        else:
-            out.append(F.col(f"row.`{c}`"))
-    return copies.select(*out)
+    taken = take(packed, *plan).where("taken > 0")
+    times = F.round(F.col("taken") / F.col("size")).cast("int")
+    return taken.select("row", F.explode(F.array_repeat(F.lit(0), times))).select("row.*")

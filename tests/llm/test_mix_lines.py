@@ -11,10 +11,11 @@ from tests.llm.common import LONG, SMALL, no_docs, odd_docs, random_words, rows_
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def plain_lines(rows, ratio=site_lines.RATIO, least=site_lines.MIN_PAGES):
-    """(doc_id, text) without boilerplate, from (doc_id, source, text) rows."""
+def plain_lines(rows, ratio=site_lines.RATIO, least=site_lines.MIN_PAGES, per_text=False):
+    """(doc_id, text) without boilerplate, from (doc_id, source, text) rows; ``per_text`` counts distinct texts."""
     pages, held = {}, {}
-    for _, source, text in rows:
+    counted = [(0, s, t) for s, t in {r[1:] for r in rows if r[2] is not None}] if per_text else rows
+    for _, source, text in counted:
         pages[source] = pages.get(source, 0) + 1
         for key in {x.strip(" \t\r") for x in (text or "").split("\n")} - {""}:
             held[source, key] = held.get((source, key), 0) + 1
@@ -58,6 +59,23 @@ def test_lines_of_odd_rows(spark):
     assert site_lines.clean(no_docs(spark)).count() == 0
 
 
+@pytest.mark.parametrize("copies", [17, 400])
+def test_op1_keeps_the_lines_of_a_copied_document(spark, tmp_path, copies):
+    """A document copied to a third of a host and more keeps its lines; a line on many distinct texts goes."""
+    copied = "\n".join(" ".join(random_words(k, 8)) for k in range(6))
+    rows = [(k, copied, "en", "a", 0) for k in range(copies)]
+    rows += [(1000 + k, " ".join(random_words(100 + k, 9)) + "\nAll pages", "en", "a", 0) for k in range(34)]
+    odd_docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["text"] for r in queries.op1_site_lines(spark, str(tmp_path)).collect()}
+    for k, text, *_ in rows:
+        assert got[k] == text.removesuffix("\nAll pages"), k
+
+
+def test_texts_are_not_shuffled_to_meet_the_boilerplate(spark):
+    plan = queries.op1_site_lines(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
 def test_pipeline_keeps_the_lines_of_a_copied_document(spark):
     copied = "\n".join(" ".join(random_words(k, 8)) for k in range(6))
     rows = [(k, copied if k % 3 == 0 else " ".join(random_words(100 + k, 9)) + ("\nAll pages" if k % 3 == 1 else ""),
@@ -162,16 +180,22 @@ def test_mix_with_caps_and_many_shards(spark, monkeypatch):
         assert abs(by[s] - target[s]) <= 2 * source_mix.BLOCK
 
 
-def test_mixed_rows_hold_what_is_taken(spark):
+def test_mixed_rows_are_whole_documents_near_what_is_taken(spark):
     docs = queries.table(spark, SMALL, "documents")
-    taken = {r["doc_id"]: r["taken"] for r in source_mix.mix(docs).collect()}
-    got, mixed = {}, source_mix.mixed_rows(docs)
+    mixed = source_mix.mixed_rows(docs)
     assert mixed.columns == docs.columns
-    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    times = {}
+    rows = {r["doc_id"]: r for r in docs.collect()}
     for r in mixed.collect():
-        got[r["doc_id"]] = got.get(r["doc_id"], 0) + len(WORD.findall(r["text"]))
-        assert text[r["doc_id"]].startswith(r["text"]) and r["n_chars"] == len(r["text"])
-    assert got == {k: t for k, t in taken.items() if t}
+        assert r == rows[r["doc_id"]]
+        times[r["doc_id"]] = times.get(r["doc_id"], 0) + 1
+    seams = {}
+    for r in source_mix.mix(docs).collect():
+        n = times.get(r["doc_id"], 0)
+        assert n <= 3 and abs(n * r["size"] - r["taken"]) <= r["size"] / 2
+        if n * r["size"] != r["taken"]:
+            seams[rows[r["doc_id"]]["source"]] = seams.get(rows[r["doc_id"]]["source"], 0) + 1
+    assert seams and max(seams.values()) == 1  # a source of this table is one shard
 
 
 def test_mix_of_odd_rows(spark):
@@ -203,7 +227,7 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
     docs = queries.table(spark, SMALL, "documents")
     kept = {r["doc_id"] for r in site_quality.classify(docs, queries.table(spark, SMALL, "labels")).where("kept").collect()}
     rows = {r["doc_id"]: r for r in docs.collect() if r["doc_id"] in kept}
-    text = dict(plain_lines([(k, r["source"], r["text"]) for k, r in rows.items()]))
+    text = dict(plain_lines([(k, r["source"], r["text"]) for k, r in rows.items()], site_lines.TEXT_RATIO, per_text=True))
     firsts = set(brute_classes(list(text.items())).values())
     sizes = {}
     for k in firsts:
@@ -213,12 +237,14 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
     by = {}
     for r in corpus_pipeline.run(spark, SMALL).collect():
         assert r["doc_id"] in firsts
-        assert list(r["ids"]) == sp.encode(r["decoded"])
-        assert text[r["doc_id"]].startswith(r["decoded"])
+        assert list(r["ids"]) == sp.encode(text[r["doc_id"]]) and r["decoded"] == text[r["doc_id"]]  # whole texts
         source = rows[r["doc_id"]]["source"]
         by[source] = by.get(source, 0) + len(WORD.findall(r["decoded"]))
-    for source, t in target.items():
-        assert abs(by.get(source, 0) - t) <= 2 * source_mix.BLOCK
+    longest = {}
+    for k in firsts:
+        longest[rows[k]["source"]] = max(longest.get(rows[k]["source"], 0), len(WORD.findall(text[k] or "")))
+    for source, t in target.items():  # a source of this table is one shard, with one seam
+        assert abs(by.get(source, 0) - t) <= 2 * source_mix.BLOCK + longest[source] / 2
 
 
 def test_stages_keep_the_columns_and_take_odd_rows(spark):
