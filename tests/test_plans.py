@@ -46,9 +46,10 @@ def test_domain_rules_read_each_table_once(t):
 
 
 def test_months_are_grouped_before_they_are_formatted(t):
-    p = plan(claims.claims_by_month(t))
-    scan_side = p[p.index("Exchange"):]  # what runs on every claim
-    assert "trunc(" in scan_side and "date_format" not in scan_side and "date_format" in p
+    p = claims.claims_by_month(t)._jdf.queryExecution().optimizedPlan().toString()
+    above, rows = p[:p.index("Aggregate")], p[p.index("\n", p.index("Aggregate")):]  # per group, per claim
+    group = p[p.index("Aggregate"):p.index("\n", p.index("Aggregate"))]
+    assert "trunc(" in rows and "date_format" not in rows and "date_format" in above + group
 
 
 def test_claims_are_aggregated_before_the_receiver_join(t):

@@ -1,4 +1,4 @@
-"""Every registered query under other session settings: AQE off, ANSI off, 200 partitions."""
+"""Every catalogue query under other session settings: AQE off, ANSI off, 200 partitions."""
 
 import os
 
@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from gleaner.plans.catalog import CATALOGUE
 from tests.compare import assert_same
 
 SF = "/root/testdata/sf0.001"
@@ -33,6 +34,6 @@ def variant(spark):
         spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-@pytest.mark.parametrize("key", sorted(QUERIES))
+@pytest.mark.parametrize("key", sorted(CATALOGUE))
 def test_query_matches_oracle_without_aqe_or_ansi(key, spark, con, variant):
     assert_same(QUERIES[key](spark, SF), con, ORACLES[key])

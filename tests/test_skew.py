@@ -39,7 +39,7 @@ def skewed(spark, tmp_path_factory):
                           F.when(third == 1, F.lit(hot_receiver)).otherwise(F.col("Receiver_ID"))))
     frames = dict(t.by_name(), claims=claims)
     for name, df in frames.items():
-        df.write.mode("overwrite").parquet(f"{root}/{name}")
+        df.repartition(8).write.mode("overwrite").parquet(f"{root}/{name}")  # AQE splits by map task
     back = {n: spark.read.parquet(f"{root}/{n}") for n in frames}
     con = duckdb.connect()
     for n in frames:
