@@ -19,9 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.operators.numbering import DELETE, INSERT, number_keyless
 from gleaner.session import ensure_checkpoint_dir
 
-INSERT, UPDATE, DELETE = "insert", "update", "delete"
+UPDATE = "update"
 
 
 def stamp_inserts(changes: DataFrame, column: str = "Timestamp") -> DataFrame:
@@ -63,52 +64,6 @@ def assign_ids(new: DataFrame, key: str, base: Column, order_by: list[str] | Non
             .drop("_pid", "_pos", "_off"))
 
 
-def number_keyless(df: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """``changes`` with an id for every insert without one, as one statement after another would give it.
-
-    Each gets the highest id alive at its ``seq``, plus one. The first one's base is the highest id of the
-    table that no earlier delete removed, or a keyed insert before it; from then on the last new id or a
-    higher keyed insert is the highest. With ``n`` keyless inserts before it, a keyed insert of ``v`` lifts
-    all later new ids to ``v - n`` plus their own number at least, so ids are a running maximum over the
-    sorted inserts, taken per partition and then over one row per partition.
-
-    A delete between keyless inserts that could remove a new id or the highest keyed insert would lower
-    later ids again; such a batch is refused (ValueError): split it after that delete.
-    """
-    op, seq = F.col("op"), F.col("seq")
-    inserts = changes.where(op == INSERT)
-    keyless = inserts.where(F.col(key).isNull())
-    first, last = keyless.agg(F.min("seq"), F.max("seq")).first()  # two numbers
-    if first is None:
-        return changes
-    gone = (changes.where((op == DELETE) & F.col(key).isNotNull()).groupBy(key).agg(F.min("seq").alias("_gone")))
-    alive = df.select(key).join(gone, key, "left").where(F.col("_gone").isNull() | (F.col("_gone") > first))
-    base = alive.agg(F.coalesce(F.max(key), F.lit(0)).cast("long")).first()[0]
-    entered = inserts.where(F.col(key) > base).select(F.col(key).alias("_entered")).distinct()
-    doubtful = (changes.where((op == DELETE) & (F.col(key) > base) & (seq < last))
-                .join(entered, F.col(key) == F.col("_entered"), "left")
-                .where((seq > first) | F.col("_entered").isNotNull()))
-    if doubtful.limit(1).count():
-        raise ValueError("a delete before the last insert without id may remove the highest id: "
-                         "split the batch after that delete")
-
-    ensure_checkpoint_dir(df.sparkSession)
-    staged = inserts.orderBy("seq", key).checkpoint(eager=True)
-    pos = staged.withColumn("_pid", F.spark_partition_id()).withColumn("_pos", F.monotonically_increasing_id())
-    upto = Window.partitionBy("_pid").orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    new = F.col(key).isNull().cast("long")
-    pos = pos.withColumn("_nth", F.sum(new).over(upto))  # keyless inserts so far, this one included
-    # One row per partition: how many keyless inserts it holds, and how far its keyed ones lift.
-    parts = pos.groupBy("_pid").agg(F.max("_nth").alias("_n"), F.max(F.col(key) - F.col("_nth")).alias("_up"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    parts = parts.withColumn("_lift", F.max(F.col("_up") - F.col("_off")).over(before)).select("_pid", "_off", "_lift")
-    own = F.max(F.col(key) - F.col("_nth")).over(upto) - F.col("_off")
-    numbered = pos.join(F.broadcast(parts), "_pid").withColumn(key, F.coalesce(F.col(key), (
-        F.greatest(F.lit(base), F.col("_lift"), own) + F.col("_off") + F.col("_nth")).cast("long")))
-    return changes.where(op != INSERT).unionByName(numbered.select(*changes.columns))
-
-
 def append_rows(df: DataFrame, new: DataFrame, key: str, order_by: list[str] | None = None) -> DataFrame:
     """Insert rows; rows without a key get ``max(key) + 1, ...`` (1 on an empty table)."""
     new = new.select(*df.columns)
@@ -146,6 +101,13 @@ def apply_updates(df: DataFrame, updates: DataFrame, key: str,
                          updatable=updatable)
 
 
+def refuse_unordered_updates(changes: DataFrame, key: str) -> None:
+    """ValueError if two updates of one key share a ``seq``."""
+    same = changes.where((F.col("op") == UPDATE) & F.col(key).isNotNull()).groupBy(key, "seq").count()
+    if same.where("count > 1").limit(1).count():
+        raise ValueError("two updates of one key share a seq")
+
+
 def apply_changes(df: DataFrame, changes: DataFrame, key: str, new_ids: bool = True,
                   updatable: list[str] | None = None) -> DataFrame:
     """The table after all changes, statement by statement in ``seq`` order.
@@ -164,9 +126,7 @@ def apply_changes(df: DataFrame, changes: DataFrame, key: str, new_ids: bool = T
     settable = [c for c in columns if updatable is None or c in updatable]
     changes = changes.withColumn("op", F.lower(F.trim("op")))
     if new_ids:
-        same = changes.where((F.col("op") == UPDATE) & F.col(key).isNotNull()).groupBy(key, "seq").count()
-        if same.where("count > 1").limit(1).count():
-            raise ValueError("two updates of one key share a seq")
+        refuse_unordered_updates(changes, key)
         changes = number_keyless(df, changes, key)
     fold = _fold(changes, key, settable)
     inserts = changes.where((F.col("op") == INSERT))

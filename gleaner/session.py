@@ -56,6 +56,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def workers_find_package(spark: SparkSession) -> None:
+    """A local session's Python workers learn where this package is; a cluster's get it by ``--py-files``."""
+    sc = spark.sparkContext
+    if sc.master.startswith("local"):
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        paths = sc.environment.get("PYTHONPATH", "").split(os.pathsep)
+        sc.environment["PYTHONPATH"] = os.pathsep.join(dict.fromkeys([root, *filter(None, paths)]))
+
+
 def folder_bytes(spark: SparkSession, path: str) -> int:
     """Bytes of all files under ``path``, from the file index: no file is opened."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)

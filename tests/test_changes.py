@@ -134,14 +134,18 @@ def test_a_freed_highest_id_is_given_again(spark):
     assert as_dict(changes.apply_changes(base, ch, "Provider_ID"))[10]["Name"] == "new"
 
 
-def test_batches_without_a_defined_result_are_refused(spark):
-    doubtful = change_rows(spark, [
+def test_an_id_deleted_between_keyless_inserts_is_given_again(spark):
+    top = max(r["Provider_ID"] for r in providers(spark).collect())
+    ch = change_rows(spark, [
         ("insert", 1, None, "x", None, None, None, None, None),
-        ("delete", 2, 6, None, None, None, None, None, None),
+        ("delete", 2, top + 1, None, None, None, None, None, None),
         ("insert", 3, None, "y", None, None, None, None, None),
     ])
-    with pytest.raises(ValueError, match="split the batch"):
-        changes.apply_changes(providers(spark), doubtful, "Provider_ID")
+    out = as_dict(changes.apply_changes(providers(spark), ch, "Provider_ID"))
+    assert out[top + 1]["Name"] == "y" and top + 2 not in out
+
+
+def test_batches_without_a_defined_result_are_refused(spark):
     twice = change_rows(spark, [
         ("update", 1, 1, "x", None, None, None, None, ["Name"]),
         ("update", 1, 1, "y", None, None, None, None, ["Name"]),

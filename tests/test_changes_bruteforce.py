@@ -7,7 +7,11 @@ allowed), partial updates (NULL can be set) and deletes in random order.
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from gleaner.operators.changes import apply_changes
+from gleaner.operators.numbering import Alive, number_keyless
 from gleaner.schema import PROVIDERS, change_schema
 
 COLS = ["Name", "Type", "Address", "City", "Contact"]
@@ -79,27 +83,90 @@ def number_one_by_one(table, changes):
     return rows
 
 
+def sorted_rows(rows):
+    return sorted(rows, key=lambda r: tuple("" if v is None else str(v) for v in r))
+
+
 def test_keyless_inserts_between_other_changes(spark):
     rng = random.Random(3)
-    equal = 0
+    lowered = 0
     for _ in range(14):
         table = [random_row(rng, rng.randint(1, 6)) for _ in range(rng.randint(0, 4))]
         changes = []
         for s in range(rng.randint(3, 8)):
-            op = rng.choice(["insert", "insert", "insert", "update", "delete"])
+            op = rng.choice(["insert", "insert", "insert", "update", "delete", "delete"])
             key = None if op == "insert" and rng.random() < 0.7 else rng.randint(1, 9)
             changes.append((op, s, random_row(rng, key), rng.sample(COLS, 2) if op == "update" else None))
         base = spark.createDataFrame([as_tuple(r) for r in table], PROVIDERS)
         ch_df = spark.createDataFrame([(op, seq, *as_tuple(row), sets) for op, seq, row, sets in changes],
                                       change_schema("providers"))
         keyless = [c[1] for c in changes if c[0] == "insert" and c[2]["Provider_ID"] is None]
-        try:
-            got = apply_changes(base, ch_df, "Provider_ID").collect()
-        except ValueError:
-            assert any(c[0] == "delete" and c[1] < max(keyless) for c in changes)
-            continue
-        key = lambda r: tuple("" if v is None else str(v) for v in r)
-        assert sorted((tuple(r) for r in got), key=key) == sorted(
-            (as_tuple(r) for r in number_one_by_one(table, changes)), key=key)
-        equal += bool(keyless)
-    assert equal >= 5
+        got = apply_changes(base, ch_df, "Provider_ID").collect()
+        assert sorted_rows(tuple(r) for r in got) == sorted_rows(as_tuple(r) for r in number_one_by_one(table, changes))
+        lowered += any(c[0] == "delete" and min(keyless, default=99) < c[1] < max(keyless, default=0) for c in changes)
+    assert lowered >= 5
+
+
+def ids_one_by_one(keys, statements):
+    """The ids that keyless inserts get, by seq; statements are (seq, op, id)."""
+    alive, out = list(keys), {}
+    for seq, op, v in sorted(statements, key=lambda c: (c[0], c[1] == "delete", c[2] is not None)):
+        if op == "insert":
+            if v is None:
+                v = out[seq] = max(alive, default=0) + 1
+            alive.append(v)
+        else:
+            alive = [k for k in alive if k != v]
+    return out
+
+
+def test_walk_of_many_statements_equals_one_at_a_time():
+    """The summaries alone, without Spark: stretches of new ids between critical statements."""
+    rng = random.Random(5)
+    for _ in range(3000):
+        keys = [rng.randint(-3, 9) for _ in range(rng.randint(0, 5))]
+        statements = [(s, *rng.choice([("insert", None), ("insert", None), ("insert", rng.randint(-4, 14)),
+                                       ("delete", rng.randint(-4, 14))])) for s in range(rng.randint(1, 14))]
+        doomed = {v for _, op, v in statements if op == "delete"}
+        floor = max((k for k in keys if k not in doomed), default=None)
+        state = Alive(floor, {k for k in keys if k in doomed and (floor is None or k > floor)}, doomed)
+        got, run = {}, []
+        for s, op, v in statements + [(None, "end", 0)]:
+            if op == "insert" and v is None:
+                run.append(s)
+                continue
+            if run:
+                start = state.give(len(run))
+                got |= {k: start + i + 1 for i, k in enumerate(run)}
+                run = []
+            if op == "insert":
+                state.add(v)
+            elif op == "delete":
+                state.drop(v)
+        assert got == ids_one_by_one(keys, statements)
+
+
+@pytest.mark.parametrize("block", [1, 40, 10**6])
+def test_ids_of_a_batch_that_deletes_what_it_inserts(spark, block):
+    rng = random.Random(block)
+    keys = [rng.randint(1, 60) for _ in range(40)]
+    statements, top = [], max(keys)
+    for s in range(400):
+        kind = rng.random()
+        statements.append((s // 2, "insert", None) if kind < 0.55 else (s // 2, "insert", rng.randint(1, top + 60))
+                          if kind < 0.62 else (s // 2, "delete", top + rng.randint(-30, 60)))
+    unique = list(dict.fromkeys(s for s in statements))  # one keyless insert a seq, so that each has one id
+    base = spark.createDataFrame([(k,) for k in keys], "id long")
+    ch = spark.createDataFrame([(s, op, v) for s, op, v in unique], "seq long, op string, id long").repartition(5)
+    got = number_keyless(base, ch.withColumn("was_new", F.col("id").isNull()), "id", block)
+    want = ids_one_by_one(keys, unique)
+    assert {r["seq"]: r["id"] for r in got.where("was_new").collect()} == want
+    assert got.count() == len(unique) and got.where("id IS NULL").count() == 0
+
+
+def test_ids_without_anything_alive_begin_at_one(spark):
+    base = spark.createDataFrame([(4,)], "id long")
+    ch = spark.createDataFrame([(0, "delete", 4), (1, "insert", None), (2, "delete", 1), (3, "insert", None),
+                                (4, "insert", None), (5, "delete", None)], "seq long, op string, id long")
+    got = number_keyless(base, ch, "id").where("op = 'insert'").collect()
+    assert {r["seq"]: r["id"] for r in got} == {1: 1, 3: 1, 4: 2}
