@@ -6,10 +6,9 @@ each column of the table's schema is parsed with ``try_`` functions so bad value
 turn into NULL instead of failing the job under ANSI mode. ``parse_report``
 counts them.
 
-A quoted field may hold line breaks (``multi_line=True``, the default). Such a
-file cannot be split, so parallelism comes from the number of files; the load
-pays that once and writes Parquet. ``multi_line=False`` splits files and is for
-tables known to have no line breaks inside fields.
+A quoted field may hold line breaks. A file with such fields cannot be split, so
+one task reads it whole; all others are read in splits. Which is which is found
+by a parallel pass over the text; ``multi_line`` states it instead.
 
 Lines with a wrong number of fields keep what fits, and the whole line is kept
 in ``_corrupt_record`` (:func:`bad_records`).
@@ -18,6 +17,7 @@ in ``_corrupt_record`` (:func:`bad_records`).
 from __future__ import annotations
 
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -160,29 +160,56 @@ def parse_report(raw: DataFrame, schema: T.StructType, table: str) -> DataFrame:
                            f"stack({len(names)}, {stack}) AS (column, unparsed)")
 
 
-def read_raw(spark: SparkSession, path: str, multi_line: bool = True, keep_bad: bool = False) -> DataFrame:
+def files_with_breaks(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """The files in which some line has an odd number of quotes, so that a quoted field goes on in the next line, and
+    the others.
+
+    One parallel pass over the text in splits, whatever the files' sizes; one row a file comes back. A stray quote
+    counts as well, which costs that file its parallel read and nothing else.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
+    seen = lines.groupBy("file").agg(F.bool_or(odd).alias("odd")).collect()
+    return tuple(sorted(unquote(r["file"]) for r in seen if r["odd"] == which) for which in (True, False))
+
+
+def read_raw(spark: SparkSession, path: str, multi_line: bool | None = None, keep_bad: bool = False) -> DataFrame:
     """All columns as text, header row used for names, RFC 4180 quoting
     (a doubled quote inside quotes is one quote).
 
+    Files without quoted line breaks are read in splits by many tasks, the others
+    (:func:`files_with_breaks`) whole, one task each; ``multi_line`` states for all
+    of them which it is and saves that pass.
+
     A line with too few fields gets NULLs for the missing ones, one with too many
     loses the last; ``keep_bad`` adds ``_corrupt_record``, the whole line where that
     happened.
     """
-    reader = (spark.read.option("header", True).option("mode", "PERMISSIVE")
-              .option("multiLine", multi_line).option("escape", '"'))
-    if not keep_bad:
-        return reader.csv(path)
-    names = reader.csv(path).columns
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
-    return reader.option("columnNameOfCorruptRecord", CORRUPT).schema(schema).csv(path)
-
-
-def bad_records(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    parts, header_breaks = None, multi_line is True
+    if multi_line is None:
+        whole, plain = files_with_breaks(spark, path)
+        multi_line = bool(whole)
+        # Names in which a reader would look for patterns cannot be given one by one: all files are read whole.
+        named = not any(set("[]{}*?") & set(f) for f in whole + plain)
+        header_breaks = multi_line and named
+        parts = (plain, whole) if whole and plain and named else None
+    reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("escape", '"')
+    # One file's header line: names come from the first file, columns go by their place.
+    names = reader.option("multiLine", header_breaks).csv(path).columns
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names + [CORRUPT] * keep_bad])
+    # A line's number of fields is only compared with the header's where all columns are parsed.
+    reader = reader.option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", not keep_bad).schema(schema)
+    if parts:
+        return reader.option("multiLine", False).csv(parts[0]).unionByName(reader.option("multiLine", True).csv(parts[1]))
+    return reader.option("multiLine", multi_line).csv(path)
+
+
+def bad_records(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
     """The lines whose number of fields differs from the header's: their columns as read, and the whole line."""
     return read_raw(spark, path, multi_line, keep_bad=True).where(F.col(CORRUPT).isNotNull())
 
 
-def malformed_lines(spark: SparkSession, path: str, table: str, multi_line: bool = True) -> DataFrame:
+def malformed_lines(spark: SparkSession, path: str, table: str, multi_line: bool | None = None) -> DataFrame:
     """How many lines :func:`bad_records` holds: (table_name, column, unparsed)."""
     raw = read_raw(spark, path, multi_line, keep_bad=True)
     # Spark reads no CSV for the corrupt column alone: the condition looks at another one too.
@@ -192,8 +219,8 @@ def malformed_lines(spark: SparkSession, path: str, table: str, multi_line: bool
         F.lit(table).alias("table_name"), F.lit("_malformed_lines").alias("column"), "unparsed")
 
 
-def read_csv_table(spark: SparkSession, path: str, table: str) -> DataFrame:
-    return conform(read_raw(spark, path), SCHEMAS[table])
+def read_csv_table(spark: SparkSession, path: str, table: str, multi_line: bool | None = None) -> DataFrame:
+    return conform(read_raw(spark, path, multi_line), SCHEMAS[table])
 
 
 def _missing(e: AnalysisException) -> bool:

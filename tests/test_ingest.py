@@ -3,6 +3,7 @@
 import datetime as D
 
 import pytest
+from pyspark.sql import functions as F
 
 from gleaner.sources import csv as ingest
 from gleaner.sources.store import load_tables, save_tables
@@ -196,3 +197,39 @@ def test_two_frames_of_one_round_trip_live_side_by_side(spark, edge):
     t, _ = edge
     a, b = roundtrip.listings_via_csv(t), roundtrip.listings_via_csv(t)
     assert a.exceptAll(t.listings).count() == 0 and t.listings.exceptAll(b).count() == 0
+
+
+HEAD = "Receiver_ID,Name,Type,City,Contact\n"
+
+
+def test_plain_files_are_read_in_splits_and_broken_ones_whole(spark, tmp_path):
+    folder = tmp_path / "receivers with space"
+    folder.mkdir()
+    plain = [(k, f"name {k}", "NGO", "Goa", "") for k in range(30_000)]
+    write(folder / "a plain.csv", HEAD + "".join(",".join(map(str, r)) + "\n" for r in plain))
+    write(folder / "b broken.csv", HEAD + "".join(f'{k},"two\nlines ""{k}""",NGO,Goa,\n' for k in range(30_000, 30_100)))
+    write(folder / "c even.csv", HEAD + '40000,"say ""x"", so",NGO,Goa,\n')
+    whole, others = ingest.files_with_breaks(spark, str(folder))
+    assert [f.rsplit("/", 1)[1] for f in whole] == ["b broken.csv"]
+    assert [f.rsplit("/", 1)[1] for f in others] == ["a plain.csv", "c even.csv"]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        df = ingest.read_csv_table(spark, str(folder), "receivers")
+        tasks = df.select(F.spark_partition_id()).distinct().count()
+        rows = {r["Receiver_ID"]: r["Name"] for r in df.collect()}
+        one = ingest.read_csv_table(spark, str(folder), "receivers", multi_line=True)
+        assert one.select(F.spark_partition_id()).distinct().count() <= 3  # a file a task
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert tasks >= 10
+    assert len(rows) == 30_101 and rows[17] == "name 17" and rows[40_000] == 'say "x", so'
+    assert rows[30_005] == 'two\nlines "30005"'
+
+
+def test_files_whose_names_are_patterns_are_read_whole(spark, tmp_path):
+    (tmp_path / "r").mkdir()
+    write(tmp_path / "r" / "a[1].csv", HEAD + "1,x,NGO,Goa,\n")
+    write(tmp_path / "r" / "b.csv", HEAD + '2,"y\nz",NGO,Goa,\n')
+    got = {r["Receiver_ID"]: r["Name"] for r in ingest.read_csv_table(spark, str(tmp_path / "r"), "receivers").collect()}
+    assert got == {1: "x", 2: "y\nz"}
