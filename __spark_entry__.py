@@ -103,6 +103,12 @@ def _duplicates_sql() -> str:
         f"GROUP BY {k} HAVING COUNT(*) > 1" for t, k in schema.KEYS.items())
 
 
+def _unexpired(as_of: str) -> str:
+    """Listings of ids that no expired listing has."""
+    return ("(SELECT * FROM food_listings f WHERE f.Food_ID IS NULL OR f.Food_ID NOT IN "
+            f"(SELECT Food_ID FROM food_listings WHERE Expiry_Date < {as_of} AND Food_ID IS NOT NULL))")
+
+
 def _settled_sql(listings: str) -> str:
     """Listings with Quantity := MIN(Quantity) of the key - completed claims, where claimed."""
     return ("SELECT l.Food_ID, l.Food_Name, CASE WHEN d.done IS NULL THEN l.Quantity "
@@ -139,6 +145,13 @@ SUPPLY_OF_PROVIDER = ("(SELECT Provider_ID, COUNT(Food_ID) AS n, SUM(Quantity) A
                       "GROUP BY Provider_ID)")
 
 
+#: Claims once the cancelled are deleted and the pending completed, each by its id.
+CLAIMS_COMPLETED = (
+    "(SELECT Claim_ID, Food_ID, Receiver_ID, CASE WHEN Claim_ID IN (SELECT Claim_ID FROM claims "
+    "WHERE Status = 'Pending') THEN 'Completed' ELSE Status END AS Status FROM claims WHERE Claim_ID IS NULL OR "
+    "Claim_ID NOT IN (SELECT Claim_ID FROM claims WHERE Status = 'Cancelled' AND Claim_ID IS NOT NULL))")
+
+
 def _claims_by_listing(column: str, alias: str, name: str | None = None) -> str:
     """Claims per value of a listing column, from the claims per Food_ID."""
     return (f"SELECT l.{column} AS {name or column}, CAST(SUM(k.n) AS BIGINT) AS {alias} "
@@ -311,6 +324,23 @@ def oracle_bodies(params: dict | None = None) -> dict[str, str]:
             "SELECT City AS city, COUNT(DISTINCT Provider_ID) FILTER (WHERE Type IS NOT NULL) AS a, 0 AS b "
             "FROM providers GROUP BY City UNION ALL SELECT City, 0, "
             "COUNT(DISTINCT Receiver_ID) FILTER (WHERE Type IS NOT NULL) FROM receivers GROUP BY City) GROUP BY city",
+        # Estimates from sketches must be within their stated error, so the flags are all true.
+        "city_counts_sketched":
+            "SELECT p.City, p.n AS Providers, COALESCE(r.n, 0) AS Receivers, TRUE AS Providers_within, "
+            "TRUE AS Receivers_within FROM "
+            "(SELECT City, COUNT(DISTINCT Provider_ID) AS n FROM providers GROUP BY City) p LEFT JOIN "
+            "(SELECT City, COUNT(DISTINCT Receiver_ID) AS n FROM receivers GROUP BY City) r ON r.City = p.City",
+        "city_conditional_sketched":
+            "SELECT city, CAST(SUM(a) AS BIGINT) AS food_providers, CAST(SUM(b) AS BIGINT) AS food_receivers, "
+            "TRUE AS food_providers_within, TRUE AS food_receivers_within FROM ("
+            "SELECT City AS city, COUNT(DISTINCT Provider_ID) FILTER (WHERE Type IS NOT NULL) AS a, 0 AS b "
+            "FROM providers GROUP BY City UNION ALL SELECT City, 0, "
+            "COUNT(DISTINCT Receiver_ID) FILTER (WHERE Type IS NOT NULL) FROM receivers GROUP BY City) GROUP BY city",
+        "monthly_reach_sketched":
+            "SELECT l.Location AS City, CAST(date_trunc('month', c.\"Timestamp\") AS DATE) AS Period, "
+            "COUNT(DISTINCT c.Receiver_ID) AS receivers, COUNT(DISTINCT c.Food_ID) AS listings, "
+            "COUNT(DISTINCT l.Provider_ID) AS providers, TRUE AS receivers_within, TRUE AS listings_within, "
+            "TRUE AS providers_within FROM claims c JOIN food_listings l ON l.Food_ID = c.Food_ID GROUP BY ALL",
         "city_flow":
             "SELECT x.City AS Provider_City, r.City AS Receiver_City, CAST(SUM(k.n) AS BIGINT) AS Total_Transactions "
             "FROM (SELECT Food_ID, Receiver_ID, COUNT(*) AS n FROM claims GROUP BY Food_ID, Receiver_ID) k, "
@@ -319,6 +349,8 @@ def oracle_bodies(params: dict | None = None) -> dict[str, str]:
         # Search and filters.
         "search_listings":
             f"SELECT * FROM food_listings WHERE {_matches(listing_cols, params['listing_pattern'])}",
+        "listings_searched_by_index":
+            f"SELECT * FROM food_listings WHERE {_matches(listing_cols, params['listing_pattern'])}",
         "search_contacts":
             "SELECT Provider_ID, Name, Type, City, Contact FROM providers "
             f"WHERE {_matches(['City', 'Name'], params['contact_pattern'])}",
@@ -347,6 +379,12 @@ def oracle_bodies(params: dict | None = None) -> dict[str, str]:
             "SELECT (SELECT COALESCE(MAX(Claim_ID), 0) FROM claims) + ROW_NUMBER() OVER (ORDER BY "
             '"Timestamp" NULLS FIRST, Food_ID NULLS FIRST, Receiver_ID NULLS FIRST, Claim_ID NULLS FIRST), '
             "Food_ID, Receiver_ID, 'Pending', \"Timestamp\" FROM claims WHERE Status = 'Cancelled'",
+        "claims_withdrawn":
+            'SELECT Claim_ID, Food_ID, Receiver_ID, Status, "Timestamp" FROM claims UNION ALL '
+            "SELECT (SELECT MAX(Claim_ID) FROM claims) + (nth + 1) // 2, Food_ID, Receiver_ID, 'Pending', \"Timestamp\" "
+            'FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY "Timestamp" NULLS FIRST, Food_ID NULLS FIRST, '
+            "Receiver_ID NULLS FIRST, Claim_ID NULLS FIRST) AS nth FROM claims WHERE Status = 'Cancelled') "
+            "WHERE nth % 2 = 1",
         "claims_of_expired":
             "SELECT c.* FROM claims c WHERE c.Food_ID IS NOT NULL AND NOT EXISTS "
             f"(SELECT 1 FROM food_listings l WHERE l.Food_ID = c.Food_ID AND l.Food_ID NOT IN "
@@ -355,12 +393,37 @@ def oracle_bodies(params: dict | None = None) -> dict[str, str]:
         "listings_without_expired":
             "SELECT * FROM food_listings f WHERE f.Food_ID IS NULL OR f.Food_ID NOT IN "
             f"(SELECT Food_ID FROM food_listings WHERE Expiry_Date < {as_of} AND Food_ID IS NOT NULL)",
+        "listings_after_commits": _settled_sql(_unexpired(as_of)),
+        "listings_row_counts":
+            "SELECT CAST(0 AS BIGINT) AS version, COUNT(*) AS row_count FROM food_listings UNION ALL "
+            f"SELECT v, n FROM (SELECT COUNT(*) AS n FROM {_unexpired(as_of)}), "
+            "(SELECT CAST(UNNEST([1, 2]) AS BIGINT) AS v)",
+        "claims_of_two_writers":
+            'SELECT Claim_ID, Food_ID, Receiver_ID, Status, "Timestamp" FROM claims UNION ALL '
+            "SELECT (SELECT MAX(Claim_ID) FROM claims) + ROW_NUMBER() OVER (ORDER BY nth % 2 DESC, nth), "
+            "Food_ID, Receiver_ID, 'Pending', \"Timestamp\" FROM "
+            '(SELECT *, ROW_NUMBER() OVER (ORDER BY "Timestamp" NULLS FIRST, Food_ID NULLS FIRST, '
+            "Receiver_ID NULLS FIRST, Claim_ID NULLS FIRST) AS nth FROM claims WHERE Status = 'Cancelled')",
+        "quantity_kept_by_location":
+            "SELECT Location, COUNT(*) AS listings, CAST(SUM(Quantity) AS BIGINT) AS total_quantity, "
+            "CAST(SUM(Quantity) AS DOUBLE) / NULLIF(COUNT(Quantity), 0) AS avg_quantity FROM "
+            f"({_settled_sql(_unexpired(as_of))}) GROUP BY Location",
+        "reach_kept_by_status":
+            "SELECT Status, COUNT(DISTINCT Receiver_ID) AS receivers, MAX(Claim_ID) AS last_claim "
+            f"FROM {CLAIMS_COMPLETED} GROUP BY Status",
+        "wasted_kept_by_location":
+            "SELECT Location, CAST(SUM(q) - SUM(m * COALESCE(d.n, 0)) AS BIGINT) AS Wasted_Quantity FROM "
+            "(SELECT Food_ID, MIN(Location) AS Location, MIN(Quantity) AS q, COUNT(*) AS m "
+            f"FROM {_unexpired(as_of)} GROUP BY Food_ID) l LEFT JOIN "
+            f"(SELECT Food_ID, COUNT(Claim_ID) AS n FROM {CLAIMS_COMPLETED} WHERE Status = 'Completed' "
+            "GROUP BY Food_ID) d ON d.Food_ID = l.Food_ID GROUP BY Location",
         "listings_quantity_settled": _settled_sql("food_listings"),
         "listings_via_csv": "SELECT * FROM food_listings",
         "claims_via_csv": "SELECT * FROM claims",
-        "listings_after_changes": _settled_sql(
-            "(SELECT * FROM food_listings f WHERE f.Food_ID IS NULL OR f.Food_ID NOT IN "
-            f"(SELECT Food_ID FROM food_listings WHERE Expiry_Date < {as_of} AND Food_ID IS NOT NULL))"),
+        "listings_via_csv_files":
+            "SELECT * REPLACE (CASE WHEN Food_ID % 7 = 0 THEN concat(Food_Name, chr(10), '\"second\", line') "
+            "ELSE Food_Name END AS Food_Name) FROM food_listings",
+        "listings_after_changes": _settled_sql(_unexpired(as_of)),
     }
 
 

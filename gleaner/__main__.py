@@ -33,6 +33,7 @@ from gleaner.schema import KEYS, SCHEMAS, change_schema  # noqa: E402
 from gleaner.sinks.writer import write_result  # noqa: E402
 from gleaner.sources.csv import ingest_report, read_csv_tables  # noqa: E402
 from gleaner.sources.store import load_table, load_tables, save_table, save_tables  # noqa: E402
+from gleaner.sources.versions import VersionedTable, load_versioned, save_versioned  # noqa: E402
 from gleaner.tables import Tables  # noqa: E402
 
 
@@ -53,7 +54,8 @@ def set_unset(spark: SparkSession, settings: dict[str, str]) -> None:
 
 def size_for(spark: SparkSession, args) -> None:
     """Partition sizes for the command's input."""
-    size = args.input_bytes or folder_bytes(spark, args.csv if getattr(args, "csv", None) else args.store)
+    source = next(p for p in (getattr(args, a, None) for a in ("csv", "store", "versions")) if p)
+    size = args.input_bytes or folder_bytes(spark, source)
     set_unset(spark, sized_settings(size, args.cores or spark.sparkContext.defaultParallelism))
 
 
@@ -67,12 +69,15 @@ def parser() -> argparse.ArgumentParser:
     load = sub.add_parser("load", help="CSV folder -> stored parquet tables")
     load.add_argument("--csv", required=True)
     load.add_argument("--store", required=True)
+    load.add_argument("--versioned", type=int, default=None, metavar="BUCKETS",
+                      help="as versioned tables of so many buckets (a next version where they exist)")
 
     for name in ("run", "check", "explain"):
         s = sub.add_parser(name)
         src = s.add_mutually_exclusive_group(required=True)
         src.add_argument("--csv")
         src.add_argument("--store")
+        src.add_argument("--versions", help="folder of versioned tables; their newest versions")
         if name != "explain":
             s.add_argument("--out", required=True)
 
@@ -82,6 +87,12 @@ def parser() -> argparse.ArgumentParser:
     change.add_argument("--changes", required=True, help="Parquet folder of changes (op, seq, columns, set_columns)")
     change.add_argument("--out", required=True, help="folder of the new snapshot; the store stays as it is")
 
+    commit = sub.add_parser("commit", help="a change table -> the next version of one versioned table")
+    commit.add_argument("--versions", required=True)
+    commit.add_argument("--table", required=True, choices=list(SCHEMAS))
+    commit.add_argument("--changes", required=True, help="Parquet folder of changes (op, seq, columns, set_columns)")
+    commit.add_argument("--keep", type=int, default=None, help="versions to retain (default: all)")
+
     explain = sub.choices["explain"]
     explain.add_argument("--query", required=True, help="catalogue key")
 
@@ -111,10 +122,21 @@ def main(argv=None) -> int:
     size_for(spark, args)
 
     if args.cmd == "load":
-        save_tables(read_csv_tables(spark, args.csv), args.store)
+        tables = read_csv_tables(spark, args.csv)
+        if args.versioned:
+            save_versioned(tables, args.store, args.versioned)
+        else:
+            save_tables(tables, args.store)
         write_result(ingest_report(spark, args.csv), f"{args.store}/_ingest_report")
         return 0
 
+    if args.cmd == "commit":
+        table = VersionedTable.open(spark, f"{args.versions}/{args.table}")
+        table.apply(spark.read.schema(change_schema(args.table)).parquet(args.changes))
+        if args.keep:
+            table.expire(args.keep)
+        return 0
+
     if args.cmd == "apply":
         tables = load_tables(spark, args.store)
         changes = spark.read.schema(change_schema(args.table)).parquet(args.changes)
@@ -124,7 +146,8 @@ def main(argv=None) -> int:
         write_checks(Tables(*(new if n == args.table else df for n, df in tables.by_name().items())), f"{args.out}/_checks")
         return 0
 
-    tables = read_csv_tables(spark, args.csv) if args.csv else load_tables(spark, args.store)
+    tables = (read_csv_tables(spark, args.csv) if args.csv else load_versioned(spark, args.versions) if args.versions
+              else load_tables(spark, args.store))
     if args.cmd == "check":
         write_checks(tables, args.out)
         return 0

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from gleaner.operators import cities, claims, listings, parties, search, supply, quality
-from gleaner.plans import roundtrip, upkeep
+from gleaner.plans import approx, roundtrip, upkeep, versioned
 from gleaner.tables import Tables
 
 
@@ -98,8 +98,13 @@ CATALOGUE: dict[str, Metric] = {
     "city_counts_union": Metric(cities.city_counts_union),
     "city_conditional_distinct": Metric(cities.city_conditional_distinct),
     "city_flow": Metric(cities.city_flow),
+    # Distinct counts from sketches, beside the exact ones.
+    "city_counts_sketched": Metric(approx.city_counts_sketched),
+    "city_conditional_sketched": Metric(approx.city_conditional_sketched),
+    "monthly_reach_sketched": Metric(approx.monthly_reach_sketched),
     # Search, dashboard filters, contact list.
     "search_listings": Metric(search.search_listings, ("pattern=listing_pattern",)),
+    "listings_searched_by_index": Metric(roundtrip.listings_searched_by_index, ("pattern=listing_pattern",)),
     "search_contacts": Metric(search.search_contacts, ("pattern=contact_pattern",)),
     "filter_listings": Metric(search.filter_listings, ("location=city", "food_type")),
     "filter_listings_by_provider": Metric(search.filter_listings, ("provider_name",)),
@@ -116,12 +121,21 @@ CATALOGUE: dict[str, Metric] = {
     "listings_without_expired": Metric(upkeep.listings_without_expired, ("as_of",)),
     "listings_quantity_settled": Metric(upkeep.listings_quantity_settled),
     "claims_reissued": Metric(upkeep.claims_reissued),
+    "claims_withdrawn": Metric(upkeep.claims_withdrawn),
     "claims_of_expired": Metric(upkeep.claims_of_expired, ("as_of",)),
     "claims_via_store": Metric(upkeep.claims_via_store),
     "listings_after_changes": Metric(upkeep.listings_after_changes, ("as_of",)),
+    # Change batches through versioned tables; aggregates kept by signed deltas.
+    "listings_after_commits": Metric(versioned.listings_after_commits, ("as_of",)),
+    "listings_row_counts": Metric(versioned.listings_row_counts, ("as_of",)),
+    "claims_of_two_writers": Metric(versioned.claims_of_two_writers),
+    "quantity_kept_by_location": Metric(versioned.quantity_kept_by_location, ("as_of",)),
+    "reach_kept_by_status": Metric(versioned.reach_kept_by_status),
+    "wasted_kept_by_location": Metric(versioned.wasted_kept_by_location, ("as_of",)),
     # CSV ingest on whole tables (each row as a CSV line, parsed back typed).
     "listings_via_csv": Metric(roundtrip.listings_via_csv),
     "claims_via_csv": Metric(roundtrip.claims_via_csv),
+    "listings_via_csv_files": Metric(roundtrip.listings_via_csv_files),
 }
 
 

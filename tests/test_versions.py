@@ -1,0 +1,195 @@
+"""Versioned tables: only touched buckets are rewritten, readers see whole versions, writers do not lose each other's rows."""
+
+import os
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from gleaner.operators.changes import apply_changes
+from gleaner.schema import PROVIDERS, change_schema
+from gleaner.sources import versions
+from gleaner.sources.files import AlreadyThere, Files
+from gleaner.sources.versions import Conflict, VersionedTable
+from tests.test_changes_bruteforce import COLS, as_tuple, number_one_by_one, random_row, sorted_rows
+
+KEY = "Provider_ID"
+
+
+def providers(spark, rows):
+    return spark.createDataFrame([as_tuple(r) for r in rows], PROVIDERS)
+
+
+def batch(spark, changes):
+    return spark.createDataFrame([(op, seq, *as_tuple(row), sets) for op, seq, row, sets in changes],
+                                 change_schema("providers"))
+
+
+def some(n, first=1):
+    rng = random.Random(n)
+    return [random_row(rng, k) for k in range(first, first + n)]
+
+
+def rows_of(df):
+    return sorted_rows(tuple(r) for r in df.collect())
+
+
+def files_of(table, number):
+    return {(r["bucket"], r["commit"]) for r in table.entries(table.version(number)).collect()}
+
+
+@pytest.fixture
+def table(spark, tmp_path):
+    return VersionedTable.create(providers(spark, some(200)), str(tmp_path / "t"), KEY, 16)
+
+
+def test_a_batch_rewrites_only_the_buckets_of_its_keys(spark, table):
+    before = files_of(table, 0)
+    rng = random.Random(1)
+    changes = [("update", 1, random_row(rng, 7), ["Name"]), ("delete", 2, random_row(rng, 90), None),
+               ("insert", 3, random_row(rng, 999), None)]
+    table.apply(batch(spark, changes))
+    after = files_of(table, 1)
+    touched = {r[0] for r in spark.createDataFrame([(7,), (90,), (999,)], "Provider_ID long").select(table.bucket_of()).collect()}
+    assert {b for b, _ in before ^ after} == touched and len(touched) == 3
+    assert {e for e in before if e[0] not in touched} == {e for e in after if e[0] not in touched}
+    assert rows_of(table.read()) == sorted_rows(as_tuple(r) for r in number_one_by_one(some(200), changes))
+    assert rows_of(table.read(0)) == sorted_rows(as_tuple(r) for r in some(200))
+
+
+def test_random_batches_equal_one_statement_at_a_time(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [random_row(rng, rng.randint(1, 30)) for _ in range(25)]
+    table = VersionedTable.create(providers(spark, rows), str(tmp_path / "t"), KEY, 4)
+    for k in range(5):
+        changes = []
+        for s in range(25):
+            op = rng.choice(["insert", "insert", "insert", "update", "delete", "delete"])
+            top = max((r[KEY] for r in rows), default=0)
+            key = None if op == "insert" and rng.random() < 0.7 else rng.randint(max(1, top - 5), top + 12)
+            changes.append((op, s, random_row(rng, key), rng.sample(COLS, 2) if op == "update" else None))
+        rows = number_one_by_one(rows, changes)
+        table.apply(batch(spark, changes))
+        assert rows_of(table.read()) == sorted_rows(map(as_tuple, rows))
+        assert table.row_count() == len(rows) and table.numbers() == list(range(k + 2))
+
+
+def test_the_fold_over_buckets_equals_the_fold_over_the_table(spark, table):
+    rng = random.Random(9)
+    changes = [(rng.choice(["insert", "update", "delete"]), s, random_row(rng, rng.randint(1, 260)), ["Name", "City"])
+               for s in range(120)]
+    whole = apply_changes(providers(spark, some(200)), batch(spark, changes), KEY)
+    table.apply(batch(spark, changes))
+    assert rows_of(table.read()) == rows_of(whole)
+
+
+def test_a_killed_writer_leaves_the_old_version(spark, table, monkeypatch):
+    def killed(*args):
+        raise KeyboardInterrupt
+
+    changes = batch(spark, [("delete", 1, random_row(random.Random(1), 5), None)])
+    with monkeypatch.context() as m:
+        m.setattr(Files, "write_new", killed)
+        with pytest.raises(KeyboardInterrupt):
+            table.apply(changes)
+    assert table.numbers() == [0] and table.read().count() == 200
+    data = set(os.listdir(f"{table.root}/data"))
+    assert len(data) == 2  # what the killed writer left
+    table.apply(changes)
+    assert table.read().count() == 199
+    assert table.sweep(before_ms=0) == []  # nothing is old enough
+    gone = table.sweep(before_ms=2**62)
+    assert len(gone) == 1 and set(gone) < data
+    assert table.read().count() == 199 and table.read(0).count() == 200
+
+
+def test_two_writers_from_one_version_get_disjoint_ids(spark, table):
+    rng = random.Random(2)
+
+    def inserts(n):
+        return batch(spark, [("insert", s, random_row(rng, None), None) for s in range(n)])
+
+    first, second = inserts(5), inserts(7)
+    table.apply(second, before_publishing=lambda: table.apply(first))
+    ids = [r[0] for r in table.read().select(KEY).collect()]
+    assert sorted(ids) == list(range(1, 213)) and table.numbers() == [0, 1, 2]
+    by_first = {r[0] for r in table.read(1).select(KEY).collect()}
+    assert by_first == set(range(1, 206))
+    assert len(os.listdir(f"{table.root}/data")) == 3  # the try that lost is gone
+
+
+def test_a_writer_that_always_loses_gives_up(spark, table):
+    one = batch(spark, [("insert", 1, random_row(random.Random(1), None), None)])
+    with pytest.raises(Conflict):
+        table.apply(one, tries=1, before_publishing=lambda: table.apply(one))
+
+
+def test_a_retried_transaction_is_done_once(spark, table):
+    one = batch(spark, [("insert", 1, random_row(random.Random(1), None), None)])
+    table.apply(one, transaction=("stream", 0))
+    again = table.apply(one, transaction=("stream", 0))
+    assert again.number == 1 and table.row_count() == 201
+    table.apply(one, transaction=("other", 0))
+    table.apply(one, transaction=("stream", 1))
+    assert table.row_count() == 203 and table.version().transactions == {"stream": 1, "other": 0}
+
+
+def test_expired_versions_take_only_their_own_files(spark, table):
+    rng = random.Random(6)
+    for k in (3, 4, 5):
+        table.apply(batch(spark, [("delete", 1, random_row(rng, k), None)]))
+    table.expire(keep=2)
+    assert table.numbers() == [2, 3]
+    assert table.read(2).count() == 198 and table.read(3).count() == 197
+    held = files_of(table, 2) | files_of(table, 3)
+    on_disk = {(int(b.split("=")[1]), c) for c in os.listdir(f"{table.root}/data")
+               for b in os.listdir(f"{table.root}/data/{c}") if b.startswith("bucket=")}
+    assert on_disk == held
+    with pytest.raises(ValueError):
+        table.expire(keep=0)
+
+
+def test_replace_reopen_and_empty_tables(spark, tmp_path):
+    empty = VersionedTable.create(providers(spark, []), str(tmp_path / "e"), KEY, 4)
+    assert empty.read().count() == 0 and empty.row_count() == 0 and empty.read().schema == PROVIDERS
+    empty.apply(batch(spark, [("insert", 1, random_row(random.Random(1), None), None)]))
+    assert [r[0] for r in VersionedTable.open(spark, empty.root).read().select(KEY).collect()] == [1]
+    empty.replace(providers(spark, some(20)))
+    assert empty.row_count() == 20 and empty.row_count(1) == 1
+    empty.replace(providers(spark, []))
+    assert empty.row_count() == 0
+    with pytest.raises(AlreadyThere):
+        VersionedTable.create(providers(spark, []), str(tmp_path / "e"), KEY, 4)
+    with pytest.raises(ValueError):
+        VersionedTable.create(spark.createDataFrame([(1, 2)], "id long, Bucket long"), str(tmp_path / "f"), "id", 4)
+    keyless = VersionedTable.create(spark.createDataFrame([(None, "a"), (1, None)], "id long, v string"), str(tmp_path / "k"),
+                                    ["id", "v"], 4)
+    assert rows_of(keyless.read()) == sorted_rows([(None, "a"), (1, None)])
+
+
+def test_a_bucket_that_one_key_fills_is_written_by_several_tasks(spark, tmp_path):
+    conf = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.shuffle.partitions": "4"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        hot = spark.range(60_000).select(F.lit(5).cast("long").alias("id"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+        table = VersionedTable.create(hot.repartition(8), str(tmp_path / "h"), "id", 8)
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    (commit,) = {c for _, c in files_of(table, 0)}
+    (bucket,) = [b for b in os.listdir(f"{table.root}/data/{commit}") if b.startswith("bucket=")]
+    parts = [f for f in os.listdir(f"{table.root}/data/{commit}/{bucket}") if f.endswith(".parquet")]
+    assert len(parts) > 2 and table.row_count() == 60_000
+
+
+def test_an_id_needs_only_the_deleted_keys_buckets(spark, table, monkeypatch):
+    """Numbering reads keys of the buckets that deletes name; of the others their highest id stands in the entries."""
+    seen = []
+    real = versions.number_keyless
+    monkeypatch.setattr(versions, "number_keyless", lambda df, *a: (seen.append(df.count()), real(df, *a))[1])
+    rng = random.Random(8)
+    table.apply(batch(spark, [("delete", 1, random_row(rng, 200), None), ("insert", 2, random_row(rng, None), None)]))
+    assert sorted(r[0] for r in table.read().select(KEY).collect()) == list(range(1, 201))
+    assert seen and seen[0] < 50
