@@ -15,8 +15,9 @@ are carried along the trie's edges; branches where every state is beyond the
 bound are left. How many edits a term may have goes by its own length. Words
 within so many edits of a term share with it a word that both give by as many
 deletions, so an index of the terms' deletions tells which part of the trie can
-meet a word at all; most words meet none. Each distinct word is looked up once
-per worker. Words near a term that clean texts of the sample use are ordinary
+meet a word at all. Most words meet none: hashes of all deletions of the distinct
+words of a slice of texts are looked up at once, in flat arrays, and only words
+with a hit go on to the trie. Words near a term that clean texts of the sample use are ordinary
 words, not misspellings; how far the other forms of a term can be trusted is
 learned as well.
 
@@ -58,7 +59,6 @@ LONG_TERM = 32
 SPAN = 6
 #: Share of a term's weight that its misspelled forms have if the sample holds none at all.
 UNSEEN_TRUST = 0.8
-CACHE_WORDS = 400_000
 
 WORD = re.compile(r"\w+")
 
@@ -118,6 +118,33 @@ class Trie:
         return found
 
 
+BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Numbers in an array of hashes at once.
+HASHES = 1 << 21
+
+
+def deletion_hashes(words: list[str], k: int) -> np.ndarray:
+    """Hashes of words of one length, a row each, with up to ``k`` (0, 1 or 2) letters taken out in every way."""
+    n = len(words[0])
+    chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(len(words), n)
+    power = np.cumprod(np.append(np.uint64(1), np.full(n + 1, BASE)), dtype=np.uint64)
+    before = np.zeros((len(words), n + 1), dtype=np.uint64)  # hash of the letters before each place
+    for i in range(n):
+        before[:, i + 1] = before[:, i] * BASE + chars[:, i] + np.uint64(1)
+    out = [before[:, n:]]
+    if k and n:
+        # Without letter i: what stands before it, moved up by what stands behind it, and that.
+        shift = power[n - 1 - np.arange(n)]
+        behind = before[:, n:] - before[:, 1:] * shift
+        one = before[:, :n] * shift + behind
+        out.append(one)
+        if k > 1 and n > 1:
+            i, j = np.triu_indices(n, 1)
+            step = (before[:, :n - 1] - before[:, 1:n]) * power[n - 2 - np.arange(n - 1)]
+            out.append(step[:, i] + one[:, j])
+    return np.concatenate(out, axis=1)
+
+
 class Lexicon:
     """The terms, by what deletions leave of them."""
 
@@ -133,6 +160,39 @@ class Lexicon:
                 for rest in deletions(term, k) if k else ():
                     self.by_rest.setdefault(rest, []).append(term)
         self.edits = {n: k for n, k in lengths.items() if k}
+        # The rests' hashes, and a table with a bit for each, which most other hashes miss.
+        bits = max(16, int(np.ceil(np.log2(max(1, len(self.by_rest)) * 32))))
+        self.shift = np.uint64(64 - bits)
+        self.table = np.zeros(1 << bits, dtype=bool)
+        by_length: dict[int, list[str]] = {}
+        for rest in self.by_rest:
+            by_length.setdefault(len(rest), []).append(rest)
+        hashes = [deletion_hashes(rests, 0)[:, 0] for rests in by_length.values()]
+        self.hashes = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *hashes]))
+        self.table[self._places(self.hashes)] = True
+
+    def _places(self, hashes: np.ndarray) -> np.ndarray:
+        return (((hashes ^ (hashes >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)) >> self.shift).astype(np.int64)
+
+    def may_meet(self, words: list[str]) -> list[str]:
+        """``words`` without most of those that are near no term; no other is left out."""
+        by_length: dict[int, list[str]] = {}
+        for w in words:
+            if len(w) in self.edits:
+                by_length.setdefault(len(w), []).append(w)
+        out = []
+        for n, some in by_length.items():
+            if n > LONG_TERM + 2 or any(abs(len(t) - n) <= self.edits[n] for t in self.long):
+                out += some
+                continue
+            step = max(1, HASHES // (n * n + 1))
+            for a in range(0, len(some), step):
+                hashes = deletion_hashes(some[a:a + step], self.edits[n])
+                word, which = np.nonzero(self.table[self._places(hashes)])
+                found = hashes[word, which]
+                at = np.minimum(np.searchsorted(self.hashes, found), len(self.hashes) - 1)
+                out += [some[a + k] for k in np.unique(word[self.hashes[at] == found]).tolist()] if len(word) else []
+        return out
 
     def near(self, word: str) -> list[tuple[str, int]]:
         """(term, distance) of all terms within the edits that they may have."""
@@ -164,8 +224,6 @@ class Model:
 
     def __post_init__(self):
         self.lexicon = Lexicon(self.weights)
-        self.longest = max(map(len, self.weights), default=0) + 2
-        self.cache: dict[str, tuple[str, int] | None] = {}
 
     def __getstate__(self):
         return self.weights, self.trust, self.ordinary, self.evidence
@@ -174,35 +232,28 @@ class Model:
         self.weights, self.trust, self.ordinary, self.evidence = state
         self.__post_init__()
 
-    def look_up(self, word: str) -> tuple[str, int] | None:
-        """The term that ``word`` stands for, and the distance."""
-        if len(word) > self.longest or word in self.ordinary:
-            return None
-        if word in self.cache:
-            return self.cache[word]
-        if len(self.cache) >= CACHE_WORDS:  # words of bounded length
-            self.cache.clear()
-        hit = self.cache[word] = self.lexicon.closest(word, self.weights)
-        return hit
-
-    def hits(self, lower: str) -> tuple[list[tuple[int, int]], list[tuple[int, str, int]]]:
-        """Where each word of a text in small letters stands, and (word number, term, distance) of each hit."""
-        matched = {w: hit for w in set(WORD.findall(lower)) if (hit := self.look_up(w))}
-        if not matched:
-            return [], []
-        spans, hits = [], []
-        for m in WORD.finditer(lower):
-            if m.group() in matched:
-                hits.append((len(spans), *matched[m.group()]))
-            spans.append(m.span())
-        return spans, hits
-
-    def features(self, text: str | None) -> list[float]:
-        """What the regression sees of a text."""
-        lower = (text or "").lower()
-        spans, hits = self.hits(lower)
-        if not hits:
+    def look_up(self, words: set[str]) -> dict[str, tuple[str, int]]:
+        """Of ``words``, those that stand for a term: the term and the distance."""
+        out = {w: (w, 0) for w in words if w in self.weights}
+        others = [w for w in words if w not in self.weights and w not in self.ordinary]
+        for w in self.lexicon.may_meet(others):
+            hit = self.lexicon.closest(w, self.weights)
+            if hit:
+                out[w] = hit
+        return out
+
+    def features(self, texts: list[str | None]) -> list[list[float]]:
+        """What the regression sees of each text."""
+        lower = [(t or "").lower() for t in texts]
+        words = [WORD.findall(t) for t in lower]
+        matched = self.look_up(set().union(*words))
+        return [self._features(t, w, matched) for t, w in zip(lower, words)]
+
+    def _features(self, lower: str, words: list[str], matched: dict[str, tuple[str, int]]) -> list[float]:
+        if not matched or matched.keys().isdisjoint(words):
             return [0.0] * 7
+        spans = [m.span() for m in WORD.finditer(lower)]
+        hits = [(at, *matched[w]) for at, w in enumerate(words) if w in matched]
         found, fuzzy, quoted, aimed, most = [], 0.0, 0.0, 0, 0.0
         for at, term, distance in hits:
             share = context(lower, spans, at)
@@ -220,7 +271,7 @@ class Model:
     def score(self, texts: list[str | None]) -> np.ndarray:
         if self.evidence is None:
             return np.zeros(len(texts))
-        x = np.array([self.features(t) for t in texts], dtype=np.float64).reshape(len(texts), 7)
+        x = np.array(self.features(texts), dtype=np.float64).reshape(len(texts), 7)
         return 1 / (1 + np.exp(-self.evidence.logit(x)))
 
 
@@ -284,11 +335,12 @@ def forms(counts: DataFrame, model: Model) -> list:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits = [shared.value.look_up(w) for w in batch.column("word").to_pylist()]
-            near = pa.array([bool(h and h[1]) for h in hits])
-            rows = batch.filter(near)
-            yield pa.RecordBatch.from_arrays([rows.column("word"), pa.array([h[0] for h in hits if h and h[1]], pa.string()),
-                                              rows.column("a"), rows.column("b")], names=["word", "term", "a", "b"])
+            words = batch.column("word").to_pylist()
+            hits = {w: term for w, (term, distance) in shared.value.look_up(set(words)).items() if distance}
+            rows = batch.filter(pa.array([w in hits for w in words]))
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("word"), pa.array([hits[w] for w in words if w in hits], pa.string()),
+                 rows.column("a"), rows.column("b")], names=["word", "term", "a", "b"])
 
     return counts.mapInArrow(run, "word string, term string, a double, b double").collect()
 
@@ -317,14 +369,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            x = [shared.value.features(t) for t in batch.column("text").to_pylist()]
+            x = shared.value.features(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
 
-    got = rows.mapInArrow(look, "y long, x array<double>").orderBy("y", "x").toPandas()  # at most ``most`` rows
+    got = rows.mapInArrow(look, "y long, x array<double>").toPandas()  # at most ``most`` rows
     y = got["y"].to_numpy(dtype=np.int64)
     if not len(y) or y.min() == y.max():
         return Model({})
-    model.evidence = Evidence.fit(np.stack(got["x"].to_numpy()), y)
+    x = np.stack(got["x"].to_numpy())
+    order = np.lexsort((*x.T, y))  # so that sums do not depend on the tasks' order
+    model.evidence = Evidence.fit(x[order], y[order])
     return model
 
 

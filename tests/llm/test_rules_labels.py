@@ -218,6 +218,24 @@ def test_automata_find_every_near_term():
         assert sorted(trie.near(word)) == want
         # The index may leave out a term that allows no edit, which is only looked up exactly.
         assert sorted(lexicon.near(word)) == [x for x in want if toxic_terms.allowed(x[0])]
+        assert not lexicon.near(word) or lexicon.may_meet([word]) == [word]
+
+
+def test_hashes_of_deletions_equal_those_of_the_words():
+    for word in ("a", "ab", "scum", "idiot", "disgusting", "été漢😀x"):
+        for k in (0, 1, 2):
+            got = set(toxic_terms.deletion_hashes([word, word[::-1]], k)[0].tolist())
+            rests = [w for w in toxic_terms.deletions(word, k) if w] if len(word) > k else [word]
+            want = {int(toxic_terms.deletion_hashes([w], 0)[0, 0]) for w in rests}
+            assert want <= got and len(got) == len(want) or len(word) <= k
+
+
+def test_most_words_meet_no_term():
+    lexicon = toxic_terms.Lexicon(random_words(1, 300, longest=14))
+    words = list(set(random_words(2, 5000, longest=14)))
+    met = set(lexicon.may_meet(words))
+    near = {w for w in words if lexicon.near(w)}
+    assert near <= met and len(met - near) < 0.2 * len(words)
 
 
 def test_edits_go_by_the_length_of_the_term():
@@ -308,7 +326,8 @@ def test_ordinary_words_near_a_term_are_no_hits(spark):
     rows = [(k, t + (" scoundrels" if k % 4 in (1, 2) and k < 100 else ""), *rest) for k, t, *rest in rows]
     model = toxic_terms.fit(odd_docs(spark, rows), labels(spark, marks))
     assert "scoundrels" in model.ordinary and "scoundrel" in model.weights
-    assert model.features("all scoundrels") == [0.0] * 7 != model.features("a scoundrl")
+    ordinary, misspelt = model.features(["all scoundrels", "a scoundrl"])
+    assert ordinary == [0.0] * 7 != misspelt
 
 
 def test_held_out_labels_are_never_read(spark):
