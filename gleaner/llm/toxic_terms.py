@@ -120,7 +120,7 @@ class Trie:
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Numbers in an array of hashes at once.
-HASHES = 1 << 21
+HASHES = 1 << 18
 
 
 def deletion_hashes(words: list[str], k: int) -> np.ndarray:
@@ -306,10 +306,9 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist()):
-                words = sorted(set(WORD.findall(text.lower())))
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([y] * len(words), pa.int64())],
-                                                 names=["word", "y"])
+            found = [pa.array(set(WORD.findall(t.lower())), pa.string()) for t in batch.column("text").to_pylist()]
+            y = np.repeat(batch.column("y").to_numpy(), [len(w) for w in found])
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(found), pa.array(y)], names=["word", "y"])
 
     return rows.mapInArrow(run, "word string, y long").groupBy("word").agg(
         F.sum("y").cast("double").alias("a"), F.sum(1 - F.col("y")).cast("double").alias("b"))
