@@ -19,7 +19,8 @@ distinct texts. ``corpus_pipeline`` counts so; ``op1_site_lines`` counts rows, a
 Defined cases: NULL text stays NULL (0 lines) and counts as a page; blank lines
 are never counted nor dropped; a text that loses all lines becomes empty; NULL
 hosts are one host; each row is a page, repeated rows too (with ``per_text`` each
-distinct text, and NULL is none); an empty table gives an empty result; columns of other names are passed through or not read.
+distinct text, and NULL is none); an empty table gives an empty result; columns of other names are passed through or not read; texts are read whole,
+a very long one as one array of its lines.
 """
 
 from __future__ import annotations

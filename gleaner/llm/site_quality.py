@@ -18,7 +18,8 @@ those rows.
 Defined cases: NULL hosts and paths are sites of their own; NULL and empty texts
 are scored by their (zero) statistics; without labelled rows of both classes the
 evidence is 0.5 for all, and all are kept; repeated rows get equal results; an
-empty table gives an empty result. Texts are read whole.
+empty table gives an empty result; other columns cannot clash (rows are packed, or
+the names avoided). Texts are read whole.
 """
 
 from __future__ import annotations

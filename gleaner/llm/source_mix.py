@@ -19,7 +19,9 @@ source with a third of all rows is spread over its shards.
 
 Defined cases: NULL and empty texts have size 0 and nothing is taken of them; NULL
 sources are one source, ordered last; rows that share id and source are ordered by
-size; a table without words takes nothing; an empty table gives an empty result.
+size; a table without words takes nothing; an empty table gives an empty result;
+names of other columns cannot clash (``mixed_rows`` packs the row); texts are
+counted, and mixed, whole.
 """
 
 from __future__ import annotations
