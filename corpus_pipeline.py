@@ -4,6 +4,14 @@
 Parquet under the session's ``spark.checkpoint.dir`` and read again, which cuts
 the lineage. Every stage takes (spark, docs, sf_dir); all but the last return
 the columns of ``documents``.
+
+Defined cases, as the operators have them: NULL texts count as empty (the quality
+rules reject texts without words, so they go in the first stage where labels teach
+it to); rows that share id and text stay apart until near-dedup, which keeps one
+of them; rows without id are near nothing and stay; a NULL source is one source;
+empty tables pass through every stage; columns of other names, also such as the
+operators use themselves, are carried along up to the last stage, which returns
+ids and decoded text; texts are whole in every stage, however long.
 """
 
 from __future__ import annotations
@@ -32,7 +40,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: documents as often, and as far, as their source's quota takes them."""
+    """The mix: whole documents, as often as their source's quota takes them."""
     return source_mix.mixed_rows(docs)
 
 
