@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gleaner.session import ensure_checkpoint_dir
 
@@ -19,3 +20,13 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of ids that may be broadcast: a few dozen MB in an executor.
+BROADCAST_IDS = 1 << 20
+
+
+def ids_to_join(ids: DataFrame, name: str = "ids") -> DataFrame:
+    """``ids`` (one long column), written; to be broadcast if they are at most ``BROADCAST_IDS``, else joined by a shuffle."""
+    held = cut(ids, name)
+    return F.broadcast(held) if held.count() <= BROADCAST_IDS else held

@@ -58,7 +58,7 @@ from pyspark.sql import functions as F
 from gleaner.llm.blocks import by_block, whole_groups
 from gleaner.llm.components import components
 from gleaner.llm.flat import slices
-from gleaner.llm.lineage import cut
+from gleaner.llm.lineage import cut, ids_to_join
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -353,7 +353,7 @@ def verified(blocks: DataFrame, equal: DataFrame, docs: DataFrame, id_col: str,
     members = cut(blocks, "blocks").join(equal.select("rep", "n", "signature"), "rep")
     likely = cut(likely_members(by_block(members, BLOCK_KEYS)), "likely")
     texts = cut(docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-                .join(likely.select("rep").distinct(), "rep").groupBy("rep").agg(F.min("text").alias("text")), "texts")
+                .join(ids_to_join(likely.select("rep").distinct()), "rep").groupBy("rep").agg(F.min("text").alias("text")), "texts")
     return cut(links(by_block(likely.join(texts, "rep"), BLOCK_KEYS)), "links")
 
 
@@ -387,13 +387,13 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Rows that share the kept id become one; rows without an id stay.
     """
     named = classes(docs, id_col, text_col)
-    gone = cut(named.where(F.col("class_id") != F.col(id_col)).select(F.col(id_col).cast("long").alias("_gone"))
-               .distinct(), "gone")
+    gone = ids_to_join(named.where(F.col("class_id") != F.col(id_col)).select(F.col(id_col).cast("long").alias("_gone"))
+                       .distinct(), "gone")
     packed = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"),
                          F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     left = packed.join(gone, F.col("_id") == F.col("_gone"), "left_anti")
-    again = cut(left.where("_id IS NOT NULL").groupBy("_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-                .select(F.col("_id").alias("_twice")), "twice")
+    again = ids_to_join(left.where("_id IS NOT NULL").groupBy("_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+                        .select(F.col("_id").alias("_twice")), "twice")
     marked = left.join(again, F.col("_id") == F.col("_twice"), "left")
     once = marked.where("_twice IS NULL").select("_row.*")
     return once.unionByName(marked.where("_twice IS NOT NULL").groupBy("_id").agg(F.min("_row").alias("_row"))
