@@ -72,7 +72,7 @@ BLOCK_KEYS = ["t", "key", "low", "high"]
 #: Tables whose large buckets are seeded, and pivots of a bucket (on average).
 SEED_TABLES, PIVOTS = 2, 8
 CHUNK = 1 << 14
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 WORD = re.compile(r"\w+")
 _rng = np.random.default_rng(5)

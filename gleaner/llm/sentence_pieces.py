@@ -42,7 +42,7 @@ from gleaner.llm.flat import slices
 SPACE = "▁"
 LETTER = re.compile(r"[^\W\d_]")
 NO_PAIR = np.int64(1) << 40
-CACHE_WORDS = 800_000
+CACHE_WORDS = 200_000
 
 
 class PieceModel:
