@@ -68,8 +68,7 @@ def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_isolation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule statistics and verdict of every document."""
-    docs = table(spark, sf_dir, "documents")
-    return isolation_rules.apply(docs, isolation_rules.fit(docs, table(spark, sf_dir, "labels")))
+    return isolation_rules.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op5_sign_hash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Quality classifier by hierarchical empirical Bayes: document evidence with host and path posteriors.
 
-A logistic regression on text statistics, fitted on a bounded sample of labelled
-rows (``MAX_LABELLED``), gives each document a probability of good quality. The
+A logistic regression on text statistics, fitted on all labelled rows (each step of
+Newton's method is a sum over tasks), gives each document a probability of good quality. The
 mean of these over all documents is the global prior. Each host's rate is
 shrunk toward it, and each path's rate toward its host's, as if ``k`` more
 documents of the parent had been seen; both ``k`` come from the method of
@@ -24,18 +24,19 @@ the names avoided). Texts are read whole.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleaner.llm.flat import add_columns, fresh
 from gleaner.llm.lineage import cut
-from gleaner.llm.text_stats import labelled_sample, ratios, stats_of
+from gleaner.llm.text_stats import STATS, labelled, over_all, ratios, stats_of, stored_stats
 
-MAX_LABELLED = 8_000
 RIDGE = 1.0
 #: Bounds of the prior strengths; the evidence stays within these log-odds.
 WEAKEST, STRONGEST, MOST_LOGIT = 1.0, 1e6, 12.0
@@ -60,31 +61,56 @@ class Evidence:
 
     @staticmethod
     def fit(x: np.ndarray, y: np.ndarray) -> Evidence:
-        if len(y) == 0 or y.min() == y.max():
-            k = x.shape[1]
+        """Of rows in memory."""
+        return Evidence.of(lambda part: part(x, y) if len(y) else None, x.shape[1])
+
+    @staticmethod
+    def of(total: Callable, k: int) -> Evidence:
+        """Of rows anywhere: ``total(part)`` adds ``part(x, y)`` up over all of them (None without rows)."""
+        sums = total(lambda x, y: np.concatenate([[len(y), y.sum()], x.sum(axis=0)]))
+        if sums is None or sums[1] in (0, sums[0]):
             return Evidence(np.zeros(k), np.ones(k), np.zeros(k + 1), 0.5)
-        mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
-        z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
-        w = np.zeros(z.shape[1])
-        penalty = RIDGE * np.append(np.ones(x.shape[1]), 1e-6)
-        for _ in range(50):  # Newton's method
+        n, mean = sums[0], sums[2:] / sums[0]
+        scale = np.maximum(np.sqrt(total(lambda x, y: ((x - mean) ** 2).sum(axis=0)) / n), 1e-6)
+        w, penalty = np.zeros(k + 1), RIDGE * np.append(np.ones(k), 1e-6)
+
+        def newton(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
             p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty),
-                                   z.T @ (y - p) - penalty * w)
-            w += step
+            return np.concatenate([((z * (p * (1 - p))[:, None]).T @ z).ravel(), z.T @ (y - p)])
+
+        for _ in range(50):  # Newton's method
+            found = total(newton)
+            step = np.linalg.solve(found[:-k - 1].reshape(k + 1, k + 1) + np.diag(penalty),
+                                   found[-k - 1:] - penalty * w)
+            w = w + step
             if np.abs(step).max() < 1e-8:
                 break
-        return Evidence(mean, scale, w, float(y.mean()))
+        return Evidence(mean, scale, w, float(sums[1] / n))
 
     def logit(self, x: np.ndarray) -> np.ndarray:
         z = (x - self.mean) / self.scale
         return np.clip(z @ self.weights[:-1] + self.weights[-1], -MOST_LOGIT, MOST_LOGIT)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MAX_LABELLED) -> Evidence:
-    """Fit on at most ``most`` labelled documents."""
-    stats, y = labelled_sample(docs, labels, label, most)
-    return Evidence.fit(features(stats), y)
+def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id") -> Evidence:
+    """Fit on all labelled rows of :func:`stored_stats`; sums over tasks, one row a task and a pass to the driver."""
+    rows = labelled(stats, labels, label, id_col)
+    return Evidence.of(lambda part: over_all(rows, lambda s, y: part(features(s), y)),
+                       features(np.zeros((1, len(STATS)), dtype=np.int64)).shape[1])
+
+
+def stats_evidence(stats: DataFrame, model: Evidence, name: str) -> DataFrame:
+    """``stats`` with the model's log-odds of each row in a column ``name`` in place of STATS."""
+    kept = [c for c in stats.columns if c not in STATS]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in STATS])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(model.logit(features(s)))],
+                                             names=[*kept, name])
+
+    return stats.mapInArrow(run, T.StructType([*(stats.schema[c] for c in kept), T.StructField(name, T.DoubleType())]))
 
 
 def with_evidence(docs: DataFrame, model: Evidence, name: str, text_col: str = "text") -> DataFrame:
@@ -145,10 +171,10 @@ def combine(rows: DataFrame, rates: DataFrame, host: str, path: str, logit: str,
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              host_col: str = "source", path_col: str = "lang") -> DataFrame:
     """(id, evidence, host_rate, path_rate, score, kept) of every document."""
-    model = fit(docs, labels)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(host_col).alias("_host"),
-                       F.col(path_col).alias("_path"), F.col(text_col).alias("_text"))
-    rows = with_evidence(rows, model, "_logit", "_text").drop("_text")
+    stats = stored_stats(docs, {"id": id_col, "host": host_col, "path": path_col}, text_col)
+    model = fit(stats, labels, id_col=id_col)
+    rows = stats_evidence(stats, model, "_logit").select(
+        F.col("id").alias("_id"), F.col("host").alias("_host"), F.col("path").alias("_path"), "_logit")
     rows = cut(rows, "evidence")
     rates = site_rates(rows.withColumn("_p", 1 / (1 + F.exp(-F.col("_logit")))), "_host", "_path", "_p")
     out = combine(rows, rates, "_host", "_path", "_logit", model.base)
@@ -157,12 +183,13 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", host_col: str = "source",
-              path_col: str = "lang") -> DataFrame:
+              path_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, with their columns."""
-    model = fit(docs, labels)
+    stats = stored_stats(docs, {"id": id_col, "host": host_col, "path": path_col}, text_col)
+    model = fit(stats, labels, id_col=id_col)
     host, path, logit = (fresh(docs, x) for x in ("_site_host", "_site_path", "_site_logit"))
-    only = docs.select(F.col(host_col).alias("_host"), F.col(path_col).alias("_path"), F.col(text_col).alias("_text"))
-    only = with_evidence(only, model, "_logit", "_text").withColumn("_p", 1 / (1 + F.exp(-F.col("_logit"))))
+    only = stats_evidence(stats, model, "_logit").select(
+        F.col("host").alias("_host"), F.col("path").alias("_path"), (1 / (1 + F.exp(-F.col("_logit")))).alias("_p"))
     rates = site_rates(only, "_host", "_path", "_p")
     scored = with_evidence(docs, model, logit, text_col)
     # Names of docs may clash with those of combine(): its inputs carry one packed row.

@@ -7,7 +7,8 @@ empty texts have 0 everywhere.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.flat import IN_WORD, byte_table, count_per_text, flat_utf8, slices, starts_of
+from gleaner.llm.lineage import cut
 
 WINDOW = 5
 SYMBOLS = byte_table(b"#*$%&|<>")
@@ -91,25 +93,44 @@ def ratios(stats: np.ndarray) -> np.ndarray:
         s["n_distinct"] / words ** 0.8])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int,
-                    id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Statistics and labels of at most ``most`` labelled documents, chosen by a hash of their id.
-
-    ``most`` bounds what the driver gets: 13 numbers a row.
-    """
-    chosen = (labels.where(F.col(label).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label).alias("y"))
-              .orderBy(F.xxhash64("id"), "id", "y").limit(most))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+def stored_stats(docs: DataFrame, columns: dict[str, str], text_col: str = "text") -> DataFrame:
+    """STATS of every row of ``docs``, written once, beside the columns that ``columns`` names (new name: column)."""
+    rows = docs.select(*(F.col(c).alias(name) for name, c in columns.items()), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             stats = stats_of(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("y"), *(pa.array(stats[:, k]) for k in range(len(STATS)))],
-                names=["id", "y", *STATS])
-
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    got = (rows.select("id", "y", "text")
-           .mapInArrow(run, f"id {kinds['id']}, y {kinds['y']}, " + ", ".join(f"{s} long" for s in STATS))
-           .orderBy(F.xxhash64("id"), "id", "y", *STATS).limit(most).toPandas())
-    return got[list(STATS)].to_numpy(dtype=np.int64), got["y"].to_numpy(dtype=np.int64)
+                [*(batch.column(c) for c in columns), *(pa.array(stats[:, k]) for k in range(len(STATS)))],
+                names=[*columns, *STATS])
+
+    kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns]
+    return cut(rows.mapInArrow(run, ", ".join([*kinds, *(f"{s} long" for s in STATS)])), "stats")
+
+
+def labelled(stats: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id") -> DataFrame:
+    """(y, STATS) of every labelled row of ``stats`` (its ids are in ``id``); texts are not joined."""
+    marks = labels.where(F.col(label).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label).cast("long").alias("y"))
+    return cut(stats.join(marks, "id").select("y", *STATS), "labelled")
+
+
+def arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The statistics and labels of a batch of :func:`labelled` rows."""
+    return (np.column_stack([batch.column(s).to_numpy(zero_copy_only=False) for s in STATS]),
+            batch.column("y").to_numpy(zero_copy_only=False))
+
+
+def over_all(rows: DataFrame, part: Callable[[np.ndarray, np.ndarray], np.ndarray],
+             combine: Callable[[np.ndarray, np.ndarray], np.ndarray] = np.add) -> np.ndarray | None:
+    """``part(stats, y)`` combined over all :func:`labelled` rows; each task sends the driver one array."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if batch.num_rows:
+                new = part(*arrays(batch))
+                held = new if held is None else combine(held, new)
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([held.tolist()], pa.list_(pa.float64()))], names=["part"])
+
+    got = [np.array(r["part"]) for r in rows.mapInArrow(run, "part array<double>").collect()]
+    return reduce(combine, got) if got else None

@@ -80,6 +80,36 @@ def test_rules_without_labels_and_odd_rows(spark):
     assert isolation_rules.fit(no_docs(spark), labels(spark, [(1, 1, 0)])).forest is None
 
 
+def many_labelled(spark):
+    """More labelled documents than the 8,000 that models once were fitted on, as rows, tables and in memory."""
+    import pyarrow as pa
+
+    rows = [(k, " ".join([f"word{j}" for j in range(12 + k % 40)] + [f"w{k % 7}", "#" * (k % 5), "A" * (k % 11)]), None, None, 1) for k in range(9000)]
+    marks = [(r[0], int(r[0] % 13 > 1), None) for r in rows]
+    stats = text_stats.stats_of(pa.array([r[1] for r in rows]))
+    return odd_docs(spark, rows).repartition(4), labels(spark, marks), stats, np.array([m[1] for m in marks])
+
+
+def test_rules_are_fitted_on_all_labelled_rows(spark):
+    docs, marks, stats, y = many_labelled(spark)
+    rules = isolation_rules.fit(docs, marks)
+    passed = ~isolation_rules.base_failed(stats)
+    x, good = isolation_rules.features(stats[passed]), y[passed] == 1
+    want = isolation_rules.Forest.fit(x[good], x.min(axis=0), x.max(axis=0))
+    assert (rules.forest.feature == want.feature).all() and np.allclose(rules.forest.path, want.path)
+    cells = np.ceil(want.score(x) * isolation_rules.SCORE_CELLS) / isolation_rules.SCORE_CELLS
+    assert rules.threshold == isolation_rules.calibrate(cells, good)
+    once = isolation_rules.verdicts(docs, marks)
+    assert rows_of(once) == rows_of(isolation_rules.apply(docs, rules))
+
+
+def test_evidence_is_fitted_on_all_labelled_rows(spark):
+    docs, marks, stats, y = many_labelled(spark)
+    got = site_quality.fit(text_stats.stored_stats(docs, {"id": "doc_id"}), marks)
+    want = site_quality.Evidence.fit(site_quality.features(stats), y)
+    assert got.base == y.mean() and np.allclose(got.weights, want.weights) and np.allclose(got.scale, want.scale)
+
+
 def test_threshold_keeps_the_good():
     rng = np.random.default_rng(1)
     score = np.concatenate([rng.normal(0.4, 0.02, 1000), rng.normal(0.7, 0.02, 100)])
