@@ -11,6 +11,9 @@ from gleaner.operators import cities, sketches
 from gleaner.session import ensure_checkpoint_dir
 from gleaner.tables import Tables
 
+#: Claims whose distinct ids one task keeps (at most about 0.8 KB each).
+ROWS_PER_TASK = 1 << 19
+
 
 def _beside(exact: DataFrame, sketched: DataFrame, keys: list[str], counts: list[str]) -> DataFrame:
     """The exact rows, and ``<count>_within`` of each count's estimate; a group without estimates fails."""
@@ -44,7 +47,10 @@ def monthly_reach_sketched(t: Tables) -> DataFrame:
         sketches.add_sketches(sketches.activity_sketches(
             Tables(t.providers, t.receivers, t.listings, t.claims.where(part))), f"{path}/loads")
     sketches.compact_sketches(spark, f"{path}/loads", f"{path}/days")
-    exact = (sketches.claim_activity(t).withColumn("Period", F.trunc("Day", "month")).groupBy("City", "Period")
+    # Distinct rows are first kept by task: the tasks' number grows with the claims, so what one keeps does not.
+    ids = [*sketches.ACTIVITY.values()]
+    active = sketches.claim_activity(t).select("City", F.trunc("Day", "month").alias("Period"), *ids)
+    exact = (active.repartition(1 + t.claims.count() // ROWS_PER_TASK, *active.columns).groupBy("City", "Period")
              .agg(*(F.count_distinct(c).alias(n) for n, c in sketches.ACTIVITY.items())))
     return _beside(exact, sketches.reach(sketches.load_sketches(spark, f"{path}/days")), ["City", "Period"],
                    list(sketches.ACTIVITY))
