@@ -91,3 +91,16 @@ def test_loads_merge_and_days_are_replaced(spark, tmp_path):
 def test_partial_sketches_are_built_before_the_shuffle(t):
     p = sketches.sketch_by(t.receivers, ["City"], {"n": "Receiver_ID"})._jdf.queryExecution().executedPlan().toString()
     assert "partial_hll_sketch_agg" in p
+
+
+def test_exact_reach_keeps_a_bounded_number_of_claims_a_task(edge, monkeypatch):
+    from gleaner.plans import approx
+
+    tables = edge[0]
+    want = sorted(map(tuple, approx.monthly_reach_sketched(tables).collect()), key=repr)
+    monkeypatch.setattr(approx, "ROWS_PER_TASK", 2)
+    kind, dealt = type(tables.claims), []
+    real = kind.repartition
+    monkeypatch.setattr(kind, "repartition", lambda df, n, *c: (dealt.append(n), real(df, n, *c))[1])
+    assert sorted(map(tuple, approx.monthly_reach_sketched(tables).collect()), key=repr) == want
+    assert dealt == [1 + tables.claims.count() // 2]
