@@ -2,25 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.session import ensure_checkpoint_dir
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``."""
-    return f"{ensure_checkpoint_dir(spark)}/gleaner-{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """The rows of ``df``, written once as Parquet and read again: a lost executor costs no recomputation."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from gleaner.session import cut, scratch
 
+__all__ = ["BROADCAST_IDS", "cut", "ids_to_join", "scratch"]
 
 #: Rows of ids that may be broadcast: a few dozen MB in an executor.
 BROADCAST_IDS = 1 << 20

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.operators.numbering import DELETE, INSERT, number_keyless
-from gleaner.session import ensure_checkpoint_dir
+from gleaner.session import cut, ensure_checkpoint_dir
 
 UPDATE = "update"
 
@@ -126,9 +126,11 @@ def apply_changes(df: DataFrame, changes: DataFrame, key: str, new_ids: bool = T
     settable = [c for c in columns if updatable is None or c in updatable]
     changes = changes.withColumn("op", F.lower(F.trim("op")))
     if new_ids:
+        changes = cut(changes, "changes")
         refuse_unordered_updates(changes, key)
+    fold = _fold(changes, key, settable)  # updates and deletes: not touched by the numbering
+    if new_ids:
         changes = number_keyless(df, changes, key)
-    fold = _fold(changes, key, settable)
     inserts = changes.where((F.col("op") == INSERT))
     rows = (df.withColumn("_seq", F.lit(None).cast("long"))
             .unionByName(inserts.where(F.col(key).isNotNull())

@@ -14,11 +14,15 @@ reduces its own to stretches (a distributed aggregate), and only these, one row
 critical statement and a partition, are walked in order.
 
 The walk holds the floor and the ids above it that are alive; ids given that
-nobody deletes raise the floor, so only ids that some statement deletes are ever
-held. It goes on in blocks of ``BLOCK`` stretches, one task each, the state of a
-block written for the next: memory is bounded by a block and the ids deleted
-above the floor, whatever the batch. Then every insert's id is its stretch's start
-plus its place in it, by a join.
+nobody deletes any more raise the floor, so only ids that some statement still to
+come deletes are ever held. It goes on in blocks of ``BLOCK`` stretches, one task
+each, the state of a block written for the next. A block reads its own stretches
+and, of the ids deleted, those that it can meet: deleted in it or later, above its
+floor, and not above the highest id that it can give. Both are stored in order, so
+that a block reads no more than that: memory is bounded by a block and the ids
+alive that are still to be deleted, and the time of all blocks grows with the
+batch. Then every insert's id is its stretch's start plus its place in it, by a
+join.
 
 Defined cases: with nothing alive the first id is 1; of statements with equal
 ``seq`` inserts come before deletes and those without id first; deletes without id
@@ -31,15 +35,20 @@ import heapq
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gleaner.session import ensure_checkpoint_dir, workers_find_package
+from gleaner.session import cut, scratch, workers_find_package
 
 INSERT, DELETE = "insert", "delete"
 #: Stretches that one task walks.
 BLOCK = 1_000_000
+#: New ids that are looked up one by one among those that statements delete.
+SHORT = 16
 
 FLOOR, ALIVE, DOOMED, STRETCH = range(4)  # in the order in which a task reads them
 WALK = "part int, pid int, stretch long, drops boolean, value long, n long"
@@ -79,16 +88,25 @@ class Alive:
     def give(self, n: int) -> int:
         """The start of ``n`` consecutive new ids: the first is the start plus one."""
         start = self.highest() or 0
+        if n <= SHORT:
+            lasting = start + n
+            while lasting > start and lasting in self.known:
+                lasting -= 1
+            self._given(start, lasting, n)
+            return start
         among = self.doomed[bisect_left(self.doomed, start + 1):bisect_right(self.doomed, start + n)]
         lasting = start + n  # the highest of the new ids that nobody deletes
         while among and among[-1] == lasting:
             lasting -= 1
             among.pop()
+        self._given(start, lasting, n)
+        return start
+
+    def _given(self, start: int, lasting: int, n: int) -> None:
         if lasting > start:
             self.add(lasting)
         for value in range(lasting + 1, start + n + 1):
             self.add(value)
-        return start
 
     def held(self) -> list[int]:
         self.highest()
@@ -96,29 +114,61 @@ class Alive:
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The starts of a block's stretches, and the floor and ids alive after it."""
-    floor, above, doomed, alive, starts = None, [], [], None, []
+    """The starts of a block's stretches, and the floor and ids alive after it.
+
+    Of the ids deleted, those that a later block deletes too have ``drops`` set.
+    """
+    floor, above, doomed, later, alive = None, [], [], set(), None
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
+    names = ["part", "pid", "stretch", "drops", "value", "n"]
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
     for batch in batches:
-        for row in batch.to_pylist():
-            if row["part"] == FLOOR:
-                floor = row["value"]
-            elif row["part"] == ALIVE:
-                above.append(row["value"])
-            elif row["part"] == DOOMED:
-                doomed.append(row["value"])
-            else:
+        starts = []
+        for part, pid, stretch, drops, value, n in zip(*(batch.column(c).to_pylist() for c in names)):
+            if part == STRETCH:
                 alive = alive or Alive(floor, above, doomed)
-                if row["drops"] is not None:
-                    (alive.drop if row["drops"] else alive.add)(row["value"])
-                if row["n"]:
-                    starts.append((STRETCH, row["pid"], row["stretch"], None, alive.give(row["n"]), row["n"]))
+                if drops is not None:
+                    (alive.drop if drops else alive.add)(value)
+                if n:
+                    starts.append((STRETCH, pid, stretch, None, alive.give(n), n))
+            elif part == FLOOR:
+                floor = value
+            elif part == ALIVE:
+                above.append(value)
+            else:
+                doomed.append(value)
+                if drops:
+                    later.add(value)
+        if starts:
+            yield packed(starts)
     if alive:
-        starts.append((FLOOR, None, None, None, alive.floor, None))
-        starts += [(ALIVE, None, None, None, v, None) for v in alive.held()]
-    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
-    names = ["part", "pid", "stretch", "drops", "value", "n"]
-    for at in range(0, len(starts), 10_000):
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*starts[at:at + 10_000]), kinds)], names=names)
+        held = alive.held()
+        lasting = [v for v in held if v not in later]  # nobody deletes them after this block
+        floor = max([*lasting, *([] if alive.floor is None else [alive.floor])], default=None)
+        state = [(FLOOR, None, None, None, floor, None)]
+        state += [(ALIVE, None, None, None, v, None) for v in held if v in later and (floor is None or v > floor)]
+        for at in range(0, len(state), 10_000):
+            yield packed(state[at:at + 10_000])
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Statements in order, with their partition, the stretch in it and, of keyless inserts, the place in the stretch."""
+    pid, stretch, nth = TaskContext.get().partitionId(), 0, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        opens = batch.column("_rank").to_numpy(zero_copy_only=False) > 0
+        at = stretch + np.cumsum(opens)
+        count = np.cumsum(~opens) + nth  # keyless inserts since the open stretch began
+        before = np.maximum.accumulate(np.where(opens, count, 0))
+        place = count - before
+        stretch, nth = int(at[-1]), int(place[-1])
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array(np.full(len(at), pid, dtype=np.int32)), pa.array(at.astype(np.int64)),
+             pa.array(place.astype(np.int64))], names=[*batch.schema.names, "_pid", "_stretch", "_nth"])
 
 
 def _rows(df: DataFrame, part: int, value: str) -> DataFrame:
@@ -142,7 +192,7 @@ def _blocks(counts: list[tuple[int, int]], limit: int) -> Iterator[tuple[int, in
 def number_keyless(df: DataFrame, changes: DataFrame, key: str, block: int = BLOCK) -> DataFrame:
     """``changes`` (``op`` in small letters, ``seq``, the columns of ``df``) with an id for every insert without one.
 
-    Runs while the DataFrame is built: the order is checkpointed, and each block of stretches is a job.
+    Runs while the DataFrame is built: the statements' places are written, and each block of stretches is a job.
     """
     spark = df.sparkSession
     op, seq = F.col("op"), F.col("seq")
@@ -150,42 +200,56 @@ def number_keyless(df: DataFrame, changes: DataFrame, key: str, block: int = BLO
     last = changes.where(new).agg(F.max("seq")).first()[0]  # one number
     if last is None:
         return changes
-    ensure_checkpoint_dir(spark)
     workers_find_package(spark)
-    drops = changes.where((op == DELETE) & F.col(key).isNotNull() & (seq < last))
-    doomed = drops.select(key).distinct().checkpoint(eager=True)
-    floor = df.select(key).join(doomed, key, "left_anti").agg(F.max(key)).first()[0]  # one number
+    drops = changes.where((op == DELETE) & F.col(key).isNotNull() & (seq < last)).select(key).distinct()
+    floor = df.select(key).join(drops, key, "left_anti").agg(F.max(key)).first()[0]  # one number
     above = F.lit(True) if floor is None else F.col(key) > floor
 
     rank = F.when(new, 0).when(op == INSERT, 1).otherwise(2)
     matters = new | (F.col(key).isNotNull() & above & (seq < last) & op.isin(INSERT, DELETE))
     # The last sort key tells statements of one seq apart, so that the range partitioner can split many of them.
     staged = (changes.where(matters).withColumn("_rank", rank).withColumn("_tie", F.monotonically_increasing_id())
-              .orderBy("seq", "_rank", "_tie").drop("_tie").checkpoint(eager=True))
-    pos = staged.withColumn("_pid", F.spark_partition_id()).withColumn("_pos", F.monotonically_increasing_id())
-    upto = Window.partitionBy("_pid").orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    pos = pos.withColumn("_stretch", F.sum((F.col("_rank") > 0).cast("long")).over(upto))
-    within = Window.partitionBy("_pid", "_stretch").orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    pos = pos.withColumn("_nth", F.sum((F.col("_rank") == 0).cast("long")).over(within))
+              .orderBy("seq", "_rank", "_tie").drop("_tie"))
+    # Lists pass the Python workers as JSON, which is several times as fast.
+    lists = {f.name: f.dataType for f in staged.schema if isinstance(f.dataType, T.ArrayType)}
+    staged = staged.withColumns({c: F.to_json(c) for c in lists})
+    pos = cut(staged.mapInArrow(_places, T.StructType([
+        *staged.schema, T.StructField("_pid", T.IntegerType()), T.StructField("_stretch", T.LongType()),
+        T.StructField("_nth", T.LongType())])), "places")
     opens = F.col("_rank") > 0  # a stretch begins with at most one critical statement
-    stretches = pos.groupBy(F.col("_pid").alias("pid"), F.col("_stretch").alias("stretch")).agg(
+    stretches = cut(pos.groupBy(F.col("_pid").alias("pid"), F.col("_stretch").alias("stretch")).agg(
         F.max(F.when(opens, F.col("_rank") == 2)).alias("drops"),
         F.max(F.when(opens, F.col(key).cast("long"))).alias("value"),
-        F.count(F.when(~opens, 1)).alias("n")).withColumn("part", F.lit(STRETCH)).checkpoint(eager=True)
+        F.count(F.when(~opens, 1)).alias("n")).withColumn("part", F.lit(STRETCH))
+        .repartitionByRange("pid", "stretch").sortWithinPartitions("pid", "stretch"), "stretches")
+    doomed = cut(pos.where("_rank = 2").groupBy(F.col(key).cast("long").alias("value")).agg(F.max("_pid").alias("until"))
+                 .repartitionByRange("value").sortWithinPartitions("value"), "doomed")
 
-    state = _rows(df.where(above).join(doomed, key, "left_semi").select(key).distinct(), ALIVE, key).unionByName(
+    state = _rows(df.where(above).join(drops, key, "left_semi").select(key).distinct(), ALIVE, key).unionByName(
         spark.range(1).select(F.lit(FLOOR).alias("part"), F.lit(floor).cast("long").alias("value")))
-    counts = sorted(tuple(r) for r in stretches.groupBy("pid").count().collect())  # one row a partition
-    starts = None
-    for low, high in _blocks(counts, block):
-        rows = (state.unionByName(_rows(doomed.where(above), DOOMED, key))
+    state = cut(state, "alive")
+    per = {r["pid"]: r for r in stretches.groupBy("pid").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("n").alias("new"),
+        F.max(F.when(~F.col("drops"), F.col("value"))).alias("keyed")).collect()}  # one row a partition
+    folder, paths = scratch(spark, "walked"), []
+    for low, high in _blocks(sorted((pid, r["rows"]) for pid, r in per.items()), block):
+        at = state.agg(F.max(F.when(F.col("part") == FLOOR, F.col("value"))).alias("floor"), F.max("value").alias("top")).first()
+        mine = [r for pid, r in per.items() if low <= pid <= high]
+        reach = max([at["top"] or 0, 0, *(r["keyed"] for r in mine if r["keyed"] is not None)]) + sum(r["new"] for r in mine)
+        met = doomed.where((F.col("until") >= low) & (F.col("value") <= reach))
+        if at["floor"] is not None:
+            met = met.where(F.col("value") > at["floor"])
+        met = met.select(F.lit(DOOMED).alias("part"), "value", (F.col("until") > high).alias("drops"))
+        rows = (state.unionByName(met, allowMissingColumns=True)
                 .unionByName(stretches.where(F.col("pid").between(low, high)), allowMissingColumns=True))
-        walked = (rows.select("part", "pid", "stretch", "drops", "value", "n").repartition(1)
-                  .sortWithinPartitions("part", "pid", "stretch").mapInArrow(_walk, WALK).checkpoint(eager=True))
-        state = walked.where(F.col("part") != STRETCH).select("part", "value")
-        own = walked.where(F.col("part") == STRETCH).select("pid", "stretch", F.col("value").alias("_start"))
-        starts = own if starts is None else starts.unionByName(own)
+        paths.append(f"{folder}/{low}")
+        (rows.select("part", "pid", "stretch", "drops", "value", "n").repartition(1)
+         .sortWithinPartitions("part", "pid", "stretch").mapInArrow(_walk, WALK).write.parquet(paths[-1]))
+        state = spark.read.schema(WALK).parquet(paths[-1]).where(F.col("part") != STRETCH).select("part", "value")
+    starts = (spark.read.schema(WALK).parquet(*paths).where(F.col("part") == STRETCH)
+              .select("pid", "stretch", F.col("value").alias("_start")))
 
     numbered = (pos.where("_rank = 0").join(starts, [F.col("_pid") == F.col("pid"), F.col("_stretch") == F.col("stretch")])
-                .withColumn(key, (F.col("_start") + F.col("_nth")).cast(df.schema[key].dataType)))
+                .withColumn(key, (F.col("_start") + F.col("_nth")).cast(df.schema[key].dataType))
+                .withColumns({c: F.from_json(c, kind) for c, kind in lists.items()}))
     return changes.where(~new | new.isNull()).unionByName(numbered.select(*changes.columns))

@@ -170,3 +170,20 @@ def test_ids_without_anything_alive_begin_at_one(spark):
                                 (4, "insert", None), (5, "delete", None)], "seq long, op string, id long")
     got = number_keyless(base, ch, "id").where("op = 'insert'").collect()
     assert {r["seq"]: r["id"] for r in got} == {1: 1, 3: 1, 4: 2}
+
+
+def test_a_block_holds_only_ids_that_later_ones_delete():
+    """Ids that were deleted for the last time raise the floor, so that the state between blocks stays small."""
+    import pyarrow as pa
+
+    from gleaner.operators import numbering as N
+
+    names = ["part", "pid", "stretch", "drops", "value", "n"]
+    rows = [(N.FLOOR, None, None, None, 10, None)]
+    rows += [(N.DOOMED, None, None, v > 60, v, None) for v in range(12, 62)]  # 61 is deleted in a later block, too
+    rows += [(N.STRETCH, 0, 0, None, None, 2)] + [(N.STRETCH, 0, k, True, 11 + k, 2) for k in range(1, 50)]
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+    out = [r for b in N._walk(iter([batch])) for r in b.to_pylist()]
+    assert [r["value"] for r in out if r["part"] == N.STRETCH] == [10 + k for k in range(50)]
+    assert [(r["part"], r["value"]) for r in out if r["part"] != N.STRETCH] == [(N.FLOOR, 60), (N.ALIVE, 61)]
