@@ -39,10 +39,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.operators.changes import apply_changes, refuse_unordered_updates
+from gleaner.operators.changes import UPDATE, apply_changes, refuse_unordered_updates
 from gleaner.operators.numbering import DELETE, INSERT, number_keyless
 from gleaner.schema import KEYS
-from gleaner.session import ensure_checkpoint_dir
+from gleaner.session import cut
 from gleaner.sources.files import AlreadyThere, Files
 from gleaner.tables import Tables
 
@@ -143,19 +143,30 @@ class VersionedTable:
         ``before_publishing`` runs once, when the first try has written its files (for tests of two writers).
         """
         (key,) = self.keys
-        ensure_checkpoint_dir(self.spark)
-        changes = changes.withColumn("op", F.lower(F.trim("op"))).checkpoint(eager=True)
-        refuse_unordered_updates(changes, key)
+        changes = cut(changes.withColumn("op", F.lower(F.trim("op"))), "changes")
+        kinds, sets = self._kinds(changes)
+        if UPDATE in kinds:
+            refuse_unordered_updates(changes, key)
 
         def batch(version: Version) -> tuple[DataFrame, list[int]]:
             held = {r["bucket"]: r for r in self.entries(version).collect()}
             numbered = self._numbered(changes, key, held)
             touched = self.touched(numbered.where(F.col(key).isNotNull()))
             old = self._rows((b, held[b]["commit"]) for b in touched if b in held)
-            return apply_changes(old, numbered, key, new_ids=False), touched
+            if not kinds & {UPDATE, DELETE}:  # nothing to fold: the rows, and the new ones
+                new = numbered.where((F.col("op") == INSERT) & F.col(key).isNotNull())
+                return old.unionByName(new.select(*self.schema.names)), touched
+            return apply_changes(old, numbered, key, new_ids=False, updatable=sets), touched
 
         return self._commit(batch, transaction, tries, before_publishing)
 
+    def _kinds(self, changes: DataFrame) -> tuple[set[str], list[str]]:
+        """The kinds of changes that a batch has, and the columns that its updates set."""
+        some = changes.select("op", F.explode_outer(F.array_intersect(
+            "set_columns", F.array(*map(F.lit, self.schema.names)))).alias("column")).distinct().collect()
+        return ({r["op"] for r in some},  # a row a kind and column
+                sorted({r["column"] for r in some if r["op"] == UPDATE and r["column"] is not None}))
+
     def _numbered(self, changes: DataFrame, key: str, held: dict) -> DataFrame:
         """``changes`` with ids for all inserts, from the keys that deletes may remove and the others' highest."""
         if not changes.where((F.col("op") == INSERT) & F.col(key).isNull()).limit(1).count():
@@ -166,13 +177,12 @@ class VersionedTable:
         keys = self._rows((b, held[b]["commit"]) for b in seen if b in held).select(key)
         if top is not None:
             keys = keys.unionByName(self.spark.range(1).select(F.lit(top).cast(self.schema[key].dataType).alias(key)))
-        return number_keyless(keys, changes, key).checkpoint(eager=True)
+        return cut(number_keyless(keys, changes, key), "numbered")
 
     def merge(self, delta: DataFrame, combine: Callable[[DataFrame, DataFrame], DataFrame],
               transaction: tuple[str, int] | None = None, tries: int = 20) -> Version:
         """The buckets of ``delta``'s keys become ``combine(their rows, delta)``, whose keys fall in the same buckets."""
-        ensure_checkpoint_dir(self.spark)
-        delta = delta.checkpoint(eager=True)
+        delta = cut(delta, "delta")
         touched = self.touched(delta)
 
         def batch(version: Version) -> tuple[DataFrame, list[int]]:
