@@ -22,7 +22,7 @@ from gleaner.operators import deltas
 from gleaner.operators.changes import DELETE, INSERT, UPDATE, assign_ids
 from gleaner.plans.upkeep import CLAIM_ORDER, change_rows, expired_keys, settle_updates
 from gleaner.schema import CANCELLED, COMPLETED, PENDING
-from gleaner.session import ensure_checkpoint_dir
+from gleaner.session import cut, ensure_checkpoint_dir
 from gleaner.sources.versions import VersionedTable
 from gleaner.tables import Tables
 
@@ -104,7 +104,8 @@ def reach_kept_by_status(t: Tables) -> DataFrame:
     claims = _stored(t.claims, "claims", "Claim_ID")
     kept = {h: _stored(h.state(t.claims), "holders", ["Status", h.value]) for h in (who, last)}
     claims.apply(_claim_batch(t))
-    delta = deltas.signed(*claims.differing(0, 1))
+    held = ("Status", who.value, last.value)  # both states read the delta, which is taken once, of their columns
+    delta = cut(deltas.signed(*(rows.select(*held) for rows in claims.differing(0, 1))), "delta")
     for h, table in kept.items():
         table.merge(h.state(delta), h.merge)
     a, b = who.distinct(kept[who].read(), "receivers"), last.highest(kept[last].read(), "last_claim")

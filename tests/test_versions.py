@@ -193,3 +193,35 @@ def test_an_id_needs_only_the_deleted_keys_buckets(spark, table, monkeypatch):
     table.apply(batch(spark, [("delete", 1, random_row(rng, 200), None), ("insert", 2, random_row(rng, None), None)]))
     assert sorted(r[0] for r in table.read().select(KEY).collect()) == list(range(1, 201))
     assert seen and seen[0] < 50
+
+
+def test_a_batch_of_inserts_is_not_folded(spark, tmp_path, monkeypatch):
+    table = VersionedTable.create(spark.createDataFrame([(1, "a"), (5, "b")], "Claim_ID long, Status string"),
+                                  str(tmp_path / "t"), "Claim_ID", 4)
+    batch = spark.createDataFrame([("insert", 1, None, "c", None), ("insert", 2, 3, "d", None)],
+                                  "op string, seq long, Claim_ID long, Status string, set_columns array<string>")
+    monkeypatch.setattr(versions, "apply_changes", None)
+    table.apply(batch)
+    assert sorted(map(tuple, table.read().collect())) == [(1, "a"), (3, "d"), (5, "b"), (6, "c")]
+
+
+def test_only_columns_that_a_batch_sets_are_folded(spark, tmp_path, monkeypatch):
+    table = VersionedTable.create(spark.createDataFrame([(1, "a", 2), (5, "b", 3)], "Claim_ID long, Status string, n int"),
+                                  str(tmp_path / "t"), "Claim_ID", 4)
+    batch = spark.createDataFrame([("update", 1, 1, "c", 9, ["Status", "none"]), ("delete", 2, 5, None, None, None)],
+                                  "op string, seq long, Claim_ID long, Status string, n int, set_columns array<string>")
+    real, seen = versions.apply_changes, []
+    monkeypatch.setattr(versions, "apply_changes", lambda *a, **k: (seen.append(k["updatable"]), real(*a, **k))[1])
+    table.apply(batch)
+    assert seen == [["Status"]] and [tuple(r) for r in table.read().collect()] == [(1, "c", 2)]
+
+
+def test_both_reach_states_take_one_written_delta(edge, monkeypatch):
+    from gleaner.operators import deltas
+    from gleaner.plans import versioned
+
+    real, seen = deltas.Holders.state, []
+    monkeypatch.setattr(deltas.Holders, "state", lambda h, rows: (seen.append(rows), real(h, rows))[1])
+    versioned.reach_kept_by_status(edge[0])
+    first, second = [rows for rows in seen if deltas.SIGN in rows.columns]
+    assert first is second and "gleaner-delta-" in first.inputFiles()[0] and "Food_ID" not in first.columns
